@@ -2,10 +2,419 @@
 
 from __future__ import annotations
 
+import tempfile
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from matchweave.functions import columns, geometry
+from matchweave.operators import compare, network, sequence, shots, similarity
+from matchweave.operators.joins import join_chain
+from matchweave.plans import adapter
+from matchweave.sources import files
+
+TEAM = "NATION_7"
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+
+_EVENTS = """
+ev AS (SELECT cast(extract(day from ts) AS int) AS game_id, event_id AS seq, user_id AS player_id,
+  CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS team,
+  CASE event_type WHEN 'purchase' THEN 'Pass' WHEN 'click' THEN 'TakeOn' WHEN 'view' THEN 'BallTouch' WHEN 'signup' THEN 'Shot' WHEN 'error' THEN 'Foul' END AS type,
+  CASE WHEN cast(regexp_extract(props, '([0-9]+)', 1) AS int) < 70 THEN 'Successful' ELSE 'Unsuccessful' END AS outcome_type,
+  CASE WHEN extract(hour from ts) < 12 THEN 1 ELSE 2 END AS period,
+  cast(extract(hour from ts) * 60 + extract(minute from ts) AS int) AS minute, cast(floor(extract(second from ts)) AS int) AS second,
+  value % 100 AS x, cast(regexp_extract(props, '([0-9]+)', 1) AS double) AS y, value * 7 % 100 AS end_x, value * 3 % 100 AS end_y,
+  event_type = 'signup' AS is_shot, CASE WHEN event_id % 5 <> 0 THEN event_id % 3 = 0 END AS is_goal,
+  CASE WHEN event_type = 'signup' THEN CASE event_id % 3 WHEN 0 THEN '433' WHEN 1 THEN '442' ELSE '352' END END AS tactics_formation
+ FROM events),
+"""
+_PASSES = _EVENTS + """
+ok AS (SELECT *, lead(player_id) OVER (PARTITION BY game_id, team ORDER BY seq) AS receiver,
+  abs(degrees(atan2((end_y - y) * 0.8e0, (end_x - x) * 1.2e0))) AS off, x * 1.2e0 AS px, y * 0.8e0 AS py
+ FROM ev WHERE type = 'Pass' AND outcome_type = 'Successful'),
+edge AS (SELECT game_id, team, least(player_id, receiver) AS pos_min, greatest(player_id, receiver) AS pos_max, count(*) AS pass_count FROM ok GROUP BY 1, 2, 3, 4),
+loc AS (SELECT game_id, team, player_id, median(px) AS x, median(py) AS y, count(player_id) AS passes FROM ok GROUP BY 1, 2, 3),
+"""
+_NODES = _PASSES + """
+roster AS (SELECT DISTINCT game_id, player_id, CASE player_id % 7 WHEN 0 THEN 'DC' WHEN 1 THEN 'MC' WHEN 2 THEN 'AMC' WHEN 3 THEN 'FW' WHEN 4 THEN 'FWL' WHEN 5 THEN 'GK' ELSE 'Sub' END AS position,
+  CASE WHEN player_id % 11 <> 0 THEN player_id % 7 <> 6 END AS is_starter FROM ev WHERE player_id % 3 <> 0),
+seen AS (SELECT t.game_id, t.team, r.player_id, r.position, r.is_starter FROM (SELECT DISTINCT game_id, team FROM ev) t JOIN roster r ON t.game_id = r.game_id),
+node AS (SELECT coalesce(l.game_id, s.game_id) AS game_id, coalesce(l.team, s.team) AS team, coalesce(l.player_id, s.player_id) AS player_id, l.x, l.y, l.passes, s.position, s.is_starter
+ FROM loc l FULL OUTER JOIN seen s ON l.game_id = s.game_id AND l.team = s.team AND l.player_id = s.player_id),
+"""
+_DIRECTED = _EVENTS + """
+half AS (SELECT *, lead(player_id) OVER (PARTITION BY game_id, team ORDER BY seq) AS recipient FROM ev WHERE period = 1),
+pr AS (SELECT game_id, team, player_id, recipient, cast(player_id AS varchar) || cast(recipient AS varchar) AS pair, count(seq) AS number_pass
+ FROM half WHERE type = 'Pass' AND recipient IS NOT NULL GROUP BY 1, 2, 3, 4),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY game_id, team ORDER BY minutes_played DESC, player_id) AS place
+  FROM (SELECT game_id, team, player_id, max(minute) - min(minute) AS minutes_played FROM half GROUP BY 1, 2, 3)) WHERE place <= 11),
+"""
+_CODES = "CASE (player_id * 7 + tactics_id) % 25 + 1 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in adapter.POSITIONS.items()) + " END"
+_FILLED = _EVENTS + f"""
+fill AS (SELECT game_id, seq, player_id, team, type, outcome_type, x, y,
+  last_value(CASE WHEN tactics_formation IS NOT NULL THEN seq END IGNORE NULLS) OVER w AS tactics_id, last_value(tactics_formation IGNORE NULLS) OVER w AS tactics_formation,
+  lead(player_id) OVER (PARTITION BY game_id, team ORDER BY seq) AS recipient
+ FROM ev WINDOW w AS (PARTITION BY game_id, team ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+lineup AS (SELECT tactics_id, player_id, {_CODES} AS position FROM
+ (SELECT f.seq AS tactics_id, p.player_id FROM ev f JOIN (SELECT DISTINCT game_id, team, player_id FROM ev) p ON f.game_id = p.game_id AND f.team = p.team WHERE f.tactics_formation IS NOT NULL)),
+"""
+_RESPONSE = _EVENTS + """
+nx AS (SELECT *, lead(player_id) OVER (PARTITION BY game_id ORDER BY seq) AS receiver FROM ev),
+both_ AS (SELECT *, 0 AS branch FROM nx WHERE receiver = 14 AND outcome_type = 'Successful' AND team = 'A' UNION ALL SELECT *, 1 AS branch FROM nx WHERE player_id = 14),
+aft AS (SELECT *, lead(seq) OVER w AS n_seq, lead(player_id) OVER w AS n_player, lead(type) OVER w AS n_type, lead(outcome_type) OVER w AS n_outcome, lead(minute * 60 + second) OVER w AS n_clock
+ FROM both_ WINDOW w AS (PARTITION BY game_id ORDER BY minute, second, branch, seq)),
+resp AS (SELECT game_id, n_seq AS seq, n_outcome AS outcome_type, n_clock - (minute * 60 + second) AS seconds FROM aft
+ WHERE player_id IS DISTINCT FROM 14 AND n_player = 14 AND n_type IN ('Pass', 'TakeOn', 'BallTouch', 'Clearance')),
+"""
+_STATS = """
+st AS (SELECT strftime(o_orderdate, '%Y-%m') AS game, CASE WHEN o_orderkey % 2 = 0 THEN 'H' ELSE 'A' END AS side, count(*) AS orders, sum(o_totalprice) AS price,
+  count(DISTINCT o_custkey) AS customers, count(*) FILTER (WHERE o_orderstatus = 'F') AS finished FROM orders GROUP BY 1, 2),
+lg AS (SELECT game, side, 'orders' AS category, cast(orders AS double) AS value FROM st UNION ALL SELECT game, side, 'price', price FROM st
+ UNION ALL SELECT game, side, 'customers', cast(customers AS double) FROM st UNION ALL SELECT game, side, 'finished', cast(finished AS double) FROM st),
+cmp AS (SELECT game, category, max(CASE WHEN side = 'H' THEN value END) AS a, max(CASE WHEN side = 'A' THEN value END) AS b FROM lg GROUP BY 1, 2),
+shr AS (SELECT game, category, a, b, a / CASE WHEN a + b = 0 THEN 1 ELSE a + b END AS share_a, b / CASE WHEN a + b = 0 THEN 1 ELSE a + b END AS share_b FROM cmp),
+"""
+_WIDE = """
+sold AS (SELECT o_custkey AS player, count(*) AS orders, sum(o_totalprice) AS value, count(*) FILTER (WHERE o_orderstatus = 'F') AS done FROM orders GROUP BY 1),
+items AS (SELECT o_custkey AS player, count(*) AS lines, sum(l_quantity) AS value, avg(l_discount) AS disc, max(l_extendedprice) AS largest FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1),
+wide AS (SELECT c_nationkey % 5 AS league, c_nationkey AS team, c_custkey AS player, c_mktsegment AS pos, c_acctbal AS balance, c_custkey % 40 / 2.0e0 AS nineties,
+  s.orders, s.value, s.done, i.lines, i.value AS value_items, i.disc, i.largest, c_acctbal * 2 AS value_balance, c_custkey % 13 AS cards, c_custkey % 17 * 1.0e0 AS saves, c_custkey % 2000 + 1990 AS born
+ FROM customer JOIN sold s ON s.player = c_custkey JOIN items i ON i.player = c_custkey),
+"""
+_R90 = lambda c: f"round(coalesce({c} / nullif(nineties, 0), 0), 6) AS {c}"
+
+
+def _query(sql: str | None = None, ctes: str = ""):
+    """Register a function under its name, with its SQL twin."""
+
+    def add(f):
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = (f"WITH {ctes.strip().rstrip(',')} " if ctes else "") + sql
+        return f
+
+    return add
+
+
+def _r(df: DataFrame, *names: str) -> DataFrame:
+    """Round to 6 places, so that the order of additions doesn't show."""
+    return df.withColumns({n: F.round(n, 6) for n in names})
+
+
+@_query("SELECT * FROM edge", _PASSES)
+def pass_network(spark, d):
+    return network.edges(network.successful_passes(adapter.match_events(spark, d)))
+
+
+@_query(
+    "SELECT e.game_id, e.team, e.pos_min, e.pos_max, e.pass_count, round(a.x, 6) AS x, round(a.y, 6) AS y, round(b.x, 6) AS x_end, round(b.y, 6) AS y_end, "
+    "round(e.pass_count / max(e.pass_count) OVER (PARTITION BY e.game_id, e.team) * 15e0, 6) AS width, round(0.3e0 + e.pass_count / max(e.pass_count) OVER (PARTITION BY e.game_id, e.team) * 0.6e0, 6) AS alpha "
+    "FROM edge e JOIN loc a ON a.game_id = e.game_id AND a.team = e.team AND a.player_id = e.pos_min JOIN loc b ON b.game_id = e.game_id AND b.team = e.team AND b.player_id = e.pos_max",
+    _PASSES,
+)
+def pass_network_drawable(spark, d):
+    passes = network.successful_passes(adapter.match_events(spark, d))
+    return _r(network.drawable(network.edges(passes), network.locations(passes)), "x", "y", "x_end", "y_end", "width", "alpha")
+
+
+def _nodes(spark, d):
+    events = adapter.match_events(spark, d)
+    return network.with_roster(network.locations(network.successful_passes(events)), adapter.roster(events), adapter.teams(events))
+
+
+@_query("SELECT game_id, team, player_id, round(x, 6) AS x, round(y, 6) AS y, passes, position, is_starter, CASE WHEN coalesce(is_starter, true) THEN 'o' ELSE 's' END AS marker FROM node", _NODES)
+def player_locations(spark, d):
+    return _r(_nodes(spark, d), "x", "y").withColumn("marker", F.when(F.coalesce("is_starter", F.lit(True)), "o").otherwise("s"))
+
+
+_LINES = (
+    "SELECT game_id, team, CASE WHEN count(*) FILTER (WHERE position = 'DC') > 0 THEN median(CASE WHEN position = 'DC' THEN x END) ELSE 30.0e0 END AS defense, "
+    "CASE WHEN count(*) FILTER (WHERE position IN ('FW', 'AMC')) > 0 THEN avg(CASE WHEN position IN ('FW', 'AMC') THEN x END) ELSE 90.0e0 END AS forward, median(x) AS team_median FROM node GROUP BY 1, 2"
+)
+
+
+@_query(f"SELECT game_id, team, round(defense, 6) AS defense, round(forward, 6) AS forward, round(team_median, 6) AS team_median, round(least(defense, forward), 6) AS band_low, round(greatest(defense, forward), 6) AS band_high FROM ({_LINES})", _NODES)
+def team_metrics(spark, d):
+    return _r(network.team_lines(_nodes(spark, d)), "defense", "forward", "team_median", "band_low", "band_high")
+
+
+@_query("SELECT game_id, team, round_even((1 - median(CASE WHEN off BETWEEN 0 AND 90 THEN off END) / 90) * 100, 2) AS verticality FROM ok GROUP BY 1, 2", _PASSES)
+def verticality(spark, d):
+    return network.verticality(network.successful_passes(adapter.match_events(spark, d)))
+
+
+def _half(spark, d):
+    first = adapter.match_events(spark, d).where("period = 1")
+    return sequence.next_value(first, "player_id", ["game_id", "team"], ["seq"], "recipient")
+
+
+@_query("SELECT * FROM pr", _DIRECTED)
+def directed_passes(spark, d):
+    return network.directed_pairs(_half(spark, d).where("type = 'Pass'"))
+
+
+@_query("SELECT * FROM top", _DIRECTED)
+def top_players(spark, d):
+    return network.most_minutes(_half(spark, d), 11)
+
+
+@_query(
+    "SELECT game_id, team, player_id, recipient, pair, number_pass, round(x, 6) AS x, round(y, 6) AS y, round(x_end, 6) AS x_end, round(y_end, 6) AS y_end, round(width, 6) AS width, round(width * 0.9e0 + 0.1e0, 6) AS alpha FROM ("
+    "SELECT p.*, a.x, a.y, b.x AS x_end, b.y AS y_end, p.number_pass / max(p.number_pass) OVER (PARTITION BY p.game_id, p.team) AS width FROM pr p "
+    "JOIN avgloc a ON a.game_id = p.game_id AND a.team = p.team AND a.player_id = p.player_id JOIN avgloc b ON b.game_id = p.game_id AND b.team = p.team AND b.player_id = p.recipient "
+    "SEMI JOIN top t ON t.game_id = p.game_id AND t.team = p.team AND t.player_id = p.player_id SEMI JOIN top u ON u.game_id = p.game_id AND u.team = p.team AND u.player_id = p.recipient)",
+    _DIRECTED + "avgloc AS (SELECT game_id, team, player_id, avg(x) AS x, avg(y) AS y FROM half WHERE type = 'Pass' GROUP BY 1, 2, 3),",
+)
+def directed_network(spark, d):
+    return _r(network.directed_network(_half(spark, d), 11), "x", "y", "x_end", "y_end", "width", "alpha")
+
+
+@_query("SELECT game_id, team, seq, player_id, tactics_id, tactics_formation FROM fill", _FILLED)
+def formation_fill(spark, d):
+    return adapter.filled_events(adapter.match_events(spark, d)).select("game_id", "team", "seq", "player_id", "tactics_id", "tactics_formation")
+
+
+@_query(
+    "SELECT e.game_id, e.team, e.pos_min, e.pos_max, e.pass_count, round(a.x, 6) AS x, round(a.y, 6) AS y, a.n AS count, round(b.x, 6) AS x_end, round(b.y, 6) AS y_end, b.n AS count_end, "
+    "round(e.pass_count / max(e.pass_count) OVER w * 18e0, 6) AS width, round(e.pass_count / max(e.pass_count) OVER w * 0.7e0 + 0.3e0, 6) AS alpha, round(a.n / max(a.n) OVER w * 3000e0, 6) AS marker_size "
+    "FROM pe e JOIN pl a ON a.game_id = e.game_id AND a.team = e.team AND a.position = e.pos_min JOIN pl b ON b.game_id = e.game_id AND b.team = e.team AND b.position = e.pos_max WINDOW w AS (PARTITION BY e.game_id, e.team)",
+    _FILLED + """
+pos AS (SELECT f.*, l.position, m.position AS position_receipt FROM fill f LEFT JOIN lineup l ON l.tactics_id = f.tactics_id AND l.player_id = f.player_id
+ LEFT JOIN lineup m ON m.tactics_id = f.tactics_id AND m.player_id = f.recipient WHERE f.tactics_formation = '433'),
+pe AS (SELECT game_id, team, least(position, position_receipt) AS pos_min, greatest(position, position_receipt) AS pos_max, count(seq) AS pass_count FROM pos
+ WHERE type = 'Pass' AND position IS NOT NULL AND position_receipt IS NOT NULL GROUP BY 1, 2, 3, 4),
+pl AS (SELECT game_id, team, position, avg(x) AS x, avg(y) AS y, count(y) AS n FROM pos WHERE type IN ('Pass', 'BallTouch') AND position IS NOT NULL GROUP BY 1, 2, 3),""",
+)
+def formation_network(spark, d):
+    events = adapter.match_events(spark, d)
+    return _r(network.formation_network(adapter.filled_events(events), adapter.lineup(events), "433"), "x", "y", "x_end", "y_end", "width", "alpha", "marker_size")
+
+
+@_query("SELECT game_id, team, array_to_string(list_sort(list(DISTINCT tactics_formation) FILTER (WHERE tactics_formation IS NOT NULL)), ',') AS formations FROM fill GROUP BY 1, 2", _FILLED)
+def formations_by_team(spark, d):
+    found = network.formations_by_team(adapter.filled_events(adapter.match_events(spark, d)))
+    return found.withColumn("formations", F.array_join("formations", ","))
+
+
+@_query(
+    "SELECT tactics_id, player_id, position FROM lineup UNION ALL SELECT s.tactics_id, s.replacement_id AS player_id, l.position FROM sub s JOIN lineup l ON l.tactics_id = s.tactics_id AND l.player_id = s.player_id",
+    _FILLED + "sub AS (SELECT tactics_id, player_id, min(recipient) AS replacement_id FROM fill WHERE type = 'Foul' AND tactics_id IS NOT NULL AND recipient IS NOT NULL GROUP BY 1, 2),",
+)
+def substitute_positions(spark, d):
+    events = adapter.match_events(spark, d)
+    came = adapter.filled_events(events).where("type = 'Foul' and tactics_id is not null and recipient is not null").groupBy("tactics_id", "player_id").agg(F.min("recipient").alias("replacement_id"))
+    return network.with_substitutes(adapter.lineup(events), came)
+
+
+def _responses(spark, d):
+    return sequence.responses(adapter.match_events(spark, d), F.lit(14), F.col("team") == "A", ["Pass", "TakeOn", "BallTouch", "Clearance"])
+
+
+@_query("SELECT * FROM resp", _RESPONSE)
+def response_actions(spark, d):
+    return _responses(spark, d)
+
+
+@_query("SELECT round(avg(share), 6) AS mean_accuracy, round(var_samp(share), 6) AS variance FROM (SELECT game_id, avg(CASE WHEN outcome_type = 'Unsuccessful' THEN 0.0e0 ELSE 1.0e0 END) AS share FROM resp GROUP BY 1)", _RESPONSE)
+def response_accuracy(spark, d):
+    return _r(sequence.response_accuracy(_responses(spark, d)), "mean_accuracy", "variance")
+
+
+_SHOTS = "sh AS (SELECT e.*, n.home, n.away, e.team = n.home AS own FROM ev e JOIN (SELECT game_id, min(team) AS home, max(team) AS away FROM ev GROUP BY 1) n ON n.game_id = e.game_id WHERE is_shot),"
+
+
+@_query(
+    "SELECT game_id, seq, player_id, team, CASE WHEN own THEN 'home' ELSE 'away' END AS side, CASE WHEN is_goal IS DISTINCT FROM true THEN 'no goal' ELSE 'goal' END AS result, "
+    "round(CASE WHEN own THEN 120 - x * 1.2e0 ELSE x * 1.2e0 END, 6) AS draw_x, round(CASE WHEN own THEN 80 - y * 0.8e0 ELSE y * 0.8e0 END, 6) AS draw_y FROM sh",
+    _EVENTS + _SHOTS,
+)
+def shot_split(spark, d):
+    return _r(shots.shot_split(adapter.match_events(spark, d)).select("game_id", "seq", "player_id", "team", "side", "result", "draw_x", "draw_y"), "draw_x", "draw_y")
+
+
+@_query("SELECT seq, round(120 - x * 1.2e0, 6) AS mirror_x, round(80 - y * 0.8e0, 6) AS mirror_y, round(x * 1.2e0, 6) AS scaled_x, round(y * 0.8e0, 6) AS scaled_y FROM ev WHERE is_shot", _EVENTS)
+def shot_mirror(spark, d):
+    x, y = F.col("x"), F.col("y")
+    df = adapter.match_events(spark, d).where("is_shot")
+    return _r(df.select("seq", geometry.mirror_x(x).alias("mirror_x"), geometry.mirror_y(y).alias("mirror_y"), geometry.scale_x(x).alias("scaled_x"), geometry.scale_y(y).alias("scaled_y")), "mirror_x", "mirror_y", "scaled_x", "scaled_y")
+
+
+@_query("SELECT game_id, min(team) AS home, max(team) AS away FROM ev GROUP BY 1", _EVENTS)
+def team_names(spark, d):
+    return shots.team_names(adapter.match_events(spark, d))
+
+
+@_query("SELECT vec_id, round(cast(embedding[1] AS double), 6) AS x, round(cast(embedding[2] AS double), 6) AS y, round(abs(cast(embedding[1] AS double)) * 300 + 100, 4) AS size FROM embeddings")
+def marker_size(spark, d):
+    df = shots.split_location(adapter.table(spark, d, "embeddings"), "embedding")
+    size = geometry.marker_size(F.abs(F.col("x").cast("double")))
+    return df.select("vec_id", F.round(F.col("x").cast("double"), 6).alias("x"), F.round(F.col("y").cast("double"), 6).alias("y"), F.round(size, 4).alias("size"))
+
+
+@_query("SELECT game_id, team, player_id, outcome_type, count(*) AS actions, min(seq) AS first_seq, max(seq) AS last_seq FROM ev WHERE outcome_type IN ('Successful', 'Unsuccessful') GROUP BY 1, 2, 3, 4", _EVENTS)
+def player_outcomes(spark, d):
+    df = adapter.match_events(spark, d).where(F.col("outcome_type").isin("Successful", "Unsuccessful"))
+    return df.groupBy("game_id", "team", "player_id", "outcome_type").agg(F.count("*").alias("actions"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+
+
+def _long_stats(spark, d):
+    return compare.unpivot(adapter.order_stats(spark, d), ["game", "side"], ["orders", "price", "customers", "finished"])
+
+
+@_query("SELECT game, side, category, round(value, 4) AS value FROM lg", _STATS)
+def stat_unpivot(spark, d):
+    return _long_stats(spark, d).withColumn("value", F.round("value", 4))
+
+
+@_query("SELECT game, category, round(a, 4) AS a, round(b, 4) AS b, round(share_a, 6) AS share_a, round(share_b, 6) AS share_b FROM shr", _STATS)
+def stat_compare(spark, d):
+    found = _r(compare.shares(_long_stats(spark, d), ["game"], "side", "H", "A"), "share_a", "share_b")
+    return found.withColumns({"a": F.round("a", 4), "b": F.round("b", 4)})
+
+
+@_query("SELECT game, category, round(share_a * 20, 6) AS bar_a, round(share_b * 20, 6) AS bar_b, round(share_a * 20, 6) AS start_b FROM shr", _STATS)
+def bar_track(spark, d):
+    found = compare.bar_track(compare.shares(_long_stats(spark, d), ["game"], "side", "H", "A"))
+    return _r(found.select("game", "category", "bar_a", "bar_b", "start_b"), "bar_a", "bar_b", "start_b")
+
+
+@_query("SELECT game, side, category, round(sum(value) OVER (PARTITION BY game, side ORDER BY category ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 4) AS running FROM lg", _STATS)
+def stat_cumulative(spark, d):
+    return compare.running_total(_long_stats(spark, d), ["game", "side"], ["category"]).select("game", "side", "category", F.round("running", 4).alias("running"))
+
+
+@_query("SELECT o_custkey, o_orderkey, cast(floor((row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) / 2) AS bigint) AS pair FROM orders")
+def pair_number(spark, d):
+    return sequence.pair_number(adapter.table(spark, d, "orders").select("o_custkey", "o_orderkey"), ["o_orderkey"], ["o_custkey"])
+
+
+@_query(
+    f"SELECT game_id, home_team, away_team FROM sch WHERE home_team = '{TEAM}' UNION ALL SELECT game_id, home_team, away_team FROM sch WHERE away_team = '{TEAM}'",
+    "sch AS (SELECT o_orderkey AS game_id, h.n_name AS home_team, a.n_name AS away_team FROM orders JOIN nation h ON h.n_nationkey = o_orderkey % 25 JOIN nation a ON a.n_nationkey = o_custkey % 25 WHERE o_orderkey % 25 <> o_custkey % 25)",
+)
+def schedule_team(spark, d):
+    o, n = adapter.table(spark, d, "orders"), adapter.table(spark, d, "nation")
+    home, away = n.select(F.col("n_nationkey").alias("h"), F.col("n_name").alias("home_team")), n.select(F.col("n_nationkey").alias("a"), F.col("n_name").alias("away_team"))
+    games = o.select(F.col("o_orderkey").alias("game_id"), (F.col("o_orderkey") % 25).alias("h"), (F.col("o_custkey") % 25).alias("a")).where("h <> a")
+    return files.team_games(games.join(home, "h").join(away, "a").select("game_id", "home_team", "away_team"), TEAM)
+
+
+def _wide(spark, d):
+    first, *rest = adapter.player_tables(spark, d)
+    return join_chain(first, list(zip(rest, ["_sold", "_items", "_balance", "_keeper"], strict=True)), ["league", "team", "player"])
+
+
+@_query(
+    "SELECT league, team, player, pos, round(balance, 6) AS balance, nineties AS \"90s\", orders, round(value, 4) AS value, done, lines, round(value_items, 4) AS value_items, round(disc, 6) AS \"discount Pct\", round(largest, 6) AS largest, "
+    "round(value_balance, 6) AS value_balance, cards, saves, born FROM wide",
+    _WIDE,
+)
+def wide_join(spark, d):
+    df = _r(_wide(spark, d), "balance", "discount Pct", "largest", "value_balance")
+    return df.withColumns({"value": F.round("value", 4), "value_items": F.round("value_items", 4)})
+
+
+def _rates(spark, d):
+    chosen = _wide(spark, d).where(F.col("pos").contains("MA") & (F.col("born") >= 1997))
+    return similarity.per_90(chosen, "90s", ["league", "team", "player", "born"])
+
+
+_MEASURES = ["balance", "orders", "value", "done", "lines", "value_items", "largest", "value_balance", "cards", "saves"]
+
+
+@_query(f"SELECT player, nineties AS \"90s\", round(disc, 6) AS \"discount Pct\", {', '.join(_R90(c) for c in _MEASURES)} FROM wide WHERE pos LIKE '%MA%' AND born >= 1997", _WIDE)
+def per90(spark, d):
+    return _r(_rates(spark, d).select("player", "90s", "discount Pct", *_MEASURES), "discount Pct", *_MEASURES)
+
+
+@_query(
+    f"SELECT player, {', '.join(f'round(({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1), 5) AS {c}' for c in _MEASURES)} "
+    f"FROM (SELECT player, {', '.join(f'coalesce({c} / nullif(nineties, 0), 0) AS {c}' for c in _MEASURES)} FROM wide WHERE pos LIKE '%MA%' AND born >= 1997)",
+    _WIDE,
+)
+def zscore(spark, d):
+    df = similarity.standardise(_rates(spark, d).select("player", *_MEASURES), _MEASURES)
+    return df.select("player", *[F.round(c, 5).alias(c) for c in _MEASURES])
+
+
+@_query("SELECT p_partkey, p_size, round(p_retailprice, 6) AS p_retailprice FROM part WHERE p_type LIKE '%BRASS%' AND p_size >= 10")
+def string_filter(spark, d):
+    df = adapter.table(spark, d, "part").where(F.col("p_type").contains("BRASS") & (F.col("p_size") >= 10))
+    return _r(df.select("p_partkey", *[c for c in columns.numeric_columns(df) if c != "p_partkey"]), "p_retailprice")
+
+
+@_query("SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem WHERE l_linenumber = 1")
+def dtype_select(spark, d):
+    df = columns.without_matching(adapter.table(spark, d, "lineitem").where("l_linenumber = 1"), r"^l_(tax|disc).*")
+    return df.select(*columns.float_and_long_columns(df))
+
+
+@_query()
+def pca_ratio(spark, d):
+    rows = similarity.explained(adapter.table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("features")), 23)
+    return spark.createDataFrame(rows, "component int, share double, running double")
+
+
+@_query(
+    "SELECT vec_id, round(1 - list_cosine_similarity(cast(embedding AS double[]), cast((SELECT embedding FROM embeddings WHERE vec_id = 7) AS double[])), 6) AS distance FROM embeddings WHERE vec_id <> 7 "
+    "ORDER BY 1 - list_cosine_similarity(cast(embedding AS double[]), cast((SELECT embedding FROM embeddings WHERE vec_id = 7) AS double[])), vec_id LIMIT 9"
+)
+def knn_cosine(spark, d):
+    return similarity.nearest(adapter.table(spark, d, "embeddings"), 7, 9).withColumn("distance", F.round("distance", 6))
+
+
+@_query()
+def pca_neighbours(spark, d):
+    """Nine neighbours of vector 7 among the first 23 principal components of standardised vectors."""
+    base = adapter.table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(64)])
+    names = [f"f{i}" for i in range(64)]
+    scaled = similarity.assemble(similarity.standardise(base, names), names)
+    return similarity.nearest(similarity.project(scaled, similarity.fit_pca(scaled, 23)), 7, 9, vector="components")
+
+
+@_query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def csv_round_trip(spark, d):
+    """Nations written one folder per region and read back in one scan with a declared schema."""
+    path = _scratch(spark)
+    files.write_per_key(adapter.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), path, "n_regionkey")
+    return spark.read.option("header", True).schema("n_nationkey int, n_name string, n_regionkey int").csv(path)
+
+
+@_query("SELECT r_regionkey, r_name FROM region")
+def json_round_trip(spark, d):
+    path = _scratch(spark)
+    df = adapter.table(spark, d, "region").select("r_regionkey", "r_name")
+    files.write_json(df, path)
+    return files.read_json(spark, path, df.schema)
+
+
+@_query("SELECT cast(row_number() OVER (ORDER BY o_totalprice, o_orderkey) - 1 AS bigint) AS row_index, o_totalprice, o_orderkey FROM orders")
+def row_index(spark, d):
+    return files.with_index(adapter.table(spark, d, "orders").select("o_totalprice", "o_orderkey"), ["o_totalprice", "o_orderkey"])
+
+
+@_query("SELECT epoch_us(time_bucket(INTERVAL '5 minutes', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def event_windows(spark, d):
+    from matchweave.streaming.windows import tumbling_counts
+
+    found = tumbling_counts(adapter.table(spark, d, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type"), "ts", "event_type")
+    return found.select(F.unix_micros("start").alias("start_us"), "event_type", "n")
+
+
+def _scratch(spark: SparkSession) -> str:
+    """A new folder in the shared place that spark.checkpoint.dir names, or, only if it is unset, on this machine."""
+    import os
+    import uuid
+
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "matchweave-files")
+    return f"{root}/matchweave-files/{uuid.uuid4().hex}"
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
