@@ -339,9 +339,9 @@ def zscore(spark, d):
     return df.select("player", *[F.round(c, 5).alias(c) for c in _MEASURES])
 
 
-@_query("SELECT p_partkey, p_size, round(p_retailprice, 6) AS p_retailprice FROM part WHERE p_type LIKE '%BRASS%' AND p_size >= 10")
+@_query("SELECT p_partkey, p_size, round(p_retailprice, 6) AS p_retailprice FROM part WHERE p_type LIKE '%PROMO%' AND p_size >= 10")
 def string_filter(spark, d):
-    df = adapter.table(spark, d, "part").where(F.col("p_type").contains("BRASS") & (F.col("p_size") >= 10))
+    df = adapter.table(spark, d, "part").where(F.col("p_type").contains("PROMO") & (F.col("p_size") >= 10))
     return _r(df.select("p_partkey", *[c for c in columns.numeric_columns(df) if c != "p_partkey"]), "p_retailprice")
 
 
