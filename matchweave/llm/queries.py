@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchweave.llm import bpe, chat, langid, minhash, near_vectors, packing, warc
+from matchweave.llm import bpe, chat, langid, licenses, minhash, near_vectors, packing, pii, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), sequence=2048, end_id=1)
 
 
+def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.edited_fingerprints(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
+        winnow.written(F.col("own_print")).alias("fingerprint"), winnow.written(F.col("edited_print")).alias("edited_fingerprint"), "near_edited", "near_next",
+    )
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_archive(warc.write_archive(_table(spark, sf_dir, "pages")))
 
@@ -31,6 +39,16 @@ def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, part=85, whole=100)
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = pii.detect(docs, pii.fit(docs))
+    number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", *[number(k) for k in pii.BASE], F.sha2(F.encode(pii.written(F.col("base")), "utf-8"), 256).alias("base_sha256"),
+        pii.written(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     done = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
@@ -47,12 +65,16 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.unionByName(extra)))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_vectors, op2_packing, op4_warc, op5_minhash, op7_bpe, op8_chat, op10_langid)}
+    return {f.__name__: f for f in (op1_near_vectors, op2_packing, op3_winnowing, op4_warc, op5_minhash, op6_pii, op7_bpe, op8_chat, op9_licenses, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
