@@ -5,10 +5,10 @@ the smallest hash is kept, the rightmost of equal ones, together with its
 position. Two texts that share a passage of at least ``k + window - 1`` code
 points share a fingerprint of it.
 
-Hash and position are packed into one number, the hash above and the position
-counted backwards below, so that the smallest number of a window is its
-smallest hash and, among equal hashes, the rightmost. Window minima come from
-doubling: the minima of 2, 4, 8... neighbours, each step one pass.
+Hash and position are packed into one number, the hash above, less the position,
+so that the smallest number of a window is its smallest hash and, among equal
+hashes, the rightmost. Window minima come from doubling: the minima of 2, 4,
+8... neighbours, each step one pass.
 """
 
 from __future__ import annotations
@@ -18,25 +18,34 @@ from pyspark.sql import functions as F
 
 K, WINDOW = 16, 16
 _LOW = (1 << 31) - 1
+_HIGH = ((1 << 62) - 1) ^ _LOW
 
 
-def packed_grams(text: Column, offset: Column | int = 0, k: int = K) -> Column:
-    """Packed (hash, position) of every k-gram; a shorter text is one k-gram, an empty one has none.
+def packed_grams(text: Column, start: Column | int = 0, k: int = K) -> Column:
+    """Packed (hash, place) of every k-gram from code point ``start`` on.
 
-    ``offset`` is added to the positions.
+    A text of fewer than ``k`` code points is one k-gram, an empty one has none.
+    The place is four times the position, plus one.
     """
     n = F.length(text)
-    grams = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    offset = F.lit(offset) if isinstance(offset, int) else offset
+    start = F.lit(start) if isinstance(start, int) else start
+    places = F.when(n > 0, F.sequence(start * 4 + 1, F.greatest(n - k, start) * 4 + 1, F.lit(4))).otherwise(F.array().cast("array<int>"))
 
     def pack(wide: Column, p: Column) -> Column:
-        h = F.shiftrightunsigned(F.xxhash64(F.substring(wide, p * 4 + 1, F.lit(4 * k))), 33)
-        return F.shiftleft(h, 31) + (F.lit(_LOW).cast("long") - p - offset)
+        return F.xxhash64(F.substring(wide, p, F.lit(4 * k))).bitwiseAND(F.lit(_HIGH)) - p
 
     # Four bytes for each code point, so any place is reached at once. The array
     # of one makes it a lambda's variable: computed once, not for every k-gram.
     wide = F.array(F.encode(text, "utf-32"))
-    return F.element_at(F.transform(wide, lambda w: F.transform(grams, lambda p: pack(w, p))), 1)
+    return F.element_at(F.transform(wide, lambda w: F.transform(places, lambda p: pack(w, p))), 1)
+
+
+def position(v: Column) -> Column:
+    return F.shiftright(F.negate(v).bitwiseAND(F.lit(_LOW)), 2).cast("int")
+
+
+def gram_hash(v: Column) -> Column:
+    return F.shiftright(v + F.lit(_LOW), 31)
 
 
 def _halve(values: Column, reach: int) -> Column:
@@ -46,13 +55,13 @@ def _halve(values: Column, reach: int) -> Column:
     return F.when(F.size(values) > reach, paired).otherwise(F.when(F.size(values) > 0, F.array(F.array_min(values))).otherwise(values))
 
 
-def with_minima(df: DataFrame, text: Column, name: str, offset: Column | int = 0, k: int = K, window: int = WINDOW) -> DataFrame:
-    """Add ``name``: the packed minimum of every window of ``text``; ``window`` is a power of two.
+def with_minima(df: DataFrame, text: Column, name: str, start: Column | int = 0, k: int = K, window: int = WINDOW) -> DataFrame:
+    """Add ``name``: the packed minimum of every window of ``text`` from code point ``start`` on.
 
-    A text with fewer k-grams has one window, an empty one none. Steps are
-    columns of their own, so none is evaluated twice.
+    ``window`` is a power of two. A text with fewer k-grams has one window, an
+    empty one none. Steps are columns of their own, so none is evaluated twice.
     """
-    df, reach = df.withColumn(name, packed_grams(text, offset, k)), 1
+    df, reach = df.withColumn(name, packed_grams(text, start, k)), 1
     while reach < window:
         df = df.withColumn(name, _halve(F.col(name), reach))
         reach *= 2
@@ -70,17 +79,17 @@ def fingerprint(docs: DataFrame, text_col: str = "text", name: str = "fingerprin
 
 def positions_and_hashes(selected: Column) -> Column:
     """(position, hash) of packed numbers."""
-    return F.transform(selected, lambda v: F.struct((F.lit(_LOW) - v.bitwiseAND(F.lit(_LOW))).cast("int").alias("position"), F.shiftright(v, 31).alias("hash")))
+    return F.transform(selected, lambda v: F.struct(position(v).alias("position"), gram_hash(v).alias("hash")))
 
 
 def written(selected: Column) -> Column:
-    """A fingerprint as text: position:hash, both in hexadecimal, joined by commas."""
-    return F.array_join(F.transform(selected, lambda v: F.concat_ws(":", F.hex(F.lit(_LOW) - v.bitwiseAND(F.lit(_LOW))), F.hex(F.shiftright(v, 31)))), ",")
+    """A fingerprint's hashes as text, eight hexadecimal digits each, in order of position."""
+    return F.array_join(F.transform(selected, lambda v: F.hex(gram_hash(v).bitwiseOR(F.lit(1 << 31)))), "")
 
 
 def hashes(selected: Column) -> Column:
     """Distinct hashes of a fingerprint."""
-    return F.array_distinct(F.transform(selected, lambda v: F.shiftright(v, 31)))
+    return F.array_distinct(F.transform(selected, gram_hash))
 
 
 def likeness(a: str, b: str, both: str) -> Column:
@@ -130,15 +139,16 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order = Window.partitionBy("bucket").orderBy(F.desc("own"), F.col("id").asc_nulls_first(), "text")
     rows = next_rows(docs, id_col, text_col).withColumn("next_text", F.lead("text").over(order))
     rows = with_minima(rows, F.col("text"), "minima", 0, k, window)
-    rows = rows.withColumn("own_print", F.array_distinct("minima")).withColumn("next_print", F.lead("own_print").over(order)).where("own")
+    rows = rows.withColumn("own_print", F.array_distinct("minima")).withColumn("a", hashes(F.col("own_print")))
     n = F.length("text")
     quarter = F.floor(n / 4).cast("int")
-    rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter)))
+    rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.coalesce("next_text", F.lit("")), F.lit(1), quarter)))
     # Windows that start before this place lie within the kept part.
     rows = rows.withColumn("keep", F.greatest(n - quarter - (k + window - 2), F.lit(0)))
-    rows = rows.withColumn("tail", F.when((F.col("keep") > 0) & (F.length("edited") == n - quarter), F.lit("")).otherwise(F.substring(F.col("edited"), F.col("keep") + 1, F.length("edited"))))
-    rows = with_minima(rows, F.col("tail"), "tail_minima", F.col("keep"), k, window)
-    rows = rows.withColumn("edited_print", F.array_distinct(F.concat(F.slice("minima", F.lit(1), F.col("keep")), "tail_minima")))
-    rows = rows.withColumn("a", hashes(F.col("own_print"))).withColumn("b", hashes(F.col("edited_print"))).withColumn("c", hashes(F.col("next_print")))
-    rows = rows.withColumn("ab", F.size(F.array_intersect("a", "b"))).withColumn("ac", F.size(F.array_intersect("a", "c")))
-    return rows.select(F.col("id").alias(id_col), "text", "edited", "own_print", "edited_print", likeness("a", "b", "ab").alias("near_edited"), likeness("a", "c", "ac").alias("near_next"))
+    rows = with_minima(rows, F.col("edited"), "tail", F.col("keep"), k, window)
+    tail = F.when((F.col("keep") > 0) & (F.length("edited") == n - quarter), F.array().cast("array<bigint>")).otherwise(F.col("tail"))
+    rows = rows.withColumn("edited_print", F.array_distinct(F.concat(F.slice("minima", F.lit(1), F.col("keep")), tail)))
+    rows = rows.withColumn("b", hashes(F.col("edited_print"))).withColumn("ab", F.size(F.array_intersect("a", "b")))
+    rows = rows.withColumn("near_edited", likeness("a", "b", "ab")).drop("minima", "tail", "b", "next_text")
+    rows = rows.withColumn("c", F.lead("a").over(order)).where("own").withColumn("ac", F.size(F.array_intersect("a", "c")))
+    return rows.select(F.col("id").alias(id_col), "text", "edited", "own_print", "edited_print", "near_edited", likeness("a", "c", "ac").alias("near_next"))
