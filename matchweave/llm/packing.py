@@ -73,7 +73,12 @@ def shortest_pack_first(histogram: dict[int, int], sequence: int) -> list[tuple[
         left = histogram[length]
         while left > 0:
             if not heap or heap[0] + length > sequence:
-                put(length, left, (length,))
+                # One by one, each piece would join the pack just opened while it fits.
+                fit = sequence // length
+                if left // fit:
+                    put(fit * length, left // fit, (length,) * fit)
+                if left % fit:
+                    put(left % fit * length, 1, (length,) * (left % fit))
                 break
             filled = heap[0]
             count, lengths = open_[filled].pop()

@@ -62,7 +62,7 @@ def test_warc_bytes_are_records_and_damage_is_seen(spark):
         assert stream[at : at + 4] == b"\r\n\r\n"
         at, n = at + 4, n + 1
     assert n == len(rows)
-    with pytest.raises(Exception, match="lacks a chunk|damaged|differs"):
+    with pytest.raises(Exception, match="lacks a chunk|has no end|damaged|differs"):
         warc.read_archive(archive.where("chunk <> 2")).collect()
     assert warc.read_archive(warc.write_archive(df.where("false"))).count() == 0
 
@@ -112,7 +112,7 @@ def test_pipeline_stages(spark, tmp_path):
     for k in range(80):
         words = rng.choices(["the", "and", "thing", "whether"] if k % 2 else ["der", "und", "schon", "nicht"], k=30)
         rows.append((k, " ".join(words) + f" code{k} " + " ".join(rng.choices("abcdefgh", k=20)), "en" if k % 2 else "de", "s"))
-    rows += [(100, rows[3][1], "en", "s"), (101, "12345 ++", "en", "s"), (102, "mail me and the thing at me@host.com whether " + rows[5][1], None, "s"), (103, None, "de", None), (104, "", "de", "s")]
+    rows += [(100, rows[3][1], "en", "s"), (101, "12345 ++", "en", "s"), (102, "mail me and the thing at me@host.com whether " + " ".join(rows[5][1].split()[::-1]), None, "s"), (103, None, "de", None), (104, "", "de", "s")]
     docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     kept = pipeline.language_id(spark, docs, str(tmp_path))
