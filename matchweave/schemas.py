@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import types as T
 
 
+_KINDS = {
+    "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType(), "boolean": T.BooleanType(), "date": T.DateType(),
+    "timestamp_ntz": T.TimestampNTZType(), "array<double>": T.ArrayType(T.DoubleType()),
+}
+
+
 def _schema(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Columns as "name type", joined by commas; needs no session."""
+    pairs = [field.strip().rsplit(" ", 1) for field in spec.split(",")]
+    return T.StructType([T.StructField(name.strip("`"), _KINDS[kind]) for name, kind in pairs])
 
 
 ROSTER = _schema("row int, game_id bigint, team_id bigint, player_id bigint, player_name string, is_starter boolean, minutes_played int, jersey_number int, starting_position string")
