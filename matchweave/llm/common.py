@@ -103,8 +103,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges.
 
     Alternates large-star and small-star steps, each a pre-aggregated minimum
-    and a join, so a node with very many neighbours is never gathered in one
-    place. Null ends and self-loops are dropped. Every round is written to the
+    and a join whose hot partitions Spark may split, so a node with very many
+    neighbours is never gathered in one place. Null ends and self-loops are dropped. Every round is written to the
     shared folder. No edges give no rows.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
@@ -116,9 +116,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     seen = stamp(e)
     while seen["n"]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        # Minima are written first: a join of two plain shuffles is one that Spark splits where a node is hot.
+        low = scratch_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+        large = scratch_table(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = scratch_table(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = (
             large.join(low, "u")
             .where("v > m")
