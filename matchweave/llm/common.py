@@ -37,6 +37,16 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Let Arrow batches end at ``most`` bytes in this session, so a worker's memory doesn't follow 10,000 texts.
+
+    A smaller setting stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))) > most:
+        spark.conf.set(key, most)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete every scratch table; call it once no result of theirs is needed."""
     jvm = spark.sparkContext._jvm

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.common import scratch_table
+from matchweave.llm.common import scratch_table, small_batches
 
 BITS = 16
 SIZE = 1 << BITS
@@ -143,6 +143,7 @@ def fit(learnable: DataFrame, fit_rows: int = 2000, epochs: int = 4, alpha: floa
     by the languages; document frequencies are counted over all rows, in
     2**16 buckets. More than ``most_languages`` languages are refused.
     """
+    small_batches(learnable.sparkSession)
     rows = learnable.where("text is not null and lang is not null and doc_id is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
     if len(counts) > most_languages:
@@ -194,6 +195,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     A null text or one without a letter is ``und`` with score 0, and so is every
     text if the model knows no language. Columns of those names are replaced.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.common import connected_components, forest, group_starts, scratch_table, whole_groups
+from matchweave.llm.common import connected_components, forest, group_starts, scratch_table, small_batches, whole_groups
 from matchweave.llm.textbuf import LOWER, mix, span_hashes, text_slices, words
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -91,7 +91,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(1), 1 << 21):
+            for lo, hi, data, offsets in text_slices(batch.column(1)):
                 flat, at = shingle_sets(data, offsets, width)
                 size = np.diff(at)
                 some = np.flatnonzero(size)
@@ -172,6 +172,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     documents is cut into blocks and compared block against block, each pair of
     blocks in a task of its own.
     """
+    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     sets = scratch_table(signatures(docs, width, band_count(part / whole, rows, miss), rows), "signatures")
     key = ["h1", "h2", "n_shingles"]
@@ -185,7 +186,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(3), 1 << 21):
+            for lo, hi, data, offsets in text_slices(batch.column(3)):
                 flat, at = shingle_sets(data, offsets, width)
                 raw = flat.tobytes()
                 rest = [batch.column(c).slice(lo, hi - lo) for c in range(3)]

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchweave.llm.common import scratch_table
+from matchweave.llm.common import scratch_table, small_batches
 from matchweave.llm.textbuf import text_slices
 from matchweave.llm.tokens import PieceEncoder
 
@@ -49,6 +49,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, sequence: int, end_id: int, id
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, PIECES)
 
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from matchweave.llm.common import small_batches
+
 #: Base kinds in order of output, then the looser ones.
 BASE = ["email", "ip", "card", "phone"]
 LOOSE = ["email_written", "ip_range", "card_other", "phone_local", "ssn", "iban", "secret"]
@@ -228,6 +230,7 @@ def fit(docs: DataFrame, text_col: str = "text") -> dict[int, float]:
                     seen.update(pattern_of(text, *s) for s in good + loose_spans(text, good, bad))
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["pattern", "n"])
 
+    small_batches(docs.sparkSession)
     counts = docs.select(F.col(text_col).cast("string")).mapInArrow(count, "pattern int, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
     return train({r["pattern"]: r["n"] for r in counts.collect()})
 
@@ -248,6 +251,7 @@ def detect(docs: DataFrame, model: dict[int, float], least: float = 0.5, id_col:
     empty texts hold none; repeated rows and null ids stay; other columns are
     ignored.
     """
+    small_batches(docs.sparkSession)
     span = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -267,6 +271,8 @@ def redact(docs: DataFrame, model: dict[int, float], least: float = 0.5, text_co
     Null texts stay null; all columns stay.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("string")
     def clean(texts):
         import pandas as pd

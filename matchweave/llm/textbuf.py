@@ -17,7 +17,7 @@ _POWERS: list[np.ndarray] = []
 def _powers(n: int) -> list[np.ndarray]:
     """Powers of the base and of its inverse, at least ``n`` of each."""
     if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         _POWERS.clear()
         for base in (_BASE, _BASE_INVERSE):
             p = np.full(size, np.uint64(base), dtype=np.uint64)
@@ -50,7 +50,7 @@ def string_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def text_slices(column: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, row after the last, bytes, offsets) of runs of whole texts.
 
     A run has at most ``most`` bytes unless one text alone has more.

@@ -44,20 +44,21 @@ def byte_letters() -> list[str]:
 
 
 class Memo:
-    """Distinct pieces' values by 64-bit hash, in flat arrays; emptied when full."""
+    """Distinct pieces' values by 64-bit hash, in flat sorted arrays; emptied when full."""
 
     def __init__(self, entries: int):
         self.entries = entries
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
-        self.offset, self.values = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 14, dtype=np.uint32)
+        self.keys, self.slot = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+        self.offset, self.values = np.zeros(1 << 12, dtype=np.int32), np.zeros(1 << 14, dtype=np.uint32)
         self.n = 0
 
-    def add(self, hashes: list[int], values: list[list[int]]) -> None:
+    def add(self, at: np.ndarray, hashes: np.ndarray, values: list[list[int]]) -> np.ndarray:
+        """Put new hashes before the places ``at``; returns their slots."""
         flat = np.fromiter((x for v in values for x in v), dtype=np.uint32)
-        lengths = np.fromiter(map(len, values), dtype=np.int64, count=len(values))
+        lengths = np.fromiter(map(len, values), dtype=np.int32, count=len(values))
         used = int(self.offset[self.n])
         while len(self.offset) <= self.n + len(values) + 1:
             self.offset = np.concatenate([self.offset, np.zeros_like(self.offset)])
@@ -65,8 +66,10 @@ class Memo:
             self.values = np.concatenate([self.values, np.zeros_like(self.values)])
         self.values[used : used + len(flat)] = flat
         self.offset[self.n + 1 : self.n + 1 + len(values)] = used + np.cumsum(lengths)
-        self.slot.update(zip(hashes, range(self.n, self.n + len(values)), strict=True))
+        slots = np.arange(self.n, self.n + len(values), dtype=np.int32)
+        self.keys, self.slot = np.insert(self.keys, at, hashes), np.insert(self.slot, at, slots)
         self.n += len(values)
+        return slots
 
     def look_up(self, hashes: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
         """All pieces' values joined, and each piece's number of values.
@@ -77,16 +80,16 @@ class Memo:
         kinds, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         if self.n + len(kinds) > self.entries:
             self.clear()
-        keys = kinds.tolist()
-        slots = list(map(self.slot.get, keys))
-        new = [k for k, s in enumerate(slots) if s is None]
-        if new:
-            at = self.n
-            self.add([keys[k] for k in new], encode(first[new]))
-            for i, k in enumerate(new):
-                slots[k] = at + i
-        slots = np.asarray(slots, dtype=np.int64)[back]
-        start, length = self.offset[slots], self.offset[slots + 1] - self.offset[slots]
+        at = np.searchsorted(self.keys, kinds)
+        known = np.zeros(len(kinds), dtype=bool)
+        inside = at < len(self.keys)
+        known[inside] = self.keys[at[inside]] == kinds[inside]
+        slots = np.zeros(len(kinds), dtype=np.int32)
+        slots[known] = self.slot[at[known]]
+        if not known.all():
+            slots[~known] = self.add(at[~known], kinds[~known], encode(first[~known]))
+        slots = slots[back]
+        start, length = self.offset[slots].astype(np.int64), (self.offset[slots + 1] - self.offset[slots]).astype(np.int64)
         stop = np.cumsum(length)
         where = np.repeat(start - stop + length, length)
         where += np.arange(len(where))
@@ -96,7 +99,7 @@ class Memo:
 class PieceEncoder:
     """Encodes runs of UTF-8 texts; ``entries`` bounds the memo's pre-tokens."""
 
-    def __init__(self, path: str, entries: int = 800_000):
+    def __init__(self, path: str, entries: int = 400_000):
         self.tokenizer = plain_tokenizer(path)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
