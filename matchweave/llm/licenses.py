@@ -8,7 +8,9 @@ is confirmed if the template's words stand in the block in a row.
 
 from __future__ import annotations
 
+import functools
 import re
+from bisect import bisect_right
 from collections import OrderedDict
 from collections.abc import Iterable, Iterator
 
@@ -36,7 +38,7 @@ TEMPLATES = {
     "proprietary": ["All rights reserved."],
 }
 #: A block without any of these holds no notice.
-ANCHORS = re.compile(r"licen[cs]|copyright|rights reserved|permission|redistribution|public domain|mozilla public|cc[ -]by|cc0|version 3 of the", re.I)
+ANCHORS = re.compile(r"licen[cs]|copyright|rights[\W_]+reserved|permission|redistribution|public[\W_]+domain|mozilla[\W_]+public|cc[\W_]by|cc0|version[\W_]+3[\W_]+of[\W_]+the", re.I)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 _WORKER: dict[tuple, Scanner] = {}
 
@@ -53,9 +55,63 @@ class Scanner:
             for text in texts:
                 raw = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.known.append((name, _words(text), zstandard.ZstdCompressor(level=level, dict_data=raw)))
+        self.begins: dict[str, list[list[str]]] = {}
+        for _, wanted, _ in self.known:
+            self.begins.setdefault(wanted[0], []).append(wanted)
+        self.reach = max(len(wanted) for _, wanted, _ in self.known)
         self.memo: OrderedDict[str, tuple] = OrderedDict()
         self.remember = remember
 
+    def blocks(self, text: str) -> Iterator[tuple[int, int]]:
+        """(start, end) of each candidate block, a range of whole lines.
+
+        A block is a run of lines that hold an anchor word, with all lines of
+        the templates, or beginnings of at least half a template, that stand in
+        part in the run. Such wordings are sought as far around the run as the
+        longest template has words. Blocks that share lines are one.
+        """
+        if not ANCHORS.search(text):
+            return
+        starts = [0, *(m.end() for m in re.finditer("\n", text))]
+        ends = [*(at - 1 for at in starts[1:]), len(text)]
+        runs: list[list[int]] = []
+        for m in ANCHORS.finditer(text):
+            first, last = bisect_right(starts, m.start()) - 1, bisect_right(starts, m.end() - 1) - 1
+            if runs and first <= runs[-1][1] + 1:
+                runs[-1][1] = max(runs[-1][1], last)
+            else:
+                runs.append([first, last])
+        count = functools.cache(lambda line: sum(1 for _ in _WORD.finditer(text, starts[line], ends[line])))
+        found: list[list[int]] = []
+        for first, last in runs:
+            top, bottom, above, below = first, last, 0, 0
+            while top > 0 and above < self.reach:
+                top -= 1
+                above += count(top)
+            while bottom < len(starts) - 1 and below < self.reach:
+                bottom += 1
+                below += count(bottom)
+            low, high = first, last
+            for a, b in self._wordings(text, starts[top], ends[bottom]):
+                a, b = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1
+                if a <= last and b >= first:
+                    low, high = min(low, a), max(high, b)
+            while found and found[-1][1] >= low:
+                low, high = min(low, found[-1][0]), max(high, found.pop()[1])
+            found.append([low, high])
+        for first, last in found:
+            yield starts[first], ends[last]
+
+    def _wordings(self, text: str, lo: int, hi: int) -> Iterator[tuple[int, int]]:
+        """(start, end) of each template, or beginning of at least half of one, within ``text[lo:hi]``."""
+        at = [m.span() for m in _WORD.finditer(text, lo, hi)]
+        words = [text[a:b].lower() for a, b in at]
+        for i, word in enumerate(words):
+            for wanted in self.begins.get(word, ()):
+                n = _run(words, i, wanted)
+                if 2 * n >= len(wanted):
+                    yield at[i][0], at[i + n - 1][1]
+
     def judge(self, block: str, ranked: int = 5) -> tuple[str, float, int, int, bool]:
         """(license, size reduction, template words missing, other words, confirmed) of a block.
 
@@ -91,36 +147,24 @@ def _words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def _run(words: list[str], i: int, wanted: list[str]) -> int:
+    """Number of words from the beginning of ``wanted`` that stand in ``words`` from ``i`` on."""
+    n = 0
+    while n < len(wanted) and i + n < len(words) and words[i + n] == wanted[n]:
+        n += 1
+    return n
+
+
 def _longest_run(words: list[str], wanted: list[str]) -> int:
     """Length of the longest beginning of ``wanted`` that stands in ``words`` in a row."""
     best, starts = 0, [i for i, w in enumerate(words) if w == wanted[0]]
     for i in starts:
-        n = 0
-        while n < len(wanted) and i + n < len(words) and words[i + n] == wanted[n]:
-            n += 1
-        best = max(best, n)
+        best = max(best, _run(words, i, wanted))
         if best == len(wanted):
             break
     return best
 
 
-def blocks(text: str) -> Iterator[tuple[int, int]]:
-    """(start, end) of each run of lines that hold an anchor word."""
-    if not ANCHORS.search(text):
-        return
-    at, run = 0, None
-    for line in text.split("\n"):
-        end = at + len(line)
-        if ANCHORS.search(line):
-            run = (run[0] if run else at, end)
-        elif run:
-            yield run
-            run = None
-        at = end + 1
-    if run:
-        yield run
-
-
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per candidate block of every whole text.
 
@@ -142,7 +186,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col:
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for a, b in blocks(text or ""):
+                for a, b in scanner.blocks(text or ""):
                     out.append((doc_id, a, b, text[a:b], *scanner.judge(text[a:b])))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)

@@ -198,6 +198,27 @@ def test_licenses(spark):
     assert licenses.scan(docs_of(spark, texts).where("false")).count() == 0
 
 
+WRAPPED = {
+    "MIT": "Copyright (c) 2020 A. Body\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin it",
+    "BSD": " * All rights reserved.\n *\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are\n * met:\n",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\r\npurpose with or without fee is hereby granted, provided that\r\nit stays",
+    "GPL-3.0": "# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n",
+    "proprietary": "Made by somebody. All rights\nreserved.\n", "Unlicense": "This is free and unencumbered software released into the public\ndomain.", "CC-BY-4.0": "Licensed\nunder\nCC\nBY\n4.0.",
+}
+
+
+def test_wrapped_licenses(spark):
+    texts = [f"prose before\nand more of it\n{t}\nprose after" for t in WRAPPED.values()] + ["permission to\nuse it", "Permission is hereby granted, free of charge, to any person obtaining a\ncopy of this program", "the licence\nsome\nthe copyright"]
+    rows = licenses.scan(docs_of(spark, texts)).collect()
+    assert {(r["doc_id"], r["license"]) for r in rows if r["confirmed"]} == {*enumerate(WRAPPED), (1, "proprietary")}
+    for r in rows:
+        assert texts[r["doc_id"]][r["start"] : r["end"]] == r["block"] and "prose" not in r["block"]
+    n = len(WRAPPED)
+    assert [r["block"] for r in rows if r["doc_id"] == n] == ["permission to"]
+    assert [(r["block"], r["license"], r["missing"]) for r in rows if r["doc_id"] == n + 1] == [(texts[n + 1], "MIT", 5)]
+    assert sorted(r["block"] for r in rows if r["doc_id"] == n + 2) == ["the copyright", "the licence"]
+
+
 def language_docs(spark, n=400):
     rng = random.Random(2)
     sound = {"aa": ["tha", "ing", "er ", "ou", " wh"], "bb": ["sch", "ung", "en ", "ß", " ge"], "cc": ["ción", "ue ", "ll", "ado", " la"]}
