@@ -59,7 +59,7 @@ class Scanner:
         for _, wanted, _ in self.known:
             self.begins.setdefault(wanted[0], []).append(wanted)
         self.reach = max(len(wanted) for _, wanted, _ in self.known)
-        self.memo: OrderedDict[str, tuple] = OrderedDict()
+        self.memo: OrderedDict[str, list[tuple]] = OrderedDict()
         self.remember = remember
 
     def blocks(self, text: str) -> Iterator[tuple[int, int]]:
@@ -112,12 +112,11 @@ class Scanner:
                 if 2 * n >= len(wanted):
                     yield at[i][0], at[i + n - 1][1]
 
-    def judge(self, block: str, ranked: int = 5) -> tuple[str, float, int, int, bool]:
+    def judge(self, block: str) -> list[tuple[str, float, int, int, bool]]:
         """(license, size reduction, template words missing, other words, confirmed) of a block.
 
-        The ``ranked`` templates that save most are compared word for word; the
-        first that is confirmed wins, of several the longest; with none
-        confirmed, the best saver is returned unconfirmed.
+        All confirmed templates, those that save most first; with none
+        confirmed, the best saver, unconfirmed.
         """
         if block in self.memo:
             self.memo.move_to_end(block)
@@ -126,16 +125,11 @@ class Scanner:
         base = len(self.plain.compress(data))
         order = sorted(((1 - len(c.compress(data)) / base, k) for k, (_, _, c) in enumerate(self.known)), key=lambda x: (-x[0], x[1]))
         found = []
-        for saved, k in order:
+        for saved, k in order:  # a short notice in a long block saves little: look at every wording
             name, wanted, _ = self.known[k]
             missing = len(wanted) - _longest_run(words, wanted)
-            found.append((missing > 0, -len(wanted), name, saved, missing, len(words) - len(wanted) + missing))
-        best = min(found[:ranked])
-        if best[0]:  # a short notice in a long block saves little: look at every wording
-            best = min(found)
-        if best[0]:
-            best = found[0]
-        out = (best[2], best[3], best[4], best[5], not best[0])
+            found.append((name, saved, missing, len(words) - len(wanted) + missing, missing == 0))
+        out = [f for f in found if f[4]] or found[:1]
         if len(block) <= 4096:
             self.memo[block] = out
             if len(self.memo) > self.remember:
@@ -166,10 +160,13 @@ def _longest_run(words: list[str], wanted: list[str]) -> int:
 
 
 def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per candidate block of every whole text.
+    """One row per candidate block and confirmed template of every whole text.
+
+    A block without a confirmed template gives one row of the best one. Two
+    templates of one license give two rows if both stand in the block.
 
     doc_id, start and end (code points, end exclusive), block, license (of the
-    best template), reduction (share of the compressed size that its dictionary
+    template), reduction (share of the compressed size that its dictionary
     saves), missing and extra (words of the template that the block lacks, and
     words beyond it) and confirmed. Texts without an anchor word, null and empty
     texts give no rows; repeated rows are scanned each for itself; other columns
@@ -187,7 +184,7 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for a, b in scanner.blocks(text or ""):
-                    out.append((doc_id, a, b, text[a:b], *scanner.judge(text[a:b])))
+                    out += [(doc_id, a, b, text[a:b], *judged) for judged in scanner.judge(text[a:b])]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 

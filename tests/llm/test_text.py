@@ -219,6 +219,16 @@ def test_wrapped_licenses(spark):
     assert sorted(r["block"] for r in rows if r["doc_id"] == n + 2) == ["the copyright", "the licence"]
 
 
+def test_every_license_of_a_block(spark):
+    two = "Released under the MIT License. Licensed under the Apache License, Version 2.0."
+    texts = [two, two.replace(". L", ".\nL"), two + " All rights reserved. Licensed under CC BY 4.0.", "Released under the MIT License. Licensed under the Apache License, Version 2.1."]
+    rows = licenses.scan(docs_of(spark, texts)).collect()
+    assert len({(r["doc_id"], r["start"], r["end"]) for r in rows}) == len(texts) and all(r["confirmed"] and r["missing"] == 0 for r in rows)
+    assert sorted((r["doc_id"], r["license"]) for r in rows) == [
+        (0, "Apache-2.0"), (0, "MIT"), (1, "Apache-2.0"), (1, "MIT"), (2, "Apache-2.0"), (2, "CC-BY-4.0"), (2, "MIT"), (2, "proprietary"), (3, "MIT"),
+    ]
+
+
 def language_docs(spark, n=400):
     rng = random.Random(2)
     sound = {"aa": ["tha", "ing", "er ", "ou", " wh"], "bb": ["sch", "ung", "en ", "ß", " ge"], "cc": ["ción", "ue ", "ll", "ado", " la"]}
