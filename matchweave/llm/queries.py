@@ -62,7 +62,8 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
-    return chat.read_back(chat.format_turns(turns.unionByName(extra)))
+    records = turns.unionByName(extra).select("conv_id", F.struct("conv_id", "turn", "role", "text").alias("body"))
+    return chat.read_back(chat.format_turns(chat.canonical_turns(records, "conv_id", "body")))
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

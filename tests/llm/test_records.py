@@ -105,6 +105,35 @@ def test_layouts_choose_mappings(spark):
     assert tuple(paths) in chat.LAYOUTS
 
 
+def test_mappings_fit_layouts_with_more_fields(spark):
+    bodies = [
+        {"id": "x", "conversations": [{"from": "human", "value": "q", "weight": 1}, {"from": "gpt", "value": "r"}]}, {"messages": [{"role": "user", "content": "a", "name": "n"}], "meta": {"a.b": [1, {"c d": 2.5}], "x:<y>, `z`": None}},
+        {"prompt": "p", "completion": "c", "response": "r"}, {"messages[].role": 1, "messages[].content": 2}, {"conv_id": 4, "turn": 7, "role": "Human", "text": "t", "more": True}, {"messages": []},
+    ]
+    rows = chat.canonical_turns(spark.createDataFrame([(k, json.dumps(b)) for k, b in enumerate(bodies)], "id long, body string"), "id", "body").collect()
+    got = sorted(((r["conv_id"], r["turn"], r["role"], r["text"]) for r in rows), key=str)
+    nothing = (None, None, None)
+    assert got == [(0, 0, "user", "q"), (0, 1, "assistant", "r"), (1, 0, "user", "a"), (2, *nothing), (3, *nothing), (4, 7, "Human", "t"), (5, *nothing)]
+    assert {r["fingerprint"] for r in rows if r["conv_id"] == 4} == {chat.fingerprint(["$.conv_id", "$.more", "$.role", "$.text", "$.turn"])}
+    assert len({r["fingerprint"] for r in rows}) == len(bodies)
+    flat = spark.createDataFrame([(1, (1, 0, None, "x")), (2, (2, None, "GPT", None)), (3, None)], "id long, body struct<conv_id:long,turn:int,role:string,text:string>")
+    assert [tuple(r)[:4] for r in chat.canonical_turns(flat, "id", "body").orderBy("conv_id").collect()] == [(1, 0, None, "x"), (2, None, "GPT", None), (3, *nothing)]
+    mixed = spark.createDataFrame([(1, ([("human", "a")], None, None, None)), (2, (None, "p", "c", None)), (3, (None, "p", None, "r"))], "id long, body struct<messages:array<struct<role:string,content:string>>,prompt:string,completion:string,response:string>")
+    assert sorted(tuple(r)[:4] for r in chat.canonical_turns(mixed, "id", "body").collect()) == [(1, 0, "user", "a"), (2, 0, "user", "p"), (2, 1, "assistant", "c"), (3, 0, "user", "p"), (3, 1, "assistant", "r")]
+
+
+def test_op8_goes_through_the_mappings(spark, tmp_path, monkeypatch):
+    queries, chosen = importlib.import_module("matchweave.llm.queries"), []
+    table = spark.createDataFrame([(1, 0, "Human", "a"), (1, 1, "assistant", None), (2, 0, None, "b")], "conv_id long, turn int, role string, text string")
+    table.write.parquet(f"{tmp_path}/conversations.parquet")
+    choose = chat.choose
+    monkeypatch.setattr(chat, "choose", lambda *a: chosen.append(choose(*a)) or chosen[-1])
+    got = {r["conv_id"]: r for r in queries.op8_chat(spark, str(tmp_path)).collect()}
+    assert [list(chat.LAYOUTS)[k] for k in chosen] == [("$.conv_id", "$.role", "$.text", "$.turn")]
+    assert {k: r["n_turns"] for k, r in got.items()} == {-1: 2, 1: 2, 2: 1}
+    assert got[1]["turns_sha256"] == hashlib.sha256(b"Human\na\nassistant\n\n").hexdigest() and got[2]["turns_sha256"] == hashlib.sha256(b"\nb\n").hexdigest()
+
+
 def test_pipeline_stages(spark, tmp_path):
     pipeline = importlib.import_module("corpus_pipeline")
     rng = random.Random(6)
