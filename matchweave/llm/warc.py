@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.common import scratch_table
+from matchweave.llm.common import scratch_table, small_batches
 
 ARCHIVE = "record long, chunk int, bytes binary, sha1 binary"
 _GAP = b"\r\n\r\n"
@@ -56,7 +56,7 @@ def header(page: int | None, url: str | None, digest: str, size: int, response:
     return "\r\n".join(lines).encode() + _GAP + http
 
 
-def write_archive(pages: DataFrame, chunk_bytes: int = 1 << 18, least: int = 0, send: int = 1_000_000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
+def write_archive(pages: DataFrame, chunk_bytes: int = 1 << 18, least: int = 0, send: int = 1_000_000, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", batch_bytes: int = 1 << 22) -> DataFrame:
     """Write one record per page and return the archive's chunk table.
 
     Of pages with equal payloads of at least ``least`` bytes the one with the
@@ -64,7 +64,11 @@ def write_archive(pages: DataFrame, chunk_bytes: int = 1 << 18, least: int = 0,
     Null payloads are empty; a null id is never referred to; rows that repeat an
     id with the same payload are written alike. ``send`` bounds the list of
     record types that is broadcast; a longer one is joined by a shuffle.
+
+    Each chunk goes to the worker as a row of its own. The worker holds one
+    batch of rows and at most about ``batch_bytes`` of chunks to write.
     """
+    small_batches(pages.sparkSession)
     pages = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.encode(F.col(payload_col).cast("string"), "utf-8"), F.lit(b"")).alias("payload"))
     kinds = scratch_table(record_types(pages, least), "types")
     kinds = kinds.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "response")
@@ -72,23 +76,37 @@ def write_archive(pages: DataFrame, chunk_bytes: int = 1 << 18, least: int = 0,
     typed = pages.join(kinds, pages["page_id"].eqNullSafe(F.col("_id")) & (F.sha1("payload") == F.col("_digest")))
     total = F.octet_length("payload")
     pieces = F.when(F.coalesce(F.col("response") != F.col("page_id"), F.col("response").isNotNull()), F.lit(0)).otherwise(F.ceil(total / chunk_bytes).cast("int"))
-    rows = typed.select("page_id", "url", F.col("_digest").alias("digest"), total.cast("long").alias("size"), "response", F.transform(F.when(pieces > 0, F.sequence(F.lit(1), pieces)).otherwise(F.array().cast("array<int>")), lambda k: F.substring(F.col("payload"), (k - 1) * chunk_bytes + 1, F.lit(chunk_bytes))).alias("pieces"))
+    rows = typed.select("page_id", "url", F.col("_digest").alias("digest"), total.cast("long").alias("size"), "response", "payload", pieces.alias("pieces"))
+    # A row for the header, then one for each chunk; the rows of a record follow one another.
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("pieces"))))
+    piece = F.when(F.col("k") > 0, F.substring(F.col("payload"), (F.col("k") - 1) * chunk_bytes + 1, F.lit(chunk_bytes)))
+    rows = rows.select("page_id", "url", "digest", "size", "response", "k", (F.col("k") == F.col("pieces")).alias("last"), piece.alias("piece"))
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        record = TaskContext.get().partitionId() << 40
+        record, running = TaskContext.get().partitionId() << 40, hashlib.sha1()
+        names, kinds = ["record", "chunk", "bytes", "sha1"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        out: list[tuple] = []
+        held = 0
+
+        def written() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                out: list[tuple] = []
-                for page, url, digest, size, response, own in zip(*(batch.column(k).slice(at, 64).to_pylist() for k in range(6)), strict=True):
+            for page, url, digest, size, response, k, last, piece in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k == 0:
                     running, record = hashlib.sha1(), record + 1
-                    written = base64.b32encode(bytes.fromhex(digest)).decode()
-                    out.append((record, 0, header(page, url, written, size, response, record), running.digest()))
-                    for k, piece in enumerate(own, 1):
-                        running.update(piece)
-                        out.append((record, k, piece, running.digest()))
-                    out.append((record, len(own) + 1, _GAP, running.digest()))
-                kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["record", "chunk", "bytes", "sha1"])
+                    piece = header(page, url, base64.b32encode(bytes.fromhex(digest)).decode(), size, response, record)
+                else:
+                    running.update(piece)
+                out.append((record, k, piece, running.digest()))
+                if last:
+                    out.append((record, k + 1, _GAP, running.digest()))
+                held += len(piece) + 100
+                if held >= batch_bytes:
+                    yield written()
+                    out, held = [], 0
+        if out:
+            yield written()
 
     return scratch_table(rows.mapInArrow(write, ARCHIVE), "archive")
 

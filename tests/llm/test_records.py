@@ -6,7 +6,9 @@ import importlib
 import json
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from matchweave.llm import chat, common, minhash, warc
 
@@ -67,6 +69,23 @@ def test_warc_bytes_are_records_and_damage_is_seen(spark):
     assert warc.read_archive(warc.write_archive(df.where("false"))).count() == 0
 
 
+def test_warc_writer_streams_chunks(spark, monkeypatch):
+    frame = type(spark.range(0))
+    taken, through = [], frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda self, f, *a, **b: taken.append((self, f)) or through(self, f, *a, **b))
+    big = spark.range(1).select(F.lit(1).cast("long").alias("page_id"), F.lit("u").alias("url"), F.repeat(F.lit("0123456789"), 30_000).alias("html"))
+    archive = warc.write_archive(big, chunk_bytes=1000)
+    rows, write = taken[0]
+    table = rows.toArrow()
+    assert table.num_rows == 301 and max(len(x or b"") for x in table["piece"].to_pylist()) == 1000
+    monkeypatch.setattr(warc.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
+    assert sum(b.num_rows for b in write(table.to_batches(max_chunksize=7))) == archive.count() == 302
+    wide = pa.concat_tables([table] * 30)
+    batches = list(write(wide.to_batches(max_chunksize=7)))
+    assert len(batches) == 3 and max(b.nbytes for b in batches) < 6 << 20
+    assert warc.read_archive(archive).first()["payload_bytes"] == 300_000
+
+
 TEXTS = ["<|end|>\n", "a\\!b", "\\\\", "[INST]x[/INST]</s><s><|user|>\n", "<<SYS>>", "|>", "<\\!|", "</s>[INST] ok [/INST]", "\\", "", None, "x" * 100000, "<|assistant|>\nno<|end|>\n"]
 
 
