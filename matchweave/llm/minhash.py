@@ -87,7 +87,7 @@ def min_max_bands(flat: np.ndarray, at: np.ndarray, bands: int, rows: int) -> np
 
 
 def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, h1 and h2 (together the set's 128-bit digest) and band keys."""
+    """doc_id, text_hash (as given), n_shingles, h1 and h2 (together the set's 128-bit digest) and band keys."""
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,11 +104,11 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
                     lengths = np.where(size > 0, bands, 0)
                     keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(found.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(size), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), keys],
-                    names=["doc_id", "n_shingles", "h1", "h2", "bands"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(size), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), keys],
+                    names=["doc_id", "text_hash", "n_shingles", "h1", "h2", "bands"],
                 )
 
-    return docs.mapInArrow(sign, "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return docs.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>")
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
@@ -156,7 +156,7 @@ def block_links(batches: Iterable[pa.RecordBatch], part: int, whole: int) -> Ite
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 80, whole: int = 100, rows: int = 5, miss: float = 1e-8, block: int = 1024, send: int = 1_000_000) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 80, whole: int = 100, rows: int = 5, miss: float = 1e-8, block: int = 1024, send: int = 1_000_000, hashed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
     Two documents are linked if whole * intersection >= part * union over their
@@ -165,7 +165,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at the threshold (more alike pairs are missed still less). Null and wordless
     texts have no shingles and are linked with nothing. A null doc_id never
     represents others. Repeated doc_ids count as one document. Other columns
-    are ignored; an empty table gives no rows.
+    are ignored; an empty table gives no rows. With ``hashed`` the text's hash is
+    given too (text_hash), to tell rows of one doc_id apart.
 
     ``send`` bounds the proposed ids that are broadcast to fetch texts again; a
     longer list is joined by a shuffle. A proposed group of more than ``block``
@@ -174,7 +175,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = scratch_table(signatures(docs, width, band_count(part / whole, rows, miss), rows), "signatures")
+    sets = scratch_table(signatures(docs.withColumn("text_hash", F.xxhash64("text")), width, band_count(part / whole, rows, miss), rows), "signatures")
     key = ["h1", "h2", "n_shingles"]
     classes = scratch_table(sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).where("rep is not null"), "classes")
     keys = classes.select("rep", F.explode("bands").alias("band"))
@@ -204,14 +205,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     comps = connected_components(edges, "a", "b").withColumnRenamed("node", "rep")
     named = classes.drop("bands").join(comps, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = sets.drop("bands").join(named, key, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", *["text_hash"][: int(hashed)], "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", send: int = 1_000_000, **how) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", send: int = 1_000_000, **how) -> DataFrame:
     """``docs`` without those that a near-duplicate with a smaller id represents.
 
-    Takes the arguments of ``near_duplicates``; all columns stay.
+    Takes the arguments of ``near_duplicates``; all columns stay. Of a doc_id
+    that repeats with other texts only the texts that are represented go.
     """
-    gone = scratch_table(near_duplicates(docs, id_col=id_col, send=send, **how).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "dropped")
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, send=send, hashed=True, **how)
+    gone = scratch_table(found.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct(), "dropped")
     gone = F.broadcast(gone) if gone.count() <= send else gone
-    return docs.join(gone, docs[id_col].cast("long") == F.col("_gone"), "left_anti")
+    return docs.join(gone, (docs[id_col].cast("long") == F.col("_gone")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_hash")), "left_anti")

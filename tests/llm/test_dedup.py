@@ -94,3 +94,11 @@ def test_vector_estimates_bound_the_truth():
     assert abs(np.mean(estimate - true)) < 1e-3  # unbiased
     bound = 7 * np.sqrt(1 - factor**2) / factor / math.sqrt(63)
     assert (np.abs(estimate - true) <= bound[None, :] * np.sqrt(np.maximum(0, 1 - true**2)) + 1e-9).all()
+
+
+@pytest.mark.parametrize("send", [10**6, 0])
+def test_only_the_repeated_text_of_an_id_is_dropped(spark, send):
+    one, other = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    docs = spark.createDataFrame([(1, one), (5, one), (5, other), (5, other), (5, None), (7, other), (None, "alone")], "doc_id long, text string")
+    kept = minhash.drop_near_duplicates(docs, send=send).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(1, one), (5, other), (5, other), (5, None), (None, "alone")]))
