@@ -2,18 +2,27 @@
 
 Each permutation of a document's word shingles gives two signature values, its
 minimum and its maximum, so half the hash evaluations fill the same bands. The
-bands only propose which documents may be alike. Groups that the bands connect
-are then compared on their whole shingle sets, in blocks of bounded size.
+bands only propose which documents may be alike; a proposal joins nothing until
+it is confirmed on the whole shingle sets.
 
 Documents with equal sets are one class before any band is cut, so thousands
-of exact copies cost one row. Inside a proposed group all intersection sizes
-come from one matrix product over the shingles that at least two members share;
-pairs are never written out, each block returns a spanning forest of its links.
+of exact copies cost one row. Then, in two steps:
+
+1. Each member of a band's bucket is compared with the bucket's smallest id only,
+   first by signature, then by whole set. That takes as many pairs as members, and
+   settles most buckets: all their members are in one component, or no others are
+   left.
+2. In the other buckets the members of different components are compared with each
+   other by signature, block against block. Only those whose signatures may reach
+   the threshold are joined to groups, and in these the whole sets are compared,
+   again block against block. Pairs are never written out; a block returns a
+   spanning forest of its links.
 """
 
 from __future__ import annotations
 
 import math
+import secrets
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from matchweave.llm.common import connected_components, forest, group_starts, scratch_table, small_batches, whole_groups
-from matchweave.llm.textbuf import LOWER, mix, span_hashes, text_slices, words
+from matchweave.llm.textbuf import LOWER, WordHash, mix, text_slices, words
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int, word_hash: WordHash) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of every text, joined, and offsets.
 
     Words are lower-cased in A-Z. A text of fewer than ``width`` words has its
@@ -36,7 +45,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     n = len(offsets) - 1
     data = LOWER[data]
     starts, ends, owner = words(data, offsets)
-    h = span_hashes(data, starts, ends)
+    h = word_hash(data, starts, ends)
     at = np.searchsorted(owner, np.arange(n + 1))
     rolled = h[: max(0, len(h) - width + 1)] + np.uint64(width)
     for k in range(1, width):
@@ -57,22 +66,33 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)])
 
 
+def digests(flat: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Two 64-bit digests of each set (2 x sets); 0 for an empty one."""
+    h, some = np.zeros((2, len(at) - 1), dtype=np.uint64), np.flatnonzero(np.diff(at))
+    if len(some):
+        h[0, some] = np.add.reduceat(mix(flat + _STEP), at[some])
+        h[1, some] = np.add.reduceat(mix(flat ^ _STEP), at[some])
+    return h.view(np.int64)
+
+
 def band_count(threshold: float, rows: int, miss: float) -> int:
     """Bands of ``rows`` values that miss a pair at the threshold with chance ``miss`` at most; even."""
     bands = math.ceil(math.log(miss) / math.log(1 - threshold**rows))
     return bands + bands % 2
 
 
-def min_max_bands(flat: np.ndarray, at: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """Band keys (texts x bands). The first half of the bands use minima, the rest maxima.
+def min_max_bands(flat: np.ndarray, at: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Band keys (texts x bands) and a byte of each signature value (texts x bands * rows).
 
-    A permutation's two values never meet in one band.
+    The first half of the bands use minima, the rest maxima. A permutation's two
+    values never meet in one band.
     """
     rng = np.random.default_rng(71)
     perms = bands // 2 * rows
     factor = rng.integers(0, 1 << 63, perms, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
     shift = rng.integers(0, 1 << 63, perms, dtype=np.uint64)
     keys = np.zeros((2, bands // 2, len(at) - 1), dtype=np.uint64)
+    sketch = np.zeros((2, perms, len(at) - 1), dtype=np.uint8)
     for p in range(perms):
         y = flat * factor[p]
         y += shift[p]
@@ -80,35 +100,113 @@ def min_max_bands(flat: np.ndarray, at: np.ndarray, bands: int, rows: int) -> np
         for side, pick in enumerate((np.minimum, np.maximum)):
             k = keys[side, p // rows]
             k *= _STEP
-            k += pick.reduceat(y, at[:-1]) + np.uint64(1)
+            value = pick.reduceat(y, at[:-1]) + np.uint64(1)
+            sketch[side, p] = (value * _STEP) >> np.uint64(56)
+            k += value
             k ^= k >> np.uint64(29)
     keys = keys.reshape(bands, -1).T
-    return mix(keys + np.arange(bands, dtype=np.uint64) * _STEP)
+    return mix(keys + np.arange(bands, dtype=np.uint64) * _STEP), sketch.reshape(2 * perms, -1).T
 
 
-def signatures(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, text_hash (as given), n_shingles, h1 and h2 (together the set's 128-bit digest) and band keys."""
+def signatures(docs: DataFrame, width: int, bands: int, rows: int, secret: int) -> DataFrame:
+    """doc_id, text_hash (as given), n_shingles, h1 and h2 (together the set's 128-bit digest), band keys and signature bytes."""
 
     def sign(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_hash = WordHash(secret)
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):
-                flat, at = shingle_sets(data, offsets, width)
+                flat, at = shingle_sets(data, offsets, width, word_hash)
                 size = np.diff(at)
                 some = np.flatnonzero(size)
-                h = np.zeros((2, hi - lo), dtype=np.uint64)
-                keys = pa.array([None] * (hi - lo), pa.list_(pa.int64()))
+                h = digests(flat, at)
+                keys, sketch = pa.array([None] * (hi - lo), pa.list_(pa.int64())), [None] * (hi - lo)
                 if len(some):
-                    h[0, some] = np.add.reduceat(mix(flat + _STEP), at[some])
-                    h[1, some] = np.add.reduceat(mix(flat ^ _STEP), at[some])
-                    found = min_max_bands(flat, np.append(at[some], len(flat)), bands, rows).view(np.int64)
+                    found, marks = min_max_bands(flat, np.append(at[some], len(flat)), bands, rows)
                     lengths = np.where(size > 0, bands, 0)
-                    keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(found.ravel()))
+                    keys = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(np.ascontiguousarray(found).view(np.int64).ravel()))
+                    for i, row in zip(some.tolist(), marks, strict=True):
+                        sketch[i] = row.tobytes()
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(size), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), keys],
-                    names=["doc_id", "text_hash", "n_shingles", "h1", "h2", "bands"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(2).slice(lo, hi - lo), pa.array(size), pa.array(h[0]), pa.array(h[1]), keys, pa.array(sketch, pa.binary())],
+                    names=["doc_id", "text_hash", "n_shingles", "h1", "h2", "bands", "sketch"],
                 )
 
-    return docs.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>")
+    return docs.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary")
+
+
+def least_agreement(threshold: float, values: int, sigmas: float) -> float:
+    """Agreeing signature bytes that a pair at the threshold has, less ``sigmas`` deviations."""
+    p = threshold + (1 - threshold) / 256
+    return values * p - sigmas * math.sqrt(values * p * (1 - p))
+
+
+def with_leaders(batches: Iterable[pa.RecordBatch], alike) -> Iterator[pa.RecordBatch]:
+    """(a, b) of each member that is alike to its leader.
+
+    Rows (low, salt, member, rep, n, data) in order of low, salt and member: the
+    leader's own rows (member 0) come first, then the others. ``alike`` takes the
+    leader's n and data and lists of the members'; a member is held against each of
+    the leader's rows.
+    """
+    group, leaders = None, []
+    for batch in batches:
+        low, salt, member, rep, n = (batch.column(k).to_numpy() for k in range(5))
+        data = batch.column(5)
+        at = group_starts(low, salt)
+        out: tuple[list, list] = ([], [])
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if group != (low[lo], salt[lo]):
+                group, leaders = (low[lo], salt[lo]), []
+            head = lo + int(np.count_nonzero(member[lo:hi] == 0))
+            leaders += [(int(n[k]), data[k].as_py()) for k in range(lo, head)]
+            if head == hi:
+                continue
+            others = [x.as_py() for x in data.slice(head, hi - head)]
+            hit = np.zeros(hi - head, dtype=bool)
+            for own, value in leaders:
+                hit |= alike(own, value, n[head:hi], others)
+            out[0].append(rep[head:hi][hit])
+            out[1].append(low[head:hi][hit])
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["a", "b"])
+
+
+def compare_with_leaders(pairs: DataFrame, values: DataFrame, alike, salt_rows: int) -> DataFrame:
+    """Pairs (a, b) of ``pairs`` (low, rep) that are alike; ``values`` has rep, n and data.
+
+    A leader of more than ``salt_rows`` members is copied once for each as many.
+    """
+    sizes = pairs.groupBy("low").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts"))
+    members = pairs.join(sizes, "low").join(values, "rep").select("low", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), "rep", "n", "data")
+    leaders = sizes.join(values.withColumnRenamed("rep", "low"), "low").select("low", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("low").alias("rep"), "n", "data")
+    rows = members.unionByName(leaders).repartition("low", "salt").sortWithinPartitions("low", "salt", "member")
+    return rows.mapInArrow(lambda it: with_leaders(it, alike), "a long, b long")
+
+
+def may_reach(part: int, whole: int, least: float):
+    """Test by size and signature bytes for ``with_leaders``."""
+
+    def alike(n: int, sketch: bytes, sizes: np.ndarray, others: list[bytes]) -> np.ndarray:
+        marks = np.frombuffer(b"".join(others), np.uint8).reshape(len(others), -1)
+        agree = (marks == np.frombuffer(sketch, np.uint8)).sum(axis=1)
+        return (agree >= least) & (whole * np.minimum(n, sizes) >= part * np.maximum(n, sizes))
+
+    return alike
+
+
+def sets_reach(part: int, whole: int):
+    """Test by whole sets for ``with_leaders``."""
+
+    def alike(n: int, blob: bytes, sizes: np.ndarray, others: list[bytes]) -> np.ndarray:
+        own, hit = np.frombuffer(blob, np.uint64), np.zeros(len(others), dtype=bool)
+        for k, x in enumerate(others):
+            x = np.frombuffer(x, np.uint64)
+            at = np.searchsorted(own, x)
+            both = int(np.count_nonzero(own[np.minimum(at, n - 1)] == x))
+            hit[k] = both > 0 and whole * both >= part * (n + len(x) - both)
+        return hit
+
+    return alike
 
 
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
@@ -137,7 +235,7 @@ def block_links(batches: Iterable[pa.RecordBatch], part: int, whole: int) -> Ite
     """A spanning forest of the links in each block pair, as (a, b) document ids."""
     for table in whole_groups(batches, ["comp", "i", "j"]):
         ids, comp, i, j, block = (table[c].to_numpy() for c in ("rep", "comp", "i", "j", "block"))
-        blob = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        blob = [np.frombuffer(x, np.uint64) for x in table["data"].to_pylist()]
         at = group_starts(comp, i, j)
         out: tuple[list, list] = ([], [])
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -156,65 +254,127 @@ def block_links(batches: Iterable[pa.RecordBatch], part: int, whole: int) -> Ite
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["a", "b"])
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 80, whole: int = 100, rows: int = 5, miss: float = 1e-8, block: int = 1024, send: int = 1_000_000, hashed: bool = False) -> DataFrame:
+def block_candidates(batches: Iterable[pa.RecordBatch], part: int, whole: int, least: float) -> Iterator[pa.RecordBatch]:
+    """A spanning forest, in each block pair, of what may be linked by size and signature and isn't in one component yet."""
+    for table in whole_groups(batches, ["band", "i", "j"]):
+        ids, label, n, band, i, j, block = (table[c].to_numpy() for c in ("rep", "label", "n", "band", "i", "j", "block"))
+        marks = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+        at = group_starts(band, i, j)
+        out: tuple[list, list] = ([], [])
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            order = lo + np.argsort(ids[lo:hi], kind="stable")
+            first = order[block[order] == i[lo]]
+            second = first if i[lo] == j[lo] else order[block[order] == j[lo]]
+            if not len(first) or not len(second):
+                continue
+            agree = np.zeros((len(first), len(second)), dtype=np.uint16)
+            for x, y in zip(marks[first].T, marks[second].T, strict=True):
+                agree += x[:, None] == y[None, :]
+            sizes = n[first][:, None], n[second][None, :]
+            near = (agree >= least) & (whole * np.minimum(*sizes) >= part * np.maximum(*sizes)) & (label[first][:, None] != label[second][None, :])
+            a, b = np.nonzero(near)
+            place = np.zeros(hi, dtype=np.int64)
+            place[order] = np.arange(hi - lo)
+            low = forest(hi - lo, place[first[a]], place[second[b]])
+            moved = np.flatnonzero(low != np.arange(hi - lo))
+            out[0].append(ids[order][moved])
+            out[1].append(ids[order][low[moved]])
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["a", "b"])
+
+
+def in_block_pairs(rows: DataFrame, by: str, *columns: str) -> DataFrame:
+    """Each row of a group ``by`` once for every pair (i, j) of blocks that its own block is in, in order; rows have blocks."""
+    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    pairs = rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    pairs = pairs.select("rep", by, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", *columns)
+    return pairs.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 80, whole: int = 100, rows: int = 5, miss: float = 1e-8, sigmas: float = 6.0, block: int = 512, block_bytes: int = 8 << 20, salt_rows: int = 4096, hashed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
     Two documents are linked if whole * intersection >= part * union over their
     sets of ``width``-word shingles; component_id is the smallest doc_id
     reachable. ``miss`` bounds the chance that the bands overlook one pair right
-    at the threshold (more alike pairs are missed still less). Null and wordless
+    at the threshold, ``sigmas`` the deviations by which its signature may fall
+    short (more alike pairs are missed still less). Null and wordless
     texts have no shingles and are linked with nothing. A null doc_id never
     represents others. Repeated doc_ids count as one document. Other columns
     are ignored; an empty table gives no rows. With ``hashed`` the text's hash is
     given too (text_hash), to tell rows of one doc_id apart.
 
-    ``send`` bounds the proposed ids that are broadcast to fetch texts again; a
-    longer list is joined by a shuffle. A proposed group of more than ``block``
-    documents is cut into blocks and compared block against block, each pair of
-    blocks in a task of its own.
+    A group of more than ``block`` documents, or ``block_bytes`` of shingles, is
+    cut into blocks and compared block against block, each pair of blocks a group
+    of its own. Joins carry no hints: Spark broadcasts a side by its size in bytes.
     """
     small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    sets = scratch_table(signatures(docs.withColumn("text_hash", F.xxhash64("text")), width, band_count(part / whole, rows, miss), rows), "signatures")
+    bands, secret = band_count(part / whole, rows, miss), secrets.randbits(64)
+    least = least_agreement(part / whole, bands * rows, sigmas)
+    sets = scratch_table(signatures(docs.withColumn("text_hash", F.xxhash64("text")), width, bands, rows, secret), "signatures")
     key = ["h1", "h2", "n_shingles"]
-    classes = scratch_table(sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")).where("rep is not null"), "classes")
+    first = [F.first(c).alias(c) for c in ("bands", "sketch")]
+    classes = scratch_table(sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), *first).where("rep is not null"), "classes")
     keys = classes.select("rep", F.explode("bands").alias("band"))
-    low = keys.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high").select("band", "low")
-    proposed = connected_components(keys.join(low, "band").where("rep != low").select("rep", "low"), "rep", "low")
-    sizes = proposed.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    proposed = scratch_table(proposed.join(sizes, "component").select(F.col("node").alias("rep"), F.col("component").alias("comp"), "blocks"), "proposed")
-    few = proposed.count() <= send
-
-    def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, data, offsets in text_slices(batch.column(3)):
-                flat, at = shingle_sets(data, offsets, width)
-                raw = flat.tobytes()
-                rest = [batch.column(c).slice(lo, hi - lo) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*rest, pa.array([raw[8 * a : 8 * b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())], names=["rep", "comp", "blocks", "shingles"])
-
-    texts = docs.join(F.broadcast(proposed) if few else proposed, docs["doc_id"] == proposed["rep"]).select("rep", "comp", "blocks", "text")
-    found = texts.mapInArrow(gather, "rep long, comp long, blocks int, shingles binary")
-    own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    pairs = (
-        found.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("rep", "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "shingles")
-        .repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
-    )
-    edges = pairs.mapInArrow(lambda it: block_links(it, part, whole), "a long, b long")
-    comps = connected_components(edges, "a", "b").withColumnRenamed("node", "rep")
-    named = classes.drop("bands").join(comps, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    out = sets.drop("bands").join(named, key, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    buckets = keys.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("m")).where("low < high").select("band", "low", "m")
+    shared = scratch_table(keys.join(buckets, "band").where("rep != low"), "shared")
+
+    marks = classes.select("rep", F.col("n_shingles").alias("n"), "sketch")
+    pairs = scratch_table(compare_with_leaders(shared.select("low", "rep").distinct(), marks.withColumnRenamed("sketch", "data"), may_reach(part, whole, least), salt_rows), "pairs")
+
+    def sets_of(reps: DataFrame, name: str) -> DataFrame:
+        """(rep, n, data) of the classes of ``reps``, their shingles made from the texts again."""
+
+        def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            word_hash = WordHash(secret)
+            for batch in batches:
+                for lo, hi, data, offsets in text_slices(batch.column(2)):
+                    flat, at = shingle_sets(data, offsets, width, word_hash)
+                    raw, n = flat.tobytes(), np.diff(at)
+                    own = np.flatnonzero(digests(flat, at)[0] == batch.column(1).slice(lo, hi - lo).to_numpy())
+                    blobs = pa.array([raw[8 * a : 8 * b] for a, b in zip(at[own].tolist(), at[own + 1].tolist(), strict=True)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(own)), pa.array(n[own]), blobs], names=["rep", "n", "data"])
+
+        wanted = scratch_table(classes.join(reps, "rep", "left_semi").select("rep", F.col("h1").alias("_h1")), f"{name}_wanted")
+        texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "_h1", "text")
+        return scratch_table(texts.mapInArrow(gather, "rep long, n long, data binary"), name)
+
+    ends = lambda e: e.select(F.col("a").alias("rep")).unionByName(e.select(F.col("b").alias("rep"))).distinct()
+    edges = scratch_table(compare_with_leaders(pairs.select(F.col("a").alias("rep"), F.col("b").alias("low")), sets_of(ends(pairs), "star_sets"), sets_reach(part, whole), salt_rows), "star_links")
+    comps = connected_components(edges, "a", "b")
+
+    # What the stars leave: buckets with members, besides the one all were compared with, of several components.
+    rest = shared.where("m > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("label"))
+    rest = scratch_table(rest, "rest")
+    open_ = rest.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("x < y").select("band", "blocks")
+    met = in_block_pairs(rest.join(open_, "band").join(marks, "rep"), "band", "label", "n", "sketch")
+    near = scratch_table(met.mapInArrow(lambda it: block_candidates(it, part, whole, least), "a long, b long"), "candidates")
+    if not near.isEmpty():
+        groups = connected_components(near, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
+        found = sets_of(groups.select("rep"), "group_sets").join(groups, "rep")
+        sizes = found.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / block_bytes)).cast("int").alias("blocks"))
+        links = in_block_pairs(found.join(sizes, "comp"), "comp", "data").mapInArrow(lambda it: block_links(it, part, whole), "a long, b long")
+        comps = connected_components(edges.unionByName(links), "a", "b")
+    comps = comps.withColumnRenamed("node", "rep")
+    named = classes.drop("bands", "sketch").join(comps, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
+    out = sets.drop("bands", "sketch").join(named, key, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", *["text_hash"][: int(hashed)], "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", send: int = 1_000_000, **how) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without those that a near-duplicate with a smaller id represents.
 
     Takes the arguments of ``near_duplicates``; all columns stay. Of a doc_id
-    that repeats with other texts only the texts that are represented go.
+    that repeats with other texts only the texts that are represented go, and of
+    rows with the same doc_id (or without one) and the same text at most one stays.
     """
-    found = near_duplicates(docs, id_col=id_col, text_col=text_col, send=send, hashed=True, **how)
-    gone = scratch_table(found.where("not kept").select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct(), "dropped")
-    gone = F.broadcast(gone) if gone.count() <= send else gone
-    return docs.join(gone, (docs[id_col].cast("long") == F.col("_gone")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("_hash")), "left_anti")
+    found = scratch_table(near_duplicates(docs, id_col=id_col, text_col=text_col, hashed=True, **how), "found")
+    key = lambda t: docs[id_col].cast("long").eqNullSafe(t["_id"]) & F.xxhash64(docs[text_col].cast("string")).eqNullSafe(t["_hash"])
+    rows = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
+    gone = scratch_table(rows.where("not kept").select("_id", "_hash"), "dropped")
+    again = scratch_table(rows.where("kept and n > 1").select("_id", "_hash"), "repeated")
+    left = docs.join(gone, key(gone), "left_anti")
+    if again.isEmpty():
+        return left
+    return left.join(again, key(again), "left_anti").unionByName(docs.join(again, key(again), "left_semi").dropDuplicates([id_col, text_col]))

@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
-_RNG = np.random.default_rng(20240229)
-_BYTE_CODE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS: list[np.ndarray] = []
-
-
-def _powers(n: int) -> list[np.ndarray]:
-    """Powers of the base and of its inverse, at least ``n`` of each."""
-    if not _POWERS or len(_POWERS[0]) < n:
-        size = max(n, 1 << 19)
-        _POWERS.clear()
-        for base in (_BASE, _BASE_INVERSE):
-            p = np.full(size, np.uint64(base), dtype=np.uint64)
-            p[0] = 1
-            _POWERS.append(np.cumprod(p))
-    return _POWERS
+#: A word of at most this many bytes is told apart by its bytes alone.
+LANE = 16
+_KEEP = np.where(np.arange(LANE)[None, :] < np.arange(LANE + 1)[:, None], 255, 0).astype(np.uint8)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -63,12 +50,48 @@ def text_slices(column: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, in
         lo = hi
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte span, equal for equal bytes at any place."""
-    up, down = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_CODE[data] * up[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F))
+def short_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first 16 bytes of each span as two unsigned numbers (spans x 2), zeros after its end.
+
+    Spans of up to 16 bytes without a zero byte are equal if and only if both numbers are.
+    """
+    padded = np.concatenate([data, np.zeros(LANE, np.uint8)])
+    lanes = np.lib.stride_tricks.sliding_window_view(padded, LANE)[starts]
+    lanes &= _KEEP[np.minimum(ends - starts, LANE)]
+    return lanes.view("<u8")
+
+
+class WordHash:
+    """64-bit hashes of words under a secret: texts that don't know it can't be made to collide.
+
+    Words of up to 16 bytes take two multilinear hashes of their 32-bit parts,
+    which hold for any pair of words with the chance of 64 random bits; longer
+    ones take keyed BLAKE2, remembered per call for those that repeat.
+    """
+
+    def __init__(self, secret: int):
+        rng = np.random.default_rng(secret)
+        self.factors = rng.integers(0, 1 << 63, (2, 6), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.key = rng.bytes(32)
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        size = ends - starts
+        parts = short_spans(data, starts, ends).view("<u4")
+        out = np.zeros(len(starts), dtype=np.uint64)
+        for f in self.factors:
+            h = f[4] * size.astype(np.uint64) + f[5]
+            for k in range(4):
+                h += f[k] * parts[:, k]
+            out = (out << np.uint64(32)) | (h >> np.uint64(32))
+        long = np.flatnonzero(size > LANE)
+        if len(long):
+            raw, seen = data.tobytes(), {}
+            for i, a, b in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+                word = raw[a:b]
+                if (h := seen.get(word)) is None:
+                    h = seen[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8, key=self.key).digest(), "little")
+                out[i] = h
+        return out
 
 
 #: 0x20 and 0x09-0x0D separate words.

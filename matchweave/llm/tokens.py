@@ -13,7 +13,7 @@ from __future__ import annotations
 import numpy as np
 from tokenizers import Tokenizer
 
-from matchweave.llm.textbuf import span_hashes
+from matchweave.llm.textbuf import LANE, mix, short_spans
 
 _SPACE, _LINE, _LETTER, _DIGIT, _SIGN, _QUOTE, _OTHER = range(7)
 _CLASS = np.full(256, _SIGN, dtype=np.uint8)
@@ -44,7 +44,12 @@ def byte_letters() -> list[str]:
 
 
 class Memo:
-    """Distinct pieces' values by 64-bit hash, in flat sorted arrays; emptied when full."""
+    """Distinct pieces' values in flat arrays; emptied when full.
+
+    A piece of up to 16 bytes is looked for by a hash of its bytes and taken for
+    known only if the bytes are the same; a longer one, and one whose hash another
+    piece has, is looked for by its bytes in a dictionary.
+    """
 
     def __init__(self, entries: int):
         self.entries = entries
@@ -52,11 +57,12 @@ class Memo:
 
     def clear(self) -> None:
         self.keys, self.slot = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+        self.bytes, self.named = np.zeros((0, 2), dtype=np.uint64), {}
         self.offset, self.values = np.zeros(1 << 12, dtype=np.int32), np.zeros(1 << 14, dtype=np.uint32)
         self.n = 0
 
-    def add(self, at: np.ndarray, hashes: np.ndarray, values: list[list[int]]) -> np.ndarray:
-        """Put new hashes before the places ``at``; returns their slots."""
+    def add(self, values: list[list[int]]) -> np.ndarray:
+        """Slots of new pieces' values."""
         flat = np.fromiter((x for v in values for x in v), dtype=np.uint32)
         lengths = np.fromiter(map(len, values), dtype=np.int32, count=len(values))
         used = int(self.offset[self.n])
@@ -67,28 +73,45 @@ class Memo:
         self.values[used : used + len(flat)] = flat
         self.offset[self.n + 1 : self.n + 1 + len(values)] = used + np.cumsum(lengths)
         slots = np.arange(self.n, self.n + len(values), dtype=np.int32)
-        self.keys, self.slot = np.insert(self.keys, at, hashes), np.insert(self.slot, at, slots)
         self.n += len(values)
         return slots
 
-    def look_up(self, hashes: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
-        """All pieces' values joined, and each piece's number of values.
-
-        ``encode`` gets one position of every piece not yet known and returns
-        their values.
-        """
+    def _short(self, lanes: np.ndarray, encode) -> np.ndarray:
+        """Slots of short pieces, -1 where another piece has the same hash. ``encode`` takes positions."""
+        hashes = mix(lanes[:, 0] ^ mix(lanes[:, 1] + np.uint64(1)))
         kinds, first, back = np.unique(hashes, return_index=True, return_inverse=True)
-        if self.n + len(kinds) > self.entries:
-            self.clear()
         at = np.searchsorted(self.keys, kinds)
         known = np.zeros(len(kinds), dtype=bool)
         inside = at < len(self.keys)
         known[inside] = self.keys[at[inside]] == kinds[inside]
-        slots = np.zeros(len(kinds), dtype=np.int32)
-        slots[known] = self.slot[at[known]]
+        slots = np.full(len(kinds), -1, dtype=np.int32)
+        own = lanes[first]
+        same = (self.bytes[at[known]] == own[known]).all(axis=1)
+        slots[known] = np.where(same, self.slot[at[known]], -1)
         if not known.all():
-            slots[~known] = self.add(at[~known], kinds[~known], encode(first[~known]))
-        slots = slots[back]
+            new = ~known
+            slots[new] = self.add(encode(first[new]))
+            self.slot = np.insert(self.slot, at[new], slots[new])
+            self.keys, self.bytes = np.insert(self.keys, at[new], kinds[new]), np.insert(self.bytes, at[new], own[new], axis=0)
+        return np.where((lanes == own[back]).all(axis=1), slots[back], -1)
+
+    def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, encode) -> tuple[np.ndarray, np.ndarray]:
+        """All pieces' values joined, and each piece's number of values.
+
+        ``encode`` gives the values of one piece's bytes. Pieces hold no zero byte.
+        """
+        if self.n + len(starts) > self.entries:
+            self.clear()
+        raw, slots = data.tobytes(), np.full(len(starts), -1, dtype=np.int32)
+        short = np.flatnonzero(ends - starts <= LANE)
+        if len(short):
+            a, b = starts[short], ends[short]
+            slots[short] = self._short(short_spans(data, a, b), lambda at: [encode(raw[x:y]) for x, y in zip(a[at].tolist(), b[at].tolist(), strict=True)])
+        for i in np.flatnonzero(slots < 0).tolist():
+            piece = raw[starts[i] : ends[i]]
+            if (slot := self.named.get(piece)) is None:
+                slot = self.named[piece] = int(self.add([encode(piece)])[0])
+            slots[i] = slot
         start, length = self.offset[slots].astype(np.int64), (self.offset[slots + 1] - self.offset[slots]).astype(np.int64)
         stop = np.cumsum(length)
         where = np.repeat(start - stop + length, length)
@@ -165,9 +188,7 @@ class PieceEncoder:
         use = plain[owner] if n else np.zeros(0, dtype=bool)
         starts, ends, owner = starts[use], ends[use], owner[use]
         raw = data.tobytes()
-        ids, length = self.memo.look_up(
-            span_hashes(data, starts, ends), lambda at: [self._piece(raw[a:b]) for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        ) if len(starts) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        ids, length = self.memo.look_up(data, starts, ends, self._piece)
         counts = np.bincount(owner, weights=length, minlength=n).astype(np.int64)
         slow = np.flatnonzero(~plain)
         if not len(slow):

@@ -12,9 +12,9 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from matchweave.llm import bpe, langid, licenses, packing, pii, winnow
-from matchweave.llm.textbuf import text_slices
-from matchweave.llm.tokens import PieceEncoder, plain_tokenizer
+from matchweave.llm import bpe, langid, licenses, packing, pii, tokens, winnow
+from matchweave.llm.textbuf import string_buffers, text_slices
+from matchweave.llm.tokens import Memo, PieceEncoder, plain_tokenizer
 
 BYTE, WORD = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", None, "x", " ", "\n\n", "  a  b\n c\t d ", "it's  we'll\n\n\nyes 12 34", "<|endoftext|> hi", "日本 語\n日", "\x1c a \x1c b", "a×b", "Ǆ ß Σ́ ", "no" * 40000, "word " * 20000, "𝔘𝔫 😀"]
@@ -38,6 +38,24 @@ def test_pieces_encode_as_the_library():
     assert got == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_pieces_that_share_a_hash_or_defeat_polynomials():
+    one, other = "a", "b"
+    while len(one) < 4096:
+        one, other = one + other, other + one
+    texts = [one[:1024], other[:1024], one, other, f"x {one[:2048]} y", f"x {other[:2048]} y"]
+    data, offsets = string_buffers(pa.array(texts))
+    ids, at = PieceEncoder(BYTE).encode(data, offsets)
+    assert [ids[at[k] : at[k + 1]].tolist() for k in range(len(texts))] == [e.ids for e in plain_tokenizer(BYTE).encode_batch(texts, add_special_tokens=False)]
+    memo = Memo(100)
+    data, offsets = string_buffers(pa.array(["ab", "cd", "ab", "cd"]))
+    mixed, tokens.mix = tokens.mix, lambda h: h * np.uint64(0)  # every piece has the same hash
+    try:
+        values, n = memo.look_up(data, offsets[:-1], offsets[1:], lambda piece: list(piece))
+    finally:
+        tokens.mix = mixed
+    assert bytes(values.astype(np.uint8)) == b"abcdabcd" and n.tolist() == [2] * 4
+
+
 def test_packing_places_every_id_once(spark):
     texts = ODD + fuzz(60) + ["some words here " * k for k in range(1, 300, 7)]
     plain = plain_tokenizer(BYTE)
