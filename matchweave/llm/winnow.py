@@ -1,14 +1,16 @@
 """Document fingerprints by winnowing, in DataFrame expressions only.
 
-Every k-gram of code points is hashed; of each window of consecutive k-grams
-the smallest hash is kept, the rightmost of equal ones, together with its
-position. Two texts that share a passage of at least ``k + window - 1`` code
-points share a fingerprint of it.
-
-Hash and position are packed into one number, the hash above, less the position,
-so that the smallest number of a window is its smallest hash and, among equal
-hashes, the rightmost. Window minima come from doubling: the minima of 2, 4,
-8... neighbours, each step one pass.
+Every k-gram of code points is hashed by a polynomial modulo a prime; of each
+window of consecutive k-grams the smallest hash is kept, the rightmost of equal
+ones, together with its position. Two texts that share a passage of at least
+``k + window - 1`` code points share a fingerprint of it.
+
+Expressions on arrays have no running state, so the hash rolls by doubling: the
+hash of 2, 4, 8... code points from two neighbours of half the length, each step
+one pass, and no code point is hashed anew for every k-gram that holds it. Window
+minima come from the same doubling. Hash and position are packed into one number,
+the hash above, less the position, so that the smallest number of a window is its
+smallest hash and, among equal hashes, the rightmost.
 """
 
 from __future__ import annotations
@@ -16,32 +18,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from matchweave.llm.common import scratch_table
+
 K, WINDOW = 16, 16
+#: The prime of the polynomial, its base, and a factor that spreads its values.
+PRIME, BASE, SPREAD = (1 << 31) - 1, 1_103_515_245, 1_812_433_253 % ((1 << 31) - 1)
 _LOW = (1 << 31) - 1
-_HIGH = ((1 << 62) - 1) ^ _LOW
 
 
-def packed_grams(text: Column, start: Column | int = 0, k: int = K) -> Column:
-    """Packed (hash, place) of every k-gram from code point ``start`` on.
+def _rolled(codes: Column, reach: int) -> Column:
+    """Polynomial hashes of twice as many code points, modulo the prime."""
+    left = F.greatest(F.size(codes) - reach, F.lit(0))
+    return F.zip_with(F.slice(codes, 1, left), F.slice(codes, reach + 1, left), lambda a, b: (a * pow(BASE, reach, PRIME) + b) % PRIME)
 
-    A text of fewer than ``k`` code points is one k-gram, an empty one has none.
-    The place is four times the position, plus one.
-    """
-    n = F.length(text)
-    start = F.lit(start) if isinstance(start, int) else start
-    places = F.when(n > 0, F.sequence(start * 4 + 1, F.greatest(n - k, start) * 4 + 1, F.lit(4))).otherwise(F.array().cast("array<int>"))
 
-    def pack(wide: Column, p: Column) -> Column:
-        return F.xxhash64(F.substring(wide, p, F.lit(4 * k))).bitwiseAND(F.lit(_HIGH)) - p
+def with_grams(df: DataFrame, text: Column, name: str, start: Column | int = 0, k: int = K) -> DataFrame:
+    """Add ``name``: the packed (hash, place) of every k-gram from code point ``start`` on.
 
-    # Four bytes for each code point, so any place is reached at once. The array
-    # of one makes it a lambda's variable: computed once, not for every k-gram.
-    wide = F.array(F.encode(text, "utf-32"))
-    return F.element_at(F.transform(wide, lambda w: F.transform(places, lambda p: pack(w, p))), 1)
+    ``k`` is a power of two. A text of fewer than ``k`` code points is one k-gram,
+    an empty one has none. The place is the position plus one.
+    """
+    start = F.lit(start) if isinstance(start, int) else start
+    codes = F.transform(F.split(F.substring(text, start + 1, F.length(text)), ""), lambda c: F.ascii(c).cast("bigint") + 1)
+    df, reach = df.withColumn(name, F.when(F.length(text) > start, codes).otherwise(F.array().cast("array<bigint>"))), 1
+    few = F.aggregate(name, F.lit(0).cast("bigint"), lambda h, c: (h * BASE + c) % PRIME)
+    df = df.withColumn(name, F.when((F.size(name) < k) & (F.size(name) > 0), F.array(few)).otherwise(F.col(name))).withColumn(f"{name}_few", F.size(name) == 1)
+    while reach < k:
+        df = df.withColumn(name, F.when(F.col(f"{name}_few"), F.col(name)).otherwise(_rolled(F.col(name), reach)))
+        reach *= 2
+    packed = F.transform(name, lambda h, i: F.shiftleft(h * SPREAD % PRIME, 31) - (i + start + 1))
+    return df.withColumn(name, packed).drop(f"{name}_few")
 
 
 def position(v: Column) -> Column:
-    return F.shiftright(F.negate(v).bitwiseAND(F.lit(_LOW)), 2).cast("int")
+    return (F.negate(v).bitwiseAND(F.lit(_LOW)) - 1).cast("int")
 
 
 def gram_hash(v: Column) -> Column:
@@ -61,7 +71,7 @@ def with_minima(df: DataFrame, text: Column, name: str, start: Column | int = 0,
     ``window`` is a power of two. A text with fewer k-grams has one window, an
     empty one none. Steps are columns of their own, so none is evaluated twice.
     """
-    df, reach = df.withColumn(name, packed_grams(text, start, k)), 1
+    df, reach = with_grams(df, text, name, start, k), 1
     while reach < window:
         df = df.withColumn(name, _halve(F.col(name), reach))
         reach *= 2
@@ -98,26 +108,38 @@ def likeness(a: str, b: str, both: str) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.col(both) / F.greatest(union, F.lit(1)))
 
 
-def next_rows(docs: DataFrame, id_col: str, text_col: str, rows: int = 256, send: int = 1_000_000) -> DataFrame:
+def bucket_shift(ids: DataFrame, rows: int) -> int:
+    """Bits to take off ids so that no bucket of ids with equal rests has over ``rows`` rows; 8 at least.
+
+    Counts by rest are added up where they are; what returns is one number per shift.
+    """
+    shifts = range(8, 61, 4)
+    fine = ids.groupBy(F.shiftright("id", 8).alias("p")).agg(F.count("*").alias("n"))
+    all_ = fine.select("n", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.shiftright("p", s - 8).alias("p")) for s in shifts])).alias("at"))
+    most = all_.groupBy("at").agg(F.sum("n").alias("n")).groupBy("at.s").agg(F.max("n").alias("n")).where(F.col("n") <= rows)
+    return most.agg(F.max("s")).first()[0] or 8
+
+
+def next_rows(docs: DataFrame, id_col: str, text_col: str, rows: int = 4096) -> DataFrame:
     """(id, text, bucket, own): every row in a bucket of neighbouring ids, and in each
     bucket once more the row that follows it, with own = false.
 
-    Buckets are equal steps of the id range, about ``rows`` rows each, found from
-    three aggregates. Across buckets only one id per bucket is compared. The row
-    after the last is the first. ``send`` bounds the buckets' first ids that are
-    broadcast to find their texts; a longer list is joined by a shuffle.
+    A bucket is the ids that share their upper bits; how many bits is found from
+    counts, so that neither a far id nor dense runs of ids make a bucket of over
+    ``rows`` ids. Equal ids, and all rows without an id, share a bucket, whose sort
+    spills. Across buckets only one id per bucket is compared, in ranges. The row
+    after the last is the first. Texts are shuffled once, by bucket.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    span = docs.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi, n = span["lo"] or 0, span["hi"], span["n"]
-    step = max(1, ((hi or 0) - lo + 1) * rows // max(1, n))
-    last = -1 if hi is None else (hi - lo) // step
-    placed = docs.withColumn("bucket", F.coalesce(F.floor((F.col("id") - lo) / step).cast("long"), F.lit(-1)))  # null ids come first
-    heads = placed.groupBy("bucket").agg(F.min("id").alias("head")).withColumn("part", F.floor(F.col("bucket") / 1024))
-    parts = heads.groupBy("part").agg(F.max("bucket").alias("top")).withColumn("before", F.lag("top").over(Window.orderBy("part")))
+    shift = bucket_shift(docs.where("id is not null").select("id"), rows)
+    placed = docs.withColumn("bucket", F.coalesce(F.shiftright("id", shift), F.lit(-(1 << 62))))  # null ids come first
+    heads = placed.groupBy("bucket").agg(F.min("id").alias("head")).repartitionByRange("bucket")
+    heads = scratch_table(heads.withColumn("part", F.spark_partition_id()), "heads")
+    parts = heads.groupBy("part").agg(F.max("bucket").alias("top"))  # one row for each partition of the ranges
+    last = parts.agg(F.max("top")).first()[0]
+    parts = parts.withColumn("before", F.lag("top").over(Window.orderBy("part")))
     heads = heads.withColumn("to", F.lag("bucket").over(Window.partitionBy("part").orderBy("bucket"))).join(parts, "part")
-    heads = heads.select("head", F.coalesce("to", "before", F.lit(last)).alias("to"))
-    heads = F.broadcast(heads) if n // rows <= send else heads
+    heads = scratch_table(heads.select("head", F.coalesce("to", "before", F.lit(last)).alias("to")), "followers")
     ahead = docs.join(heads, F.col("id").eqNullSafe(F.col("head"))).groupBy("to", "id").agg(F.min("text").alias("text"))
     return placed.withColumn("own", F.lit(True)).unionByName(ahead.select("id", "text", F.col("to").alias("bucket"), F.lit(False).alias("own")))
 

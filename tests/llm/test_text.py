@@ -9,7 +9,6 @@ import numpy as np
 import pyarrow as pa
 import public_tokenizers
 import pytest
-import xxhash
 from pyspark.sql import functions as F
 
 from matchweave.llm import bpe, langid, licenses, packing, pii, tokens, winnow
@@ -91,7 +90,12 @@ def test_null_ids_and_repeats_pack(spark):
 def winnowed(text, k=16, w=16):
     if not text:
         return []
-    grams = [xxhash.xxh64(text[i : i + k].encode("utf-32-be"), seed=42).intdigest() >> 31 & 0x7FFFFFFF for i in range(max(len(text) - k, 0) + 1)]
+    p, base, grams, h = winnow.PRIME, winnow.BASE, [], 0
+    for i, c in enumerate(text):  # one code point in, one out
+        out = (ord(text[i - k]) + 1) * pow(base, k, p) if i >= k else 0
+        h = (h * base + ord(c) + 1 - out) % p
+        if i >= k - 1 or i == len(text) - 1:
+            grams.append(h * winnow.SPREAD % p)
     out = []
     for i in range(max(1, len(grams) - w + 1)):
         window = grams[i : i + w]
@@ -121,6 +125,27 @@ def test_winnowing_equals_brute_force(spark):
     assert len(one) == 1
 
 
+def test_winnowing_of_long_texts(spark):
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abc é日", k=n)) for n in (200_000, 60_000, 5)]
+    rows = winnow.edited_fingerprints(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").select(winnow.positions_and_hashes(F.col("own_print")).alias("p"), winnow.positions_and_hashes(F.col("edited_print")).alias("e"), "edited").collect()
+    for t, r in zip(texts, rows, strict=True):
+        assert [tuple(x) for x in r["p"]] == winnowed(t) and [tuple(x) for x in r["e"]] == winnowed(r["edited"])
+
+
+def test_far_and_clustered_ids_spread_over_buckets(spark):
+    near = spark.range(20_000).select("id", F.lit("t").alias("text"))
+    far = spark.createDataFrame([((1 << 61) + k * (1 << 40), "t") for k in range(50)] + [(-(1 << 60), "t"), (None, "t"), (None, "u")], "id long, text string")
+    rows = winnow.next_rows(near.unionByName(far), "id", "text", rows=1000).cache()
+    sizes = [r["count"] for r in rows.groupBy("bucket").count().collect()]
+    assert max(sizes) <= 1001 and len(sizes) > 60 and rows.where("own").count() == 20_053
+    following = sorted((r["bucket"], r["id"]) for r in rows.where("not own").collect())
+    own = {r["bucket"]: (r["a"], r["b"]) for r in rows.where("own").groupBy("bucket").agg(F.min("id").alias("a"), F.max("id").alias("b")).collect()}
+    ids = [None, -(1 << 60), *range(20_000), *((1 << 61) + k * (1 << 40) for k in range(50))]
+    after = dict(zip(ids, [*ids[1:], None], strict=True))
+    assert [x for _, x in following] == [after[own[b][1]] for b, _ in following] and len(following) == len(own)
+
+
 def test_winnowing_keeps_its_guarantee(spark):
     rng = random.Random(5)
     shared = "".join(rng.choices("abcdefgh ", k=31))
