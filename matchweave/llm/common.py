@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -14,44 +14,69 @@ from pyspark.sql import functions as F
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named in ``spark.checkpoint.dir``.
+    """This application's folder in the shared folder named in ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (a local test session) is a folder of
-    this machine used, and the setting is filled in so later calls agree.
+    A local session without that setting takes a folder of its machine. On a
+    cluster executors would each write to their own disk and a reader would see a
+    part, so there the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), f"matchweave-{spark.sparkContext.applicationId}")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "matchweave")
+    return f"{root}/matchweave/{spark.sparkContext.applicationId}"
+
+
+class Scratch:
+    """A folder of tables in the application's scratch folder; ``drop`` deletes them together."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.path = spark, f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+
+    def table(self, df: DataFrame, name: str) -> DataFrame:
+        """Write ``df`` as Parquet and read it back.
+
+        Cuts the lineage with files that outlive any executor.
+        """
+        path = f"{self.path}/{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        _delete(self.spark, self.path)
 
 
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
+    """``df`` written to a scratch folder of its own and read back."""
+    return Scratch(df.sparkSession).table(df, name)
 
-    Cuts the lineage with files that outlive any executor.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/matchweave/{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's scratch tables; call it once no result of theirs is needed."""
+    _delete(spark, scratch_root(spark))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Let Arrow batches end at ``most`` bytes in this session, so a worker's memory doesn't follow 10,000 texts.
 
-    A smaller setting stays.
+    Spark takes the limit from the session when a query runs, so the setting stays;
+    a smaller one is left alone.
     """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))) > most:
         spark.conf.set(key, most)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete every scratch table; call it once no result of theirs is needed."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/matchweave")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+def map_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with small batches."""
+    small_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
 
 
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -114,22 +139,26 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Alternates large-star and small-star steps, each a pre-aggregated minimum
     and a join whose hot partitions Spark may split, so a node with very many
-    neighbours is never gathered in one place. Null ends and self-loops are dropped. Every round is written to the
-    shared folder. No edges give no rows.
+    neighbours is never gathered in one place. Null ends and self-loops are
+    dropped. Every round is written to the shared folder and the one before it
+    deleted. No edges give no rows.
     """
+    spark = edges.sparkSession
+    held = Scratch(spark)
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
-    e = scratch_table(e.where("u > v").distinct(), "edges")
+    e = held.table(e.where("u > v").distinct(), "edges")
 
     def stamp(x: DataFrame):
         return x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
 
     seen = stamp(e)
     while seen["n"]:
+        before, held = held, Scratch(spark)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Minima are written first: a join of two plain shuffles is one that Spark splits where a node is hot.
-        low = scratch_table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
-        large = scratch_table(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = scratch_table(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
+        low = held.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+        large = held.table(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = held.table(large.groupBy("u").agg(F.min("v").alias("m")), "large_minima")
         small = (
             large.join(low, "u")
             .where("v > m")
@@ -137,7 +166,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        e = scratch_table(small, "edges")
+        e = held.table(small, "edges")
+        before.drop()
         now = stamp(e)
         if now == seen:
             break

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.common import connected_components, forest, group_starts, scratch_table, small_batches, whole_groups
+from matchweave.llm.common import connected_components, forest, group_starts, map_batches, scratch_table, whole_groups
 from matchweave.llm.textbuf import LOWER, WordHash, mix, text_slices, words
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -131,7 +131,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, secret: int)
                     names=["doc_id", "text_hash", "n_shingles", "h1", "h2", "bands", "sketch"],
                 )
 
-    return docs.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary")
+    return map_batches(docs, sign, "doc_id long, text_hash long, n_shingles long, h1 long, h2 long, bands array<long>, sketch binary")
 
 
 def least_agreement(threshold: float, values: int, sigmas: float) -> float:
@@ -180,7 +180,7 @@ def compare_with_leaders(pairs: DataFrame, values: DataFrame, alike, salt_rows:
     members = pairs.join(sizes, "low").join(values, "rep").select("low", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), "rep", "n", "data")
     leaders = sizes.join(values.withColumnRenamed("rep", "low"), "low").select("low", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("low").alias("rep"), "n", "data")
     rows = members.unionByName(leaders).repartition("low", "salt").sortWithinPartitions("low", "salt", "member")
-    return rows.mapInArrow(lambda it: with_leaders(it, alike), "a long, b long")
+    return map_batches(rows, lambda it: with_leaders(it, alike), "a long, b long")
 
 
 def may_reach(part: int, whole: int, least: float):
@@ -308,7 +308,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     cut into blocks and compared block against block, each pair of blocks a group
     of its own. Joins carry no hints: Spark broadcasts a side by its size in bytes.
     """
-    small_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bands, secret = band_count(part / whole, rows, miss), secrets.randbits(64)
     least = least_agreement(part / whole, bands * rows, sigmas)
@@ -338,7 +337,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
         wanted = scratch_table(classes.join(reps, "rep", "left_semi").select("rep", F.col("h1").alias("_h1")), f"{name}_wanted")
         texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "_h1", "text")
-        return scratch_table(texts.mapInArrow(gather, "rep long, n long, data binary"), name)
+        return scratch_table(map_batches(texts, gather, "rep long, n long, data binary"), name)
 
     ends = lambda e: e.select(F.col("a").alias("rep")).unionByName(e.select(F.col("b").alias("rep"))).distinct()
     edges = scratch_table(compare_with_leaders(pairs.select(F.col("a").alias("rep"), F.col("b").alias("low")), sets_of(ends(pairs), "star_sets"), sets_reach(part, whole), salt_rows), "star_links")
@@ -349,12 +348,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = scratch_table(rest, "rest")
     open_ = rest.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("x < y").select("band", "blocks")
     met = in_block_pairs(rest.join(open_, "band").join(marks, "rep"), "band", "label", "n", "sketch")
-    near = scratch_table(met.mapInArrow(lambda it: block_candidates(it, part, whole, least), "a long, b long"), "candidates")
+    near = scratch_table(map_batches(met, lambda it: block_candidates(it, part, whole, least), "a long, b long"), "candidates")
     if not near.isEmpty():
         groups = connected_components(near, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
         found = sets_of(groups.select("rep"), "group_sets").join(groups, "rep")
         sizes = found.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / block_bytes)).cast("int").alias("blocks"))
-        links = in_block_pairs(found.join(sizes, "comp"), "comp", "data").mapInArrow(lambda it: block_links(it, part, whole), "a long, b long")
+        links = map_batches(in_block_pairs(found.join(sizes, "comp"), "comp", "data"), lambda it: block_links(it, part, whole), "a long, b long")
         comps = connected_components(edges.unionByName(links), "a", "b")
     comps = comps.withColumnRenamed("node", "rep")
     named = classes.drop("bands", "sketch").join(comps, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))

@@ -7,10 +7,15 @@ with it, with an error bound; only pairs whose bound reaches the threshold are
 computed again in double precision. More rotations' signs, cut into bands, say
 which vectors meet at all.
 
+Vectors first meet by a mark of some bytes: code, factor, the rotated vector in
+steps of one byte, and the bands' signs. A pair counts in the first band that both
+share. Only vectors with a pair that the bound leaves are then sent to that band's
+bucket whole, and computed exactly there.
+
 Equal vectors are one class with a count. A bucket that many classes share is
 cut into blocks, each pair of blocks a group of its own. No pair is written
 out: a block returns, per vector, the number of its links and one link towards
-the block's components. A pair counts in the first band that both share.
+the block's components.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.common import connected_components, forest, group_starts, scratch_table, whole_groups
+from matchweave.llm.common import connected_components, forest, group_starts, map_batches, scratch_table, whole_groups
 from matchweave.llm.textbuf import mix
 
 
@@ -53,6 +58,54 @@ def band_bits(unit: np.ndarray, bits: int, bands: int) -> np.ndarray:
     return signs[:, : bits * bands].reshape(len(unit), bands, bits)
 
 
+def band_values(signs: np.ndarray) -> np.ndarray:
+    """One number for the signs of each band (vectors x bands)."""
+    return (signs.astype(np.uint64) << np.arange(signs.shape[2], dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
+
+
+def marks_of(unit_: np.ndarray, signs: np.ndarray) -> list[bytes]:
+    """Factor and step (float32), code, rotated vector in steps, and band signs of each vector."""
+    d = unit_.shape[1]
+    turned = unit_ @ rotations(d, 1)
+    head = np.empty((len(unit_), 2), dtype="<f4")
+    head[:, 0] = np.abs(turned).sum(axis=1) / math.sqrt(d)
+    head[:, 1] = np.abs(turned).max(axis=1) / 127
+    steps = np.rint(turned / head[:, 1:]).astype(np.int8)
+    parts = head.view(np.uint8), np.packbits(turned >= 0, axis=1), steps.view(np.uint8), np.packbits(signs.reshape(len(unit_), -1), axis=1)
+    return [row.tobytes() for row in np.hstack(parts)]
+
+
+def read_marks(marks: list[bytes], dim: int, bits: int, bands: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(factor, step, code as -1 and 1, rotated vector, band values) of marks of vectors of one dimension."""
+    raw = np.frombuffer(b"".join(marks), np.uint8).reshape(len(marks), -1)
+    head = np.ascontiguousarray(raw[:, :8]).view("<f4")
+    at = 8 + -(-dim // 8)
+    code = np.unpackbits(raw[:, 8:at], axis=1, count=dim).astype(np.float32) * 2 - 1
+    turned = np.ascontiguousarray(raw[:, at : at + dim]).view(np.int8).astype(np.float32) * head[:, 1:]
+    signs = np.unpackbits(raw[:, at + dim :], axis=1, count=bits * bands).reshape(len(marks), bands, bits)
+    return head[:, 0].astype(np.float64), head[:, 1].astype(np.float64), code, turned, band_values(signs)
+
+
+def may_reach(factor: np.ndarray, step: np.ndarray, code: np.ndarray, turned: np.ndarray, threshold: float, sigmas: float) -> np.ndarray:
+    """Which pairs' estimated inner products are within their error bound of the threshold, by either one's code."""
+    d = code.shape[1]
+    estimate = turned @ code.T / math.sqrt(d) / factor[None, :].astype(np.float32)
+    # A pair at the threshold is estimated within so many deviations; one above it, closer.
+    error = sigmas * np.sqrt(np.maximum(0, 1 - factor * factor)) / factor / math.sqrt(max(1, d - 1)) * math.sqrt(1 - threshold * threshold)
+    rounding = math.sqrt(d) / 2 * step[:, None] / factor[None, :]  # each coordinate is off by half a step at most
+    near = estimate >= threshold - error[None, :] - rounding - 1e-4
+    return near | near.T
+
+
+def first_shared(values: np.ndarray, a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
+    """Whether each pair shares none of the bands before ``band``."""
+    fresh = np.ones(len(a), dtype=bool)
+    for start in range(0, len(a), 4096) if band else ():
+        s = slice(start, start + 4096)
+        fresh[s] = ~(values[a[s], :band] == values[b[s], :band]).any(axis=1)
+    return fresh
+
+
 def vectors_of(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows, matrix) of the usable vectors of each dimension: no null, all finite, not zero."""
     if isinstance(column, pa.ChunkedArray):
@@ -90,47 +143,53 @@ def classes_of(vectors: DataFrame) -> DataFrame:
                     names=["vec_id", "h1", "h2", "dim", "vec"],
                 )
 
-    return vectors.mapInArrow(run, "vec_id long, h1 long, h2 long, dim int, vec binary")
+    return map_batches(vectors, run, "vec_id long, h1 long, h2 long, dim int, vec binary")
+
 
+def _pairs_of(left: np.ndarray, right: np.ndarray, near: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of the near pairs between two blocks, or once each inside one."""
+    near = near & left[:, None] & right[None, :]
+    return np.nonzero(np.triu(near | near.T, 1) if same else near)
 
-def block_counts(batches: Iterable[pa.RecordBatch], threshold: float, bits: int, bands: int, sigmas: float) -> Iterator[pa.RecordBatch]:
+
+def block_candidates(batches: Iterable[pa.RecordBatch], threshold: float, bits: int, bands: int, sigmas: float) -> Iterator[pa.RecordBatch]:
+    """(key, i, j, block, rep, band) of the vectors that have a pair in a block pair which the bound leaves, in its first shared band."""
+    names = ["key", "i", "j", "block", "rep", "band"]
+    for table in whole_groups(batches, ["key", "i", "j"]):
+        key, i, j, block, rep, dim, band = (table[c].to_numpy() for c in ("key", "i", "j", "block", "rep", "dim", "band"))
+        mark = table["mark"].to_pylist()
+        at = group_starts(key, i, j, band, dim)
+        kept: list[np.ndarray] = []
+        for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            if hi - lo < 2:
+                continue
+            *known, values = read_marks(mark[lo:hi], int(dim[lo]), bits, bands)
+            a, b = _pairs_of(block[lo:hi] == i[lo], block[lo:hi] == j[lo], may_reach(*known, threshold, sigmas), i[lo] == j[lo])
+            fresh = first_shared(values, a, b, int(band[lo]))
+            kept.append(lo + np.unique(np.concatenate([a[fresh], b[fresh]])))
+        if kept and len(some := np.concatenate(kept)):
+            yield pa.RecordBatch.from_arrays([pa.array(c[some], pa.int64()) for c in (key, i, j, block, rep, band)], names=names)
+
+
+def block_counts(batches: Iterable[pa.RecordBatch], threshold: float, bits: int, bands: int) -> Iterator[pa.RecordBatch]:
     """(rep, low, n): links found in each block, weighted by class size, and the block component's smallest rep."""
     for table in whole_groups(batches, ["key", "i", "j"]):
         key, i, j, block, rep, size, dim, band = (table[c].to_numpy() for c in ("key", "i", "j", "block", "rep", "size", "dim", "band"))
-        vec, code = table["vec"].to_pylist(), table["code"].to_pylist()
-        factor = table["factor"].to_numpy()
+        vec, mark = table["vec"].to_pylist(), table["mark"].to_pylist()
         at = group_starts(key, i, j, band, dim)
         out: list[list] = [[], [], []]
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-            if hi - lo < 2:
-                continue
-            d = int(dim[lo])
             order = lo + np.argsort(rep[lo:hi], kind="stable")
-            x = unit(np.frombuffer(b"".join([vec[k] for k in order]), np.float64).reshape(-1, d))
-            turned = (x @ rotations(d, 1)).astype(np.float32)
-            signs = np.unpackbits(np.frombuffer(b"".join([code[k] for k in order]), np.uint8).reshape(hi - lo, -1), axis=1, count=d).astype(np.float32)
-            f = factor[order]
-            estimate = turned @ (2 * signs.T - 1) / math.sqrt(d) / f[None, :].astype(np.float32)
-            # A pair at the threshold is estimated within so many deviations; one above it, closer.
-            error = sigmas * np.sqrt(np.maximum(0, 1 - f * f)) / f / math.sqrt(max(1, d - 1)) * math.sqrt(1 - threshold * threshold)
-            left = block[order] == i[lo]
-            right = block[order] == j[lo]
-            near = (estimate >= threshold - error[None, :] - 1e-4) & left[:, None] & right[None, :]
-            near = np.triu(near | near.T, 1) if i[lo] == j[lo] else near
-            a, b = np.nonzero(near)
-            if not len(a):
-                continue
-            exact = np.einsum("ij,ij->i", x[a], x[b]) >= threshold
+            x = unit(np.frombuffer(b"".join([vec[k] for k in order]), np.float64).reshape(-1, int(dim[lo])))
+            # Any pair at the threshold, by a product that may round otherwise than the exact one.
+            a, b = _pairs_of(block[order] == i[lo], block[order] == j[lo], x @ x.T >= threshold - 1e-9, i[lo] == j[lo])
+            fresh = first_shared(read_marks([mark[k] for k in order], x.shape[1], bits, bands)[-1], a, b, int(band[lo]))
+            a, b = a[fresh], b[fresh]
+            exact = np.ones(len(a), dtype=bool)
+            step = max(1, (1 << 20) // x.shape[1])
+            for s in range(0, len(a), step):
+                exact[s : s + step] = np.einsum("ij,ij->i", x[a[s : s + step]], x[b[s : s + step]]) >= threshold
             a, b = a[exact], b[exact]
-            if band[lo] and len(a):
-                some, back = np.unique(np.concatenate([a, b]), return_inverse=True)
-                earlier = band_bits(x[some], bits, bands)[:, : band[lo]]
-                u, v = back[: len(a)], back[len(a) :]
-                fresh = np.ones(len(a), dtype=bool)
-                for start in range(0, len(a), 4096):
-                    s = slice(start, start + 4096)
-                    fresh[s] = ~(earlier[u[s]] == earlier[v[s]]).all(axis=2).any(axis=1)
-                a, b = a[fresh], b[fresh]
             if not len(a):
                 continue
             weight = size[order].astype(np.float64)
@@ -144,7 +203,7 @@ def block_counts(batches: Iterable[pa.RecordBatch], threshold: float, bits: int,
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], names=["rep", "low", "n"])
 
 
-def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, bucket: int = 256, block: int = 512, miss: float = 1e-8, sigmas: float = 7.0, send: int = 1_000_000) -> DataFrame:
+def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.95, bucket: int = 256, block: int = 512, miss: float = 1e-8, sigmas: float = 7.0) -> DataFrame:
     """vec_id, n_links, component_id and kept for every row.
 
     Vectors are linked if their cosine, in double precision, is ``threshold`` or
@@ -155,8 +214,7 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     table gives no rows.
 
     ``miss`` bounds the chance that no band joins a pair right at the threshold,
-    ``sigmas`` the error bound of an estimate. ``send`` bounds the list of large
-    buckets that is broadcast; a longer one is joined by a shuffle.
+    ``sigmas`` the error bound of an estimate.
     """
     vectors = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
     usable = scratch_table(classes_of(vectors.where("vec_id is not null and embedding is not null")), "vectors")
@@ -170,27 +228,25 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
             for d in np.unique(dims).tolist():
                 part = batch.take(pa.array(np.flatnonzero(dims == d)))
                 x = unit(np.frombuffer(b"".join(part.column(3).to_pylist()), np.float64).reshape(-1, d))
-                turned = x @ rotations(d, 1)
-                factor = np.abs(turned).sum(axis=1) / math.sqrt(d)
-                codes = [c.tobytes() for c in np.packbits(turned >= 0, axis=1)]
                 signs = band_bits(x, bits, bands)
-                value = (signs.astype(np.uint64) << np.arange(bits, dtype=np.uint64)).sum(axis=2, dtype=np.uint64)
-                keys = mix(mix(value + np.uint64(1)) + (np.arange(bands, dtype=np.uint64) << np.uint64(32)) + np.uint64(d)).view(np.int64)
+                keys = mix(mix(band_values(signs) + np.uint64(1)) + (np.arange(bands, dtype=np.uint64) << np.uint64(32)) + np.uint64(d)).view(np.int64)
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(x) + 1) * bands, bands), pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(codes, pa.binary()), pa.array(factor), keys], names=["rep", "size", "dim", "vec", "code", "factor", "keys"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(marks_of(x, signs), pa.binary()), keys], names=["rep", "size", "dim", "vec", "mark", "keys"])
 
-    coded = scratch_table(classes.select("rep", "size", "dim", "vec").mapInArrow(encode, "rep long, size long, dim int, vec binary, code binary, factor double, keys array<long>"), "codes")
+    coded = scratch_table(map_batches(classes.select("rep", "size", "dim", "vec"), encode, "rep long, size long, dim int, vec binary, mark binary, keys array<long>"), "codes")
     large = coded.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     large = scratch_table(large, "large")
-    large = F.broadcast(large) if large.count() <= send else large
-    rows = coded.select("rep", "size", "dim", "vec", "code", "factor", F.posexplode("keys").alias("band", "key")).join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = coded.select("rep", "dim", "mark", F.posexplode("keys").alias("band", "key")).join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    place = ["key", "i", "j"]
     met = (
         rows.withColumn("block", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "size", "dim", "band", "vec", "code", "factor")
-        .repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "band", "dim")
+        .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "dim", "band", "mark")
+        .repartition(*place).sortWithinPartitions(*place, "band", "dim")
     )
-    found = scratch_table(met.mapInArrow(lambda it: block_counts(it, threshold, bits, bands, sigmas), "rep long, low long, n long"), "links")
+    near = scratch_table(map_batches(met, lambda it: block_candidates(it, threshold, bits, bands, sigmas), "key long, i long, j long, block long, rep long, band long"), "near")
+    whole = near.join(coded.select("rep", "size", "dim", "vec", "mark"), "rep").repartition(*place).sortWithinPartitions(*place, "band", "dim")
+    found = scratch_table(map_batches(whole, lambda it: block_counts(it, threshold, bits, bands), "rep long, low long, n long"), "links")
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     comps = connected_components(found, "rep", "low").withColumnRenamed("node", "rep")
     named = classes.select(*key, "rep", "size").join(counts, "rep", "left").join(comps, "rep", "left").select(

@@ -18,6 +18,20 @@ def thue_morse(n):
     return word, word.translate(str.maketrans("ab", "ba"))
 
 
+def test_marks_keep_the_bound_and_the_bands():
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((60, 48))
+    x = near_vectors.unit(np.vstack([base, base + 0.04 * rng.standard_normal(base.shape), base + 0.25 * rng.standard_normal(base.shape)]))
+    signs = near_vectors.band_bits(x, 7, 11)
+    *known, values = near_vectors.read_marks(near_vectors.marks_of(x, signs), 48, 7, 11)
+    assert (values == near_vectors.band_values(signs)).all()
+    near, true = near_vectors.may_reach(*known, 0.95, 7.0), x @ x.T
+    assert near[true >= 0.95].all() and near[true < 0.3].mean() < 0.01
+    a, b = np.nonzero(np.triu(true >= 0.95, 1))
+    met = (values[a] == values[b]) & (np.cumsum(values[a] == values[b], axis=1) == 1)
+    assert all((near_vectors.first_shared(values, a, b, band) & (values[a, band] == values[b, band]) == met[:, band]).all() for band in range(11))
+
+
 @pytest.mark.parametrize("n", [1024, 2048, 4096])
 def test_words_that_defeat_polynomial_hashes(n):
     one, other = thue_morse(n)

@@ -5,6 +5,7 @@ import hashlib
 import importlib
 import json
 import random
+from types import SimpleNamespace
 
 import pyarrow as pa
 import pytest
@@ -32,10 +33,14 @@ def pages(spark):
     return rows, spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, digest string")
 
 
-@pytest.mark.parametrize(("least", "chunk", "send"), [(0, 1000, 10**6), (100, 4, 0)])
-def test_warc_round_trip(spark, least, chunk, send):
+@pytest.mark.parametrize(("least", "chunk", "limit"), [(0, 1000, "10MB"), (100, 4, "-1")])
+def test_warc_round_trip(spark, least, chunk, limit):
     rows, df = pages(spark)
-    archive = warc.write_archive(df, chunk_bytes=chunk, least=least, send=send)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    try:
+        archive = warc.write_archive(df, chunk_bytes=chunk, least=least)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     got = warc.read_archive(archive).collect()
     assert len(got) == len(rows)
     best = {}
@@ -49,7 +54,26 @@ def test_warc_round_trip(spark, least, chunk, send):
         revisit = to is not None and to != page
         want.append((page, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", to if revisit else None))
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
-    assert max(len(r["bytes"]) for r in archive.where("chunk > 0").collect()) <= max(chunk, 4)
+    assert max(len(r["bytes"]) for r in archive.where("chunk > 0").collect()) <= chunk + 4
+
+
+def test_scratch_needs_a_shared_folder_and_is_dropped(spark):
+    held = common.Scratch(spark)
+    table = held.table(spark.range(3), "t")
+    other = common.scratch_table(spark.range(2), "t")
+    assert table.count() == 3 and spark.sparkContext.applicationId in held.path
+    held.drop()
+    with pytest.raises(Exception, match="[Pp]ath|exist"):
+        spark.read.parquet(f"{held.path}/t")
+    assert other.count() == 2
+    for root, master in ((None, "spark://there:7077"), (None, "local[2]"), ("hdfs:/shared", "spark://there:7077")):
+        conf = SimpleNamespace(get=lambda *_, root=root: root)
+        session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="app", getConf=lambda conf=conf: conf))
+        if not root and not master.startswith("local"):
+            with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+                common.scratch_root(session)
+        else:
+            assert common.scratch_root(session).startswith(root or "file://") and common.scratch_root(session).endswith("/app")
 
 
 def test_warc_bytes_are_records_and_damage_is_seen(spark):
@@ -57,15 +81,19 @@ def test_warc_bytes_are_records_and_damage_is_seen(spark):
     archive = warc.write_archive(df, chunk_bytes=100)
     stream = b"".join(bytes(r["bytes"]) for r in archive.orderBy("record", "chunk").collect())
     at = n = 0
+    names, refers = [], []
     while at < len(stream):
         end = stream.index(b"\r\n\r\n", at)
         head = dict(x.split(": ", 1) for x in stream[at:end].decode().split("\r\n")[1:])
         at = end + 4 + int(head["Content-Length"])
         assert stream[at : at + 4] == b"\r\n\r\n"
         at, n = at + 4, n + 1
-    assert n == len(rows)
+        (refers if head["WARC-Type"] == "revisit" else names).append(head["WARC-Refers-To" if head["WARC-Type"] == "revisit" else "WARC-Record-ID"])
+    assert n == len(rows) and refers and set(refers) <= set(names)
     with pytest.raises(Exception, match="lacks a chunk|has no end|damaged|differs"):
         warc.read_archive(archive.where("chunk <> 2")).collect()
+    with pytest.raises(Exception, match="damaged"):
+        warc.read_archive(archive.withColumn("bytes", F.when(F.col("last"), F.concat("bytes", F.lit(b"x"))).otherwise(F.col("bytes")))).collect()
     assert warc.read_archive(warc.write_archive(df.where("false"))).count() == 0
 
 
@@ -77,9 +105,9 @@ def test_warc_writer_streams_chunks(spark, monkeypatch):
     archive = warc.write_archive(big, chunk_bytes=1000)
     rows, write = taken[0]
     table = rows.toArrow()
-    assert table.num_rows == 301 and max(len(x or b"") for x in table["piece"].to_pylist()) == 1000
+    assert table.num_rows == 300 and max(len(x or b"") for x in table["piece"].to_pylist()) == 1000
     monkeypatch.setattr(warc.TaskContext, "get", lambda: type("Task", (), {"partitionId": lambda self: 0})())
-    assert sum(b.num_rows for b in write(table.to_batches(max_chunksize=7))) == archive.count() == 302
+    assert sum(b.num_rows for b in write(table.to_batches(max_chunksize=7))) == archive.count() == 300
     wide = pa.concat_tables([table] * 30)
     batches = list(write(wide.to_batches(max_chunksize=7)))
     assert len(batches) == 3 and max(b.nbytes for b in batches) < 6 << 20
