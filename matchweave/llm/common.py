@@ -52,6 +52,11 @@ def scratch_table(df: DataFrame, name: str) -> DataFrame:
     return Scratch(df.sparkSession).table(df, name)
 
 
+def sized(table: DataFrame, rows: int) -> DataFrame:
+    """A written ``table`` of narrow rows, marked for broadcast if it has at most ``rows`` of them."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's scratch tables; call it once no result of theirs is needed."""
     _delete(spark, scratch_root(spark))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.common import connected_components, forest, group_starts, map_batches, scratch_table, whole_groups
+from matchweave.llm.common import connected_components, forest, group_starts, map_batches, scratch_table, sized, whole_groups
 from matchweave.llm.textbuf import LOWER, WordHash, mix, text_slices, words
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
@@ -150,7 +150,7 @@ def with_leaders(batches: Iterable[pa.RecordBatch], alike) -> Iterator[pa.Record
     """
     group, leaders = None, []
     for batch in batches:
-        low, salt, member, rep, n = (batch.column(k).to_numpy() for k in range(5))
+        low, salt, member, rep, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
         data = batch.column(5)
         at = group_starts(low, salt)
         out: tuple[list, list] = ([], [])
@@ -171,15 +171,19 @@ def with_leaders(batches: Iterable[pa.RecordBatch], alike) -> Iterator[pa.Record
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["a", "b"])
 
 
-def compare_with_leaders(pairs: DataFrame, values: DataFrame, alike, salt_rows: int) -> DataFrame:
-    """Pairs (a, b) of ``pairs`` (low, rep) that are alike; ``values`` has rep, n and data.
+def roles(pairs: DataFrame, salt_rows: int) -> DataFrame:
+    """(rep, low, salt, member) of the members and leaders of pairs (low, rep).
 
-    A leader of more than ``salt_rows`` members is copied once for each as many.
+    A leader of more than ``salt_rows`` members stands once for each as many.
     """
     sizes = pairs.groupBy("low").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts"))
-    members = pairs.join(sizes, "low").join(values, "rep").select("low", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), "rep", "n", "data")
-    leaders = sizes.join(values.withColumnRenamed("rep", "low"), "low").select("low", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("low").alias("rep"), "n", "data")
-    rows = members.unionByName(leaders).repartition("low", "salt").sortWithinPartitions("low", "salt", "member")
+    members = pairs.join(sizes, "low").select("rep", "low", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"))
+    return members.unionByName(sizes.select(F.col("low").alias("rep"), "low", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member")))
+
+
+def compare_with_leaders(rows: DataFrame, alike) -> DataFrame:
+    """Pairs (a, b) of member and leader that are alike; ``rows`` are roles with n and data."""
+    rows = rows.select("low", "salt", "member", "rep", "n", "data").repartition("low", "salt").sortWithinPartitions("low", "salt", "member")
     return map_batches(rows, lambda it: with_leaders(it, alike), "a long, b long")
 
 
@@ -291,7 +295,7 @@ def in_block_pairs(rows: DataFrame, by: str, *columns: str) -> DataFrame:
     return pairs.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 80, whole: int = 100, rows: int = 5, miss: float = 1e-8, sigmas: float = 6.0, block: int = 512, block_bytes: int = 8 << 20, salt_rows: int = 4096, hashed: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 80, whole: int = 100, rows: int = 5, miss: float = 1e-8, sigmas: float = 6.0, block: int = 512, block_bytes: int = 8 << 20, salt_rows: int = 4096, send: int = 1_000_000, hashed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
     Two documents are linked if whole * intersection >= part * union over their
@@ -306,7 +310,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A group of more than ``block`` documents, or ``block_bytes`` of shingles, is
     cut into blocks and compared block against block, each pair of blocks a group
-    of its own. Joins carry no hints: Spark broadcasts a side by its size in bytes.
+    of its own. ``send`` bounds the list of proposed ids, 32 bytes each, that is
+    broadcast to fetch texts again; a longer one is joined by a shuffle.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bands, secret = band_count(part / whole, rows, miss), secrets.randbits(64)
@@ -316,44 +321,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = [F.first(c).alias(c) for c in ("bands", "sketch")]
     classes = scratch_table(sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), *first).where("rep is not null"), "classes")
     keys = classes.select("rep", F.explode("bands").alias("band"))
-    buckets = keys.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("m")).where("low < high").select("band", "low", "m")
+    # Written before they are joined, so that Spark can split a bucket that very many share.
+    buckets = scratch_table(keys.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("m")).where("low < high").select("band", "low", "m"), "buckets")
     shared = scratch_table(keys.join(buckets, "band").where("rep != low"), "shared")
 
-    marks = classes.select("rep", F.col("n_shingles").alias("n"), "sketch")
-    pairs = scratch_table(compare_with_leaders(shared.select("low", "rep").distinct(), marks.withColumnRenamed("sketch", "data"), may_reach(part, whole, least), salt_rows), "pairs")
-
-    def sets_of(reps: DataFrame, name: str) -> DataFrame:
-        """(rep, n, data) of the classes of ``reps``, their shingles made from the texts again."""
+    def with_sets(rows: DataFrame, *columns: str) -> DataFrame:
+        """``rows`` (rep and ``columns``, longs) with n and data, the set of a class made from its text again."""
 
         def gather(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             word_hash = WordHash(secret)
             for batch in batches:
-                for lo, hi, data, offsets in text_slices(batch.column(2)):
+                for lo, hi, data, offsets in text_slices(batch.column(1)):
                     flat, at = shingle_sets(data, offsets, width, word_hash)
                     raw, n = flat.tobytes(), np.diff(at)
-                    own = np.flatnonzero(digests(flat, at)[0] == batch.column(1).slice(lo, hi - lo).to_numpy())
+                    own = np.flatnonzero(digests(flat, at)[0] == batch.column(0).slice(lo, hi - lo).to_numpy())
                     blobs = pa.array([raw[8 * a : 8 * b] for a, b in zip(at[own].tolist(), at[own + 1].tolist(), strict=True)], pa.binary())
-                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(pa.array(own)), pa.array(n[own]), blobs], names=["rep", "n", "data"])
+                    rest = [batch.column(k).slice(lo, hi - lo).take(pa.array(own)) for k in range(2, batch.num_columns)]
+                    yield pa.RecordBatch.from_arrays([*rest, pa.array(n[own]), blobs], names=["rep", *columns, "n", "data"])
 
-        wanted = scratch_table(classes.join(reps, "rep", "left_semi").select("rep", F.col("h1").alias("_h1")), f"{name}_wanted")
-        texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("rep", "_h1", "text")
-        return scratch_table(map_batches(texts, gather, "rep long, n long, data binary"), name)
+        rows = rows.join(classes.select("rep", F.col("h1").alias("_h1")), "rep")
+        wanted = sized(scratch_table(rows.select(F.col("rep").cast("long"), "_h1", *[F.col(c).cast("long") for c in columns]), "wanted"), send)
+        texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("_h1", "text", "rep", *columns)
+        return map_batches(texts, gather, ", ".join(f"{c} long" for c in ("rep", *columns, "n")) + ", data binary")
 
-    ends = lambda e: e.select(F.col("a").alias("rep")).unionByName(e.select(F.col("b").alias("rep"))).distinct()
-    edges = scratch_table(compare_with_leaders(pairs.select(F.col("a").alias("rep"), F.col("b").alias("low")), sets_of(ends(pairs), "star_sets"), sets_reach(part, whole), salt_rows), "star_links")
+    marks = classes.select("rep", F.col("n_shingles").alias("n"), "sketch")
+    first = roles(shared.select("low", "rep").distinct(), salt_rows).join(marks.withColumnRenamed("sketch", "data"), "rep")
+    pairs = scratch_table(compare_with_leaders(first, may_reach(part, whole, least)), "pairs").select(F.col("a").alias("rep"), F.col("b").alias("low"))
+    edges = scratch_table(compare_with_leaders(with_sets(roles(pairs, salt_rows), "low", "salt", "member"), sets_reach(part, whole)), "star_links")
     comps = connected_components(edges, "a", "b")
 
     # What the stars leave: buckets with members, besides the one all were compared with, of several components.
     rest = shared.where("m > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("label"))
     rest = scratch_table(rest, "rest")
     open_ = rest.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("x < y").select("band", "blocks")
-    met = in_block_pairs(rest.join(open_, "band").join(marks, "rep"), "band", "label", "n", "sketch")
+    met = in_block_pairs(rest.join(scratch_table(open_, "open"), "band").join(marks, "rep"), "band", "label", "n", "sketch")
     near = scratch_table(map_batches(met, lambda it: block_candidates(it, part, whole, least), "a long, b long"), "candidates")
     if not near.isEmpty():
-        groups = connected_components(near, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("comp"))
-        found = sets_of(groups.select("rep"), "group_sets").join(groups, "rep")
-        sizes = found.groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / block_bytes)).cast("int").alias("blocks"))
-        links = map_batches(in_block_pairs(found.join(sizes, "comp"), "comp", "data"), lambda it: block_links(it, part, whole), "a long, b long")
+        groups = scratch_table(connected_components(near, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("comp")), "groups")
+        sizes = groups.join(marks.select("rep", "n"), "rep").groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / block_bytes)).alias("blocks"))
+        links = map_batches(in_block_pairs(with_sets(groups.join(sizes, "comp"), "comp", "blocks"), "comp", "data"), lambda it: block_links(it, part, whole), "a long, b long")
         comps = connected_components(edges.unionByName(links), "a", "b")
     comps = comps.withColumnRenamed("node", "rep")
     named = classes.drop("bands", "sketch").join(comps, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
@@ -361,18 +367,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("doc_id", *["text_hash"][: int(hashed)], "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", send: int = 1_000_000, **how) -> DataFrame:
     """``docs`` without those that a near-duplicate with a smaller id represents.
 
     Takes the arguments of ``near_duplicates``; all columns stay. Of a doc_id
     that repeats with other texts only the texts that are represented go, and of
     rows with the same doc_id (or without one) and the same text at most one stays.
     """
-    found = scratch_table(near_duplicates(docs, id_col=id_col, text_col=text_col, hashed=True, **how), "found")
+    found = scratch_table(near_duplicates(docs, id_col=id_col, text_col=text_col, send=send, hashed=True, **how), "found")
     key = lambda t: docs[id_col].cast("long").eqNullSafe(t["_id"]) & F.xxhash64(docs[text_col].cast("string")).eqNullSafe(t["_hash"])
     rows = found.groupBy(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).agg(F.bool_and("kept").alias("kept"), F.count("*").alias("n"))
-    gone = scratch_table(rows.where("not kept").select("_id", "_hash"), "dropped")
-    again = scratch_table(rows.where("kept and n > 1").select("_id", "_hash"), "repeated")
+    gone = sized(scratch_table(rows.where("not kept").select("_id", "_hash"), "dropped"), send)
+    again = sized(scratch_table(rows.where("kept and n > 1").select("_id", "_hash"), "repeated"), send)
     left = docs.join(gone, key(gone), "left_anti")
     if again.isEmpty():
         return left
