@@ -4,7 +4,8 @@ Documents are tokenised once, cut into full sequences and a remainder, and only
 the counts of piece lengths (at most ``sequence`` numbers) reach the driver.
 There the lengths are placed longest first, always into the shortest pack, with
 whole groups of equal packs moved together; the finished packing patterns are
-joined back to the pieces by a piece's rank among those of its length.
+joined back to the pieces by a piece's rank among those of its length: slots are
+sorted by length and first rank, so each piece finds its own by one binary search.
 """
 
 from __future__ import annotations
@@ -18,9 +19,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchweave.llm.common import scratch_table, small_batches
+from matchweave.llm.common import map_batches, scratch_table
 from matchweave.llm.textbuf import text_slices
-from matchweave.llm.tokens import PieceEncoder
+from matchweave.llm.tokens import PieceEncoder, of_worker, shipped
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
@@ -33,7 +34,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, sequence: int, end_id: int, id
     """
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = PieceEncoder.of_worker(tokenizer)
+        encoder = of_worker(PieceEncoder, source.value)
         for batch in batches:
             for lo, hi, data, offsets in text_slices(batch.column(1)):
                 ids, at = encoder.encode(data, offsets)
@@ -49,8 +50,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, sequence: int, end_id: int, id
                     names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
                 )
 
-    small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(cut, PIECES)
+    source = shipped(docs.sparkSession, tokenizer)
+    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), cut, PIECES)
 
 
 def shortest_pack_first(histogram: dict[int, int], sequence: int) -> list[tuple[int, tuple[int, ...]]]:
@@ -118,7 +119,6 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = 2048, end_id: int = 1,
     length are counted in salted parts of about ``salt_rows`` pieces, so a
     length that very many pieces share is spread over tasks.
     """
-    spark = docs.sparkSession
     pieces = scratch_table(token_pieces(docs, tokenizer, sequence, end_id, id_col, text_col), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     salts = max(16, sum(counts.values()) // salt_rows)
@@ -130,7 +130,17 @@ def pack(docs: DataFrame, tokenizer: str, sequence: int = 2048, end_id: int = 1,
     )
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "start", "ids_crc32", "doc_tokens")
     ranked = pieces.withColumn("rank", F.row_number().over(order) - 1).join(part, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
-    slots = spark.createDataFrame(slot_ranges(shortest_pack_first(counts, sequence)), "length long, lo long, hi long, first long, offset long")
     # The slots follow the number of distinct lengths (at most `sequence`), not the rows.
-    placed = ranked.join(F.broadcast(slots), "length").where("rank >= lo and rank < hi")
-    return placed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("first") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset")
+    slots = np.array(sorted(slot_ranges(shortest_pack_first(counts, sequence))), dtype=np.int64).reshape(-1, 5)
+    shared = docs.sparkSession.sparkContext.broadcast(slots)
+
+    def place(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, lo, _, first, offset = shared.value.T
+        begins = (shared.value[:, 0] << 40) + lo
+        for batch in batches:
+            length, rank = batch.column(2).to_numpy(), batch.column(5).to_numpy()
+            k = np.searchsorted(begins, (length << 40) + rank, side="right") - 1
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(first[k] + rank - lo[k]), pa.array(offset[k])], names=[*batch.schema.names[:5], "sequence_id", "offset"])
+
+    ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", F.col("rank").cast("long"))
+    return map_batches(ranked, place, f"{PIECES}, sequence_id long, offset long")

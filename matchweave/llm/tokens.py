@@ -10,7 +10,11 @@ piece and takes the library's whole path, and so does every other text.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
+from pyspark import Broadcast
+from pyspark.sql import SparkSession
 from tokenizers import Tokenizer
 
 from matchweave.llm.textbuf import LANE, mix, short_spans
@@ -23,12 +27,26 @@ _CLASS[[ord(" "), ord("\n"), ord("'")]] = _SPACE, _LINE, _QUOTE
 for _lo, _hi, _kind in (("A", "Z", _LETTER), ("a", "z", _LETTER), ("0", "9", _DIGIT)):
     _CLASS[ord(_lo) : ord(_hi) + 1] = _kind
 _CLASS[0x80:] = _LETTER
-_WORKER: dict[str, PieceEncoder] = {}
+_WORKER: dict[tuple, object] = {}
+
+
+def shipped(spark: SparkSession, path: str) -> Broadcast:
+    """The bytes of a tokenizer's file, read on the driver and sent to the workers once."""
+    with open(path, "rb") as file:
+        return spark.sparkContext.broadcast(file.read())
 
 
-def plain_tokenizer(path: str) -> Tokenizer:
-    """The tokenizer of a file, without truncation and padding."""
-    tokenizer = Tokenizer.from_file(path)
+def of_worker(kind: type, source: bytes):
+    """One encoder of a kind per Python worker and tokenizer, kept between tasks."""
+    key = kind, len(source), zlib.crc32(source)
+    if key not in _WORKER:
+        _WORKER[key] = kind(source)
+    return _WORKER[key]
+
+
+def plain_tokenizer(source: str | bytes) -> Tokenizer:
+    """The tokenizer of a file or its bytes, without truncation and padding."""
+    tokenizer = Tokenizer.from_buffer(source) if isinstance(source, bytes) else Tokenizer.from_file(source)
     tokenizer.no_truncation()
     tokenizer.no_padding()
     return tokenizer
@@ -122,19 +140,12 @@ class Memo:
 class PieceEncoder:
     """Encodes runs of UTF-8 texts; ``entries`` bounds the memo's pre-tokens."""
 
-    def __init__(self, path: str, entries: int = 400_000):
-        self.tokenizer = plain_tokenizer(path)
+    def __init__(self, source: str | bytes, entries: int = 400_000):
+        self.tokenizer = plain_tokenizer(source)
         self.added = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, byte_letters()
         self.memo = Memo(entries)
 
-    @classmethod
-    def of_worker(cls, path: str) -> PieceEncoder:
-        """One encoder per Python worker, kept between tasks."""
-        if path not in _WORKER:
-            _WORKER[path] = cls(path)
-        return _WORKER[path]
-
     def _piece(self, piece: bytes) -> list[int]:
         if b"'" in piece:
             return self.tokenizer.encode(piece.decode(), add_special_tokens=False).ids
