@@ -18,27 +18,69 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Notices by license identifier.
+from matchweave.llm.common import map_batches
+
+_AS_IS = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED"
+_GNU = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind}General Public License as published by the Free Software Foundation, "
+    "either version {version} of the License, or (at your option) any later version."
+)
+_BSD_CLAUSES = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "{one}Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "{two}Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+)
+#: Notices and license texts by identifier, public wordings without names and years.
 TEMPLATES = {
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0."],
-    "MIT": ["Released under the MIT License.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "either version 3 of the License, or (at your option) any later version"],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
-    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
-    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0."],
+    "Apache-2.0": [
+        "Licensed under the Apache License, Version 2.0.",
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, "
+        "either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ],
+    "MIT": [
+        "Released under the MIT License.", "Licensed under the MIT License", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished "
+        "to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. " + _AS_IS + ", "
+        "INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, "
+        "DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "either version 3 of the License, or (at your option) any later version", _GNU.format(kind="", version=3)],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "either version 2 of the License, or (at your option) any later version", _GNU.format(kind="", version=2)],
+    "LGPL-3.0": ["This work is licensed under the GNU Lesser General Public License, version 3.", _GNU.format(kind="Lesser ", version=3)],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", _GNU.format(kind="Affero ", version=3)],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/",
+    ],
+    "BSD": [_BSD_CLAUSES[: _BSD_CLAUSES.index(":")]],
+    "BSD-2-Clause": [_BSD_CLAUSES.format(one="1. ", two="2. "), _BSD_CLAUSES.format(one="", two="")],
+    "BSD-3-Clause": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."],
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "BSL-1.0": [
+        "Boost Software License - Version 1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, "
+        "display, distribute, execute, and transmit the Software",
+    ],
+    "Zlib": [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"
+    ],
+    **{f"CC-{'-'.join(k.upper().split())}-4.0": [f"Licensed under CC {'-'.join(k.upper().split())} 4.0."] for k in ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")},
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
-    "Unlicense": ["This is free and unencumbered software released into the public domain."],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain.",
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a "
+        "compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ],
     "proprietary": ["All rights reserved."],
 }
 #: A block without any of these holds no notice.
-ANCHORS = re.compile(r"licen[cs]|copyright|rights[\W_]+reserved|permission|redistribution|public[\W_]+domain|mozilla[\W_]+public|cc[\W_]by|cc0|version[\W_]+3[\W_]+of[\W_]+the", re.I)
+ANCHORS = re.compile(r"licen[cs]|copyright|rights[\W_]+reserved|permission|redistribution|public[\W_]+domain|mozilla[\W_]+public|cc[\W_]by|cc0|version[\W_]+[23][\W_]+of[\W_]+the", re.I)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 _WORKER: dict[tuple, Scanner] = {}
 
@@ -188,6 +230,5 @@ def scan(docs: DataFrame, templates: dict[str, list[str]] | None = None, id_col:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(
-        run, "doc_id long, start long, end long, block string, license string, reduction double, missing int, extra int, confirmed boolean"
-    )
+    schema = "doc_id long, start long, end long, block string, license string, reduction double, missing int, extra int, confirmed boolean"
+    return map_batches(docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")), run, schema)
