@@ -18,7 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.common import scratch_table, small_batches
+from matchweave.llm.common import map_batches, scratch_table, small_batches
+from matchweave.llm.textbuf import text_slices
 
 BITS = 16
 SIZE = 1 << BITS
@@ -28,40 +29,43 @@ _KNOWN = 0x2000
 _LETTER = np.array([c if chr(c).isalpha() else 0 for c in range(_KNOWN)], dtype=np.uint32)
 
 
-def letters_of(text: str) -> np.ndarray:
-    """Code points of the lower-cased text, every other character as 0, one 0 at each end."""
-    codes = np.frombuffer(text.lower().encode("utf-32-le", "replace"), dtype=np.uint32)
-    out = np.zeros(len(codes) + 2, dtype=np.uint32)
+def slices(texts: pa.Array, most: int = 1 << 19) -> Iterator[tuple[int, int, list[str | None]]]:
+    """(first, after the last, texts) of runs of whole texts for ``batch_grams``."""
+    for lo, hi, _, _ in text_slices(texts, most):
+        for start in range(lo, hi, SIZE - 1):
+            stop = min(hi, start + SIZE - 1)
+            yield start, stop, texts.slice(start, stop - start).to_pylist()
+
+
+def batch_grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, bucket, count) of the n-grams of fewer than 65,536 texts, in order; none of a text without a letter."""
+    low = ["" if t is None else t.lower() for t in texts]
+    size = np.fromiter(map(len, low), dtype=np.int64, count=len(low)) + 2
+    stop = np.cumsum(size)
+    codes = np.frombuffer("".join(low).encode("utf-32-le", "replace"), dtype=np.uint32)
+    c, inner = np.zeros(int(size.sum()), dtype=np.uint32), np.ones(int(size.sum()), dtype=bool)
+    inner[stop - 1] = inner[stop - size] = False
     far = codes >= _KNOWN
-    if far.any():
-        out[1:-1] = np.where(far, 0, _LETTER[np.where(far, 0, codes)])
-        for c in np.unique(codes[far]).tolist():
-            if chr(c).isalpha():
-                out[1:-1][codes == c] = c
-    else:
-        out[1:-1] = _LETTER[codes]
-    return out
-
-
-def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
-    """(buckets, counts) of the text's n-grams; None if it has no letter."""
-    if not text:
-        return None
-    c = letters_of(text)
-    keep = np.ones(len(c), dtype=bool)
-    keep[1:] = (c[1:] > 0) | (c[:-1] > 0)  # a run of other characters is one word edge
+    plain = _LETTER[np.where(far, 0, codes)]
+    for k in np.unique(codes[far]).tolist():
+        if chr(k).isalpha():
+            plain[codes == k] = k
+    c[inner] = plain
+    keep = c > 0
+    keep[1:] |= c[:-1] > 0  # a run of other characters is one word edge
+    keep[stop - size] = True
+    owner = np.repeat(np.arange(len(low), dtype=np.uint32), size)[keep]
     c = c[keep]
-    letter = c > 0
-    if not letter.any():
-        return None
     one = c * np.uint32(0x9E3779B1) + np.uint32(1)
     two = (one[:-1] ^ (one[:-1] >> np.uint32(15))) * np.uint32(0x85EBCA77) + c[1:]
     three = (two[:-1] ^ (two[:-1] >> np.uint32(13))) * np.uint32(0xC2B2AE3D) + c[2:]
-    grams = np.concatenate([one[letter], two, three])
+    same, near = owner[1:] == owner[:-1], owner[2:] == owner[:-2]
+    grams = np.concatenate([one[c > 0], two[same], three[near]])
     grams = (grams ^ (grams >> np.uint32(16))) * np.uint32(0x27D4EB2F)
-    counts = np.bincount(grams >> np.uint32(32 - BITS), minlength=SIZE)
-    buckets = np.flatnonzero(counts)
-    return buckets, counts[buckets]
+    keys = np.sort((np.concatenate([owner[c > 0], owner[:-1][same], owner[:-2][near]]) << np.uint32(BITS)) | (grams >> np.uint32(32 - BITS)))
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(keys)))
+    return (keys[first] >> np.uint32(BITS)).astype(np.int64), (keys[first] & np.uint32(SIZE - 1)).astype(np.int64), counts
 
 
 def tf_idf(buckets: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -79,8 +83,14 @@ class Model:
     bias: np.ndarray
     temperature: float
 
-    def probabilities(self, buckets: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        return softmax((tf_idf(buckets, counts, self.idf) @ self.weights[buckets] + self.bias) / self.temperature)
+    def probabilities(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the texts that have a letter, and their languages' probabilities."""
+        owner, buckets, counts = batch_grams(texts)
+        x = np.log1p(counts) * self.idf[buckets]
+        some = np.unique(owner)
+        total = lambda values: np.bincount(owner, values, len(texts))[some]
+        z = np.stack([total(x * self.weights[buckets, k]) for k in range(len(self.languages))], axis=1)
+        return some, softmax((z / np.sqrt(total(x * x))[:, None] + self.bias) / self.temperature)
 
 
 def softmax(z: np.ndarray) -> np.ndarray:
@@ -143,7 +153,6 @@ def fit(learnable: DataFrame, fit_rows: int = 2000, epochs: int = 4, alpha: floa
     by the languages; document frequencies are counted over all rows, in
     2**16 buckets. More than ``most_languages`` languages are refused.
     """
-    small_batches(learnable.sparkSession)
     rows = learnable.where("text is not null and lang is not null and doc_id is not null")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
     if len(counts) > most_languages:
@@ -152,7 +161,7 @@ def fit(learnable: DataFrame, fit_rows: int = 2000, epochs: int = 4, alpha: floa
     if not languages:
         return Model([], np.zeros(SIZE, np.float32), np.zeros((SIZE, 0), np.float32), np.zeros(0), 1.0)
     share = {k: min(1.0, fit_rows / len(languages) / n) for k, n in counts.items()}
-    spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    spread = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
     picked = F.coalesce(spread < F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang")), F.lit(False))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,25 +170,27 @@ def fit(learnable: DataFrame, fit_rows: int = 2000, epochs: int = 4, alpha: floa
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary()]
         for batch in batches:
             kept: list[tuple] = []
-            for doc_id, text, lang, pick in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-                if (found := gram_counts(text)) is None:
-                    continue
-                seen[found[0]] += 1
-                if pick:
-                    kept.append((None, None, doc_id, lang, found[0].astype("<u2").tobytes(), found[1].astype("<u4").tobytes()))
+            ids, langs, picks = (batch.column(k).to_pylist() for k in (0, 2, 3))
+            for lo, hi, texts in slices(batch.column(1)):
+                owner, buckets, counts = batch_grams(texts)
+                seen += np.bincount(buckets, minlength=SIZE)
+                at = np.searchsorted(owner, np.arange(hi - lo + 1)).tolist()
+                for k, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True), lo):
+                    if picks[k] and b > a:
+                        kept.append((None, None, ids[k], langs[k], buckets[a:b].astype("<u2").tobytes(), counts[a:b].astype("<u4").tobytes()))
             if kept:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*kept, strict=True), kinds, strict=True)], names=names)
         at = np.flatnonzero(seen)
         none = [pa.nulls(len(at), k) for k in kinds[2:]]
         yield pa.RecordBatch.from_arrays([pa.array(at, kinds[0]), pa.array(seen[at], kinds[1]), *none], names=names)
 
-    learned = scratch_table(rows.select("doc_id", "text", "lang", picked.alias("pick")).mapInArrow(count, "bucket int, n long, doc_id long, lang string, buckets binary, counts binary"), "grams")
+    learned = scratch_table(map_batches(rows.select("doc_id", "text", "lang", picked.alias("pick")), count, "bucket int, n long, doc_id long, lang string, buckets binary, counts binary"), "grams")
     frequency = np.zeros(SIZE)
     for r in learned.where("bucket is not null").groupBy("bucket").agg(F.sum("n").alias("n")).toLocalIterator():
         frequency[r["bucket"]] = r["n"]
     idf = (np.log((1 + sum(counts.values())) / (1 + frequency)) + 1).astype(np.float32)
     sample = []
-    for r in learned.where("buckets is not null").select("doc_id", "lang", "buckets", "counts").collect():
+    for r in learned.where("buckets is not null").select("doc_id", "lang", "buckets", "counts").distinct().collect():
         buckets = np.frombuffer(r["buckets"], "<u2").astype(np.int64)
         sample.append((r["doc_id"], bytes(r["buckets"]), buckets, tf_idf(buckets, np.frombuffer(r["counts"], "<u4"), idf), languages.index(r["lang"])))
     sample.sort(key=lambda r: r[:2])
@@ -198,20 +209,15 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang_pred string, score double")
-    def guess(texts):
-        import pandas as pd
-
-        model, out = shared.value, []
-        for text in texts:
-            found = gram_counts(text) if model.languages else None
-            if found is None:
-                out.append((UNKNOWN, 0.0))
-                continue
-            p = model.probabilities(*found)
-            k = int(np.argmax(p))
-            out.append((model.languages[k], float(p[k])))
-        return pd.DataFrame(out, columns=["lang_pred", "score"])
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def guess(texts: pa.Array) -> pa.Array:
+        model = shared.value
+        names, best, score = np.array([*model.languages, UNKNOWN]), np.full(len(texts), len(model.languages)), np.zeros(len(texts))
+        for lo, _, part in slices(texts) if model.languages else ():
+            some, p = model.probabilities(part)
+            best[lo + some] = p.argmax(axis=1)
+            score[lo + some] = p.max(axis=1)
+        return pa.StructArray.from_arrays([pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=["lang_pred", "score"])
 
     plain = docs.drop("lang_pred", "score").withColumn("_guess", guess(F.col(text_col).cast("string")))
     return plain.select(*[F.col(f"`{c}`") for c in plain.columns if c != "_guess"], "_guess.lang_pred", "_guess.score")
