@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _checked(df: DataFrame, keys: list[str], side: str) -> DataFrame:
+def unique(df: DataFrame, keys: list[str], side: str = "right") -> DataFrame:
     """Make the first key raise an error where its row is not unique.
 
     The check sits in the key itself, so no pruning of columns removes it. Rows
-    with a null key match nothing and are not checked.
+    with a null key match nothing and are not checked. The rows are dealt by the keys
+    once, which a join on them uses again.
     """
     n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
     some = F.lit(True)
@@ -24,9 +25,9 @@ def checked_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "i
     """Equi-join on ``on``; ``validate`` is 1:1, 1:m or m:1. A breach fails when an action runs."""
     one_left, one_right = (part == "1" for part in validate.split(":"))
     if one_left:
-        left = _checked(left, on, "left")
+        left = unique(left, on, "left")
     if one_right:
-        right = _checked(right, on, "right")
+        right = unique(right, on, "right")
     return left.join(right, on, how)
 
 
@@ -46,6 +47,11 @@ def join_chain(first: DataFrame, others: list[tuple[DataFrame, str]], on: list[s
     return out
 
 
+def stack(first: DataFrame, second: DataFrame) -> DataFrame:
+    """All rows of both, repeated ones too; a column that one side lacks is null there."""
+    return first.unionByName(second, allowMissingColumns=True)
+
+
 def exactly_one(df: DataFrame, condition: Column, column: str):
     """The only row's value; an error if there is none or more than one."""
     rows = df.where(condition).select(column).take(2)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from matchweave.functions.columns import clamp_alpha
 from matchweave.functions.geometry import pass_angle, scale_x, scale_y
-from matchweave.operators.joins import checked_join
+from matchweave.operators.joins import checked_join, stack, unique
 from matchweave.operators.sequence import forward_fill, next_value
 
 SIDE = ["game_id", "team"]
@@ -105,7 +105,18 @@ def directed_network(first_half: DataFrame, n: int = 11, least_alpha: float = 0.
     chosen = most_minutes(first_half, n).select(*SIDE, "player_id")
     kept = placed.join(chosen, [*SIDE, "player_id"], "left_semi").join(chosen.withColumnRenamed("player_id", "recipient"), [*SIDE, "recipient"], "left_semi")
     share = share_of_max("number_pass", SIDE)
-    return kept.withColumns({"width": share, "alpha": clamp_alpha(share, least_alpha)})
+    return kept.withColumns({"width": share, "line_width": share + 0.5, "alpha": clamp_alpha(share, least_alpha)})
+
+
+def with_markers(nodes: DataFrame) -> DataFrame:
+    """Add marker: s for a substitute, o for a starter and for a player of whom it isn't known."""
+    return nodes.withColumn("marker", F.when(F.coalesce("is_starter", F.lit(True)), "o").otherwise("s"))
+
+
+def outcome_split(events: DataFrame, outcomes: tuple[str, str] = ("Successful", "Unsuccessful")) -> DataFrame:
+    """Each player's actions (of any type) by outcome: count, first and last place in the game."""
+    kept = events.where(F.col("outcome_type").isin(*outcomes))
+    return kept.groupBy(*SIDE, "player_id", "outcome_type").agg(F.count("*").alias("actions"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
 
 
 def fill_formation(events: DataFrame) -> DataFrame:
@@ -124,7 +135,7 @@ def with_substitutes(lineup: DataFrame, substitutions: DataFrame) -> DataFrame:
     """
     came = checked_join(lineup, substitutions, ["tactics_id", "player_id"], "inner", "1:1")
     came = came.select("tactics_id", F.col("replacement_id").alias("player_id"), "position")
-    return lineup.unionByName(came, allowMissingColumns=True)
+    return stack(lineup, came)
 
 
 def formation_network(events: DataFrame, lineup: DataFrame, formation: str, least_alpha: float = 0.3) -> DataFrame:
@@ -133,10 +144,10 @@ def formation_network(events: DataFrame, lineup: DataFrame, formation: str, leas
     ``events`` are filled (``fill_formation``) and have recipient; ``lineup`` has
     tactics_id, player_id and position, unique on the first two.
     """
-    lineup = lineup.select("tactics_id", "player_id", "position")
-    placed = checked_join(events.where(F.col("tactics_formation") == formation), lineup, ["tactics_id", "player_id"], "left", "m:1")
+    lineup = unique(lineup.select("tactics_id", "player_id", "position"), ["tactics_id", "player_id"])  # checked once for both joins
+    placed = events.where(F.col("tactics_formation") == formation).join(lineup, ["tactics_id", "player_id"], "left")
     receipt = lineup.select("tactics_id", F.col("player_id").alias("recipient"), F.col("position").alias("position_receipt"))
-    placed = checked_join(placed, receipt, ["tactics_id", "recipient"], "left", "m:1")
+    placed = placed.join(receipt, ["tactics_id", "recipient"], "left")
     passes = placed.where("type = 'Pass' and position is not null and position_receipt is not null")
     pairs = passes.groupBy(*SIDE, F.least("position", "position_receipt").alias("pos_min"), F.greatest("position", "position_receipt").alias("pos_max")).agg(F.count("seq").alias("pass_count"))
     touches = placed.where("type in ('Pass', 'BallTouch') and position is not null")

@@ -22,24 +22,29 @@ def pair_number(df: DataFrame, order: list[str], by: list[str], size: int = 2, n
     return df.withColumn(name, F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / size))
 
 
-def responses(events: DataFrame, target: Column, teams: Column, actions: list[str]) -> DataFrame:
-    """What a target player does right after receiving the ball.
+def received_and_performed(events: DataFrame, target: Column, teams: Column) -> DataFrame:
+    """Per game, successful actions of ``teams`` whose next event is the target's (branch 0) and the target's own actions (branch 1).
 
-    ``events`` has game_id, seq, team, player_id, type, outcome_type, minute and
-    second. Per game, successful actions of ``teams`` whose next event is the
-    target's (received) and the target's own actions (performed) are taken in
-    clock order, received before performed on ties; an event that is both stands
-    in both. A row by another player followed by the target's with one of
-    ``actions`` is a response. Returns game_id, seq, outcome_type and seconds.
-
-    One scan: the branches are an exploded array, not a union.
+    An event that is both stands in both. One scan: the branches are an exploded
+    array, not a union.
     """
     nxt = F.lead("player_id").over(Window.partitionBy("game_id").orderBy("seq"))
     rows = events.withColumn("receiver", nxt)
     received = (F.col("receiver") == target) & (F.col("outcome_type") == "Successful") & teams
     performed = F.col("player_id") == target
     branches = F.filter(F.array(F.when(received, 0), F.when(performed, 1)), lambda b: b.isNotNull())
-    both = rows.select("game_id", "seq", "player_id", "type", "outcome_type", (F.col("minute") * 60 + F.col("second")).alias("clock"), "minute", "second", F.explode(branches).alias("branch"))
+    return rows.select("game_id", "seq", "player_id", "type", "outcome_type", (F.col("minute") * 60 + F.col("second")).alias("clock"), "minute", "second", F.explode(branches).alias("branch"))
+
+
+def responses(events: DataFrame, target: Column, teams: Column, actions: list[str]) -> DataFrame:
+    """What a target player does right after receiving the ball.
+
+    ``events`` has game_id, seq, team, player_id, type, outcome_type, minute and
+    second. Received and performed actions are taken in clock order, received before
+    performed on ties. A row by another player followed by the target's with one of
+    ``actions`` is a response. Returns game_id, seq, outcome_type and seconds.
+    """
+    both = received_and_performed(events, target, teams)
     w = Window.partitionBy("game_id").orderBy("minute", "second", "branch", "seq")
     after = both.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in ("seq", "player_id", "type", "outcome_type", "clock")])
     hit = ~F.col("player_id").eqNullSafe(target) & (F.col("next_player_id") == target) & F.col("next_type").isin(actions)

@@ -22,6 +22,14 @@ def per_90(df: DataFrame, minutes: str, keep: list[str]) -> DataFrame:
     return df.select(*[ratio(quoted(c), quoted(minutes)).alias(c) if c in rates and c != minutes else quoted(c) for c in df.columns])
 
 
+def chosen_players(df: DataFrame, position: str, born: int, least_minutes: float | None = None, league: str | None = None, minutes: str = "90s") -> DataFrame:
+    """Players of a position born in ``born`` or later; ``least_minutes`` (nineties) and ``league`` filter only if given."""
+    kept = df.where(F.col("pos").contains(position) & (F.col("born") >= born))
+    if least_minutes is not None:
+        kept = kept.where(F.col(f"`{minutes}`") >= least_minutes)
+    return kept if league is None else kept.where(F.col("league").cast("string").contains(league))
+
+
 def standardise(df: DataFrame, columns: list[str]) -> DataFrame:
     """Replace ``columns`` by (x - mean) / population deviation; a constant column becomes 0.
 

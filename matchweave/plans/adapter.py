@@ -1,8 +1,8 @@
 """The driver's tables seen as match data.
 
-``events`` become match events of 30 games (days) and two teams; rosters and
-lineups are derived from who took part. The SQL twin of each view is in
-``catalog``.
+``events`` become match events of eight games a day, by range of users, with two
+teams each; rosters and lineups are derived from who took part. The SQL twin of
+each view is in ``catalog``.
 """
 
 from __future__ import annotations
@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from matchweave.functions.columns import lookup
 
 #: Position codes by number.
-POSITIONS = dict(enumerate(
-    "GK RB RCB CB LCB LB RWB LWB RDM CDM LDM RM RCM CM LCM LM RW RAM CAM LAM LW RCF ST LCF SS".split(), 1
-))
+POSITIONS = {
+    1: "GK", 2: "RB", 3: "RCB", 4: "CB", 5: "LCB", 6: "LB", 7: "RWB", 8: "LWB", 9: "RDM", 10: "CDM", 11: "LDM", 12: "RM", 13: "RCM", 14: "CM", 15: "LCM", 16: "LM",
+    17: "RW", 18: "RAM", 19: "CAM", 20: "LAM", 21: "LW", 22: "RCF", 23: "ST", 24: "LCF", 25: "SS",
+}
 ROLES = dict(enumerate("DC MC AMC FW FWL GK Sub".split()))
 TYPES = {"purchase": "Pass", "click": "TakeOn", "view": "BallTouch", "signup": "Shot", "error": "Foul"}
 FORMATIONS = dict(enumerate(["433", "442", "352"]))
@@ -31,7 +32,7 @@ def match_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     value, ts = F.col("value"), F.col("ts")
     shot = F.col("event_type") == "signup"
     return raw.select(
-        F.dayofmonth(ts).alias("game_id"), F.col("event_id").alias("seq"), F.col("user_id").alias("player_id"),
+        (F.date_format(ts, "yyyyMMdd").cast("int") * 8 + F.floor(F.col("user_id") / 2) % 8).cast("bigint").alias("game_id"), F.col("event_id").alias("seq"), F.col("user_id").alias("player_id"),
         F.when(F.col("user_id") % 2 == 0, "A").otherwise("B").alias("team"), lookup(F.col("event_type"), TYPES).alias("type"),
         F.when(number.try_cast("int") < 70, "Successful").otherwise("Unsuccessful").alias("outcome_type"),
         F.when(F.hour(ts) < 12, 1).otherwise(2).alias("period"), (F.hour(ts) * 60 + F.minute(ts)).alias("minute"), F.second(ts).alias("second"),
@@ -53,9 +54,11 @@ def roster(events: DataFrame) -> DataFrame:
 
 
 def lineup(events: DataFrame) -> DataFrame:
-    """tactics_id, player_id, position for every announced formation and player of that team and game."""
+    """tactics_id, player_id, position for every announced formation and the team's eleven most used players of that game."""
+    from matchweave.operators.network import most_minutes
+
     formations = events.where("tactics_formation is not null").select("game_id", "team", F.col("seq").alias("tactics_id"))
-    players = events.select("game_id", "team", "player_id").distinct()
+    players = most_minutes(events, 11).select("game_id", "team", "player_id")
     position = lookup(((F.col("player_id") * 7 + F.col("tactics_id")) % 25 + 1).cast("int"), POSITIONS)
     return formations.join(players, ["game_id", "team"]).select("tactics_id", "player_id", position.alias("position"))
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,16 +9,18 @@ from pyspark.sql import functions as F
 
 from matchweave.functions import columns, geometry
 from matchweave.operators import compare, network, sequence, shots, similarity
-from matchweave.operators.joins import join_chain
+from matchweave.operators.joins import join_chain, stack
 from matchweave.plans import adapter
+from matchweave.schemas import table_schema
 from matchweave.sources import files
+from matchweave.sources.scratch import Scratch
 
 TEAM = "NATION_7"
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
 _EVENTS = """
-ev AS (SELECT cast(extract(day from ts) AS int) AS game_id, event_id AS seq, user_id AS player_id,
+ev AS (SELECT cast(strftime(ts, '%Y%m%d') AS bigint) * 8 + user_id // 2 % 8 AS game_id, event_id AS seq, user_id AS player_id,
   CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS team,
   CASE event_type WHEN 'purchase' THEN 'Pass' WHEN 'click' THEN 'TakeOn' WHEN 'view' THEN 'BallTouch' WHEN 'signup' THEN 'Shot' WHEN 'error' THEN 'Foul' END AS type,
   CASE WHEN cast(regexp_extract(props, '([0-9]+)', 1) AS int) < 70 THEN 'Successful' ELSE 'Unsuccessful' END AS outcome_type,
@@ -57,8 +58,10 @@ fill AS (SELECT game_id, seq, player_id, team, type, outcome_type, x, y,
   last_value(CASE WHEN tactics_formation IS NOT NULL THEN seq END IGNORE NULLS) OVER w AS tactics_id, last_value(tactics_formation IGNORE NULLS) OVER w AS tactics_formation,
   lead(player_id) OVER (PARTITION BY game_id, team ORDER BY seq) AS recipient
  FROM ev WINDOW w AS (PARTITION BY game_id, team ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+used AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY game_id, team ORDER BY minutes DESC, player_id) AS place
+  FROM (SELECT game_id, team, player_id, max(minute) - min(minute) AS minutes FROM ev GROUP BY 1, 2, 3)) WHERE place <= 11),
 lineup AS (SELECT tactics_id, player_id, {_CODES} AS position FROM
- (SELECT f.seq AS tactics_id, p.player_id FROM ev f JOIN (SELECT DISTINCT game_id, team, player_id FROM ev) p ON f.game_id = p.game_id AND f.team = p.team WHERE f.tactics_formation IS NOT NULL)),
+ (SELECT f.seq AS tactics_id, p.player_id FROM ev f JOIN used p ON f.game_id = p.game_id AND f.team = p.team WHERE f.tactics_formation IS NOT NULL)),
 """
 _RESPONSE = _EVENTS + """
 nx AS (SELECT *, lead(player_id) OVER (PARTITION BY game_id ORDER BY seq) AS receiver FROM ev),
@@ -126,7 +129,7 @@ def _nodes(spark, d):
 
 @_query("SELECT game_id, team, player_id, round(x, 6) AS x, round(y, 6) AS y, passes, position, is_starter, CASE WHEN coalesce(is_starter, true) THEN 'o' ELSE 's' END AS marker FROM node", _NODES)
 def player_locations(spark, d):
-    return _r(_nodes(spark, d), "x", "y").withColumn("marker", F.when(F.coalesce("is_starter", F.lit(True)), "o").otherwise("s"))
+    return network.with_markers(_r(_nodes(spark, d), "x", "y"))
 
 
 _LINES = (
@@ -161,14 +164,14 @@ def top_players(spark, d):
 
 
 @_query(
-    "SELECT game_id, team, player_id, recipient, pair, number_pass, round(x, 6) AS x, round(y, 6) AS y, round(x_end, 6) AS x_end, round(y_end, 6) AS y_end, round(width, 6) AS width, round(width * 0.9e0 + 0.1e0, 6) AS alpha FROM ("
+    "SELECT game_id, team, player_id, recipient, pair, number_pass, round(x, 6) AS x, round(y, 6) AS y, round(x_end, 6) AS x_end, round(y_end, 6) AS y_end, round(width, 6) AS width, round(width + 0.5e0, 6) AS line_width, round(width * 0.9e0 + 0.1e0, 6) AS alpha FROM ("
     "SELECT p.*, a.x, a.y, b.x AS x_end, b.y AS y_end, p.number_pass / max(p.number_pass) OVER (PARTITION BY p.game_id, p.team) AS width FROM pr p "
     "JOIN avgloc a ON a.game_id = p.game_id AND a.team = p.team AND a.player_id = p.player_id JOIN avgloc b ON b.game_id = p.game_id AND b.team = p.team AND b.player_id = p.recipient "
     "SEMI JOIN top t ON t.game_id = p.game_id AND t.team = p.team AND t.player_id = p.player_id SEMI JOIN top u ON u.game_id = p.game_id AND u.team = p.team AND u.player_id = p.recipient)",
     _DIRECTED + "avgloc AS (SELECT game_id, team, player_id, avg(x) AS x, avg(y) AS y FROM half WHERE type = 'Pass' GROUP BY 1, 2, 3),",
 )
 def directed_network(spark, d):
-    return _r(network.directed_network(_half(spark, d), 11), "x", "y", "x_end", "y_end", "width", "alpha")
+    return _r(network.directed_network(_half(spark, d), 11), "x", "y", "x_end", "y_end", "width", "line_width", "alpha")
 
 
 @_query("SELECT game_id, team, seq, player_id, tactics_id, tactics_formation FROM fill", _FILLED)
@@ -195,7 +198,7 @@ def formation_network(spark, d):
 @_query("SELECT game_id, team, array_to_string(list_sort(list(DISTINCT tactics_formation) FILTER (WHERE tactics_formation IS NOT NULL)), ',') AS formations FROM fill GROUP BY 1, 2", _FILLED)
 def formations_by_team(spark, d):
     found = network.formations_by_team(adapter.filled_events(adapter.match_events(spark, d)))
-    return found.withColumn("formations", F.array_join("formations", ","))
+    return found.withColumn("formations", F.when(F.size("formations") > 0, F.array_join("formations", ",")))
 
 
 @_query(
@@ -255,8 +258,7 @@ def marker_size(spark, d):
 
 @_query("SELECT game_id, team, player_id, outcome_type, count(*) AS actions, min(seq) AS first_seq, max(seq) AS last_seq FROM ev WHERE outcome_type IN ('Successful', 'Unsuccessful') GROUP BY 1, 2, 3, 4", _EVENTS)
 def player_outcomes(spark, d):
-    df = adapter.match_events(spark, d).where(F.col("outcome_type").isin("Successful", "Unsuccessful"))
-    return df.groupBy("game_id", "team", "player_id", "outcome_type").agg(F.count("*").alias("actions"), F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    return network.outcome_split(adapter.match_events(spark, d))
 
 
 def _long_stats(spark, d):
@@ -317,8 +319,7 @@ def wide_join(spark, d):
 
 
 def _rates(spark, d):
-    chosen = _wide(spark, d).where(F.col("pos").contains("MA") & (F.col("born") >= 1997))
-    return similarity.per_90(chosen, "90s", ["league", "team", "player", "born"])
+    return similarity.per_90(similarity.chosen_players(_wide(spark, d), "MA", 1997), "90s", ["league", "team", "player", "born"])
 
 
 _MEASURES = ["balance", "orders", "value", "done", "lines", "value_items", "largest", "value_balance", "cards", "saves"]
@@ -345,16 +346,22 @@ def string_filter(spark, d):
     return _r(df.select("p_partkey", *[c for c in columns.numeric_columns(df) if c != "p_partkey"]), "p_retailprice")
 
 
-@_query("SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem WHERE l_linenumber = 1")
+@_query("SELECT l_orderkey, l_partkey, l_suppkey, l_quantity, l_extendedprice FROM lineitem")
 def dtype_select(spark, d):
-    df = columns.without_matching(adapter.table(spark, d, "lineitem").where("l_linenumber = 1"), r"^l_(tax|disc).*")
+    df = columns.without_matching(adapter.table(spark, d, "lineitem"), r"^l_(tax|disc).*")
     return df.select(*columns.float_and_long_columns(df))
 
 
+def _scaled_features(spark, d):
+    names = [f"f{i}" for i in range(64)]
+    base = adapter.table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(names)])
+    return similarity.assemble(similarity.standardise(base, names), names)
+
+
 @_query()
 def pca_ratio(spark, d):
-    rows = similarity.explained(adapter.table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("features")), 23)
-    return spark.createDataFrame(rows, "component int, share double, running double")
+    """Explained shares of all principal components of standardised vectors."""
+    return spark.createDataFrame(similarity.explained(_scaled_features(spark, d), 64), "component int, share double, running double")
 
 
 @_query(
@@ -368,18 +375,61 @@ def knn_cosine(spark, d):
 @_query()
 def pca_neighbours(spark, d):
     """Nine neighbours of vector 7 among the first 23 principal components of standardised vectors."""
-    base = adapter.table(spark, d, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(64)])
-    names = [f"f{i}" for i in range(64)]
-    scaled = similarity.assemble(similarity.standardise(base, names), names)
+    scaled = _scaled_features(spark, d)
     return similarity.nearest(similarity.project(scaled, similarity.fit_pca(scaled, 23)), 7, 9, vector="components")
 
 
 @_query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
 def csv_round_trip(spark, d):
-    """Nations written one folder per region and read back in one scan with a declared schema."""
+    """Nations written one folder per region and read back in one scan, the region from each file's path."""
+    path = _scratch(spark)
+    files.write_per_key(adapter.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), path, "n_regionkey")
+    back = files.with_file_key(files.read_csv(spark, f"{path}/*", table_schema("n_nationkey int, n_name string")), r"n_regionkey=(\d+)", "region")
+    return back.select("n_nationkey", "n_name", F.col("region").cast("int").alias("n_regionkey"))
+
+
+@_query("SELECT cast(row_number() OVER (ORDER BY s_suppkey) - 1 AS int) AS row, s_suppkey, s_name FROM supplier")
+def csv_with_index(spark, d):
+    path = _scratch(spark)
+    files.write_csv(adapter.table(spark, d, "supplier").select("s_suppkey", "s_name"), path, index_by=["s_suppkey"])
+    return files.read_csv(spark, path, table_schema("row int, s_suppkey bigint, s_name string"))
+
+
+@_query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey NOT IN (SELECT n_regionkey FROM nation WHERE n_nationkey >= 23)")
+def good_files(spark, d):
+    """Nations in files by region; a file with a nation of number 23 or more is left out whole."""
     path = _scratch(spark)
     files.write_per_key(adapter.table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), path, "n_regionkey")
-    return spark.read.option("header", True).schema("n_nationkey int, n_name string, n_regionkey int").csv(path)
+    return files.good_files(files.read_csv(spark, f"{path}/*", table_schema("n_nationkey int, n_name string")), [F.col("n_nationkey") < 23])
+
+
+@_query("SELECT seq, player_id, type, outcome_type, game_id FROM ev WHERE game_id % 5 = 3 OR (game_id % 7 = 3 AND game_id % 5 <> game_id % 7)", _EVENTS)
+def team_collection(spark, d):
+    """The events of one team's games, home and away, exported one folder per game and read back."""
+    path, events = _scratch(spark), adapter.match_events(spark, d).select("seq", "player_id", "type", "outcome_type", "game_id")
+    named = lambda n: F.concat(F.lit("T"), (F.col("game_id") % n).cast("string"))
+    schedule = events.select("game_id").distinct().select("game_id", named(5).alias("home_team"), named(7).alias("away_team"))
+    files.collect_team(schedule, events, "T3", path)
+    found = files.read_csv(spark, f"{path}/*", table_schema("seq bigint, player_id bigint, type string, outcome_type string"))
+    return files.with_file_key(found, r"game_id=(\d+)", "game_id")
+
+
+@_query("SELECT game, category, CASE category WHEN 'orders' THEN 0 WHEN 'customers' THEN 1 WHEN 'finished' THEN 2 END AS place, printf('%.1f', floor(a)) AS a_label, printf('%.1f', floor(b)) AS b_label FROM cmp", _STATS)
+def stat_labels(spark, d):
+    found = compare.shares(_long_stats(spark, d), ["game"], "side", "H", "A").withColumns({"a": F.floor("a"), "b": F.floor("b")})
+    return compare.labelled(compare.with_ordinal(found, ["orders", "customers", "finished"]), ["a", "b"]).select("game", "category", "place", "a_label", "b_label")
+
+
+@_query("SELECT game, side, cast(floor(max(value) FILTER (category = 'orders')) AS bigint) || ',' || cast(floor(max(value) FILTER (category = 'customers')) AS bigint) AS row FROM lg GROUP BY 1, 2", _STATS)
+def stat_matrix(spark, d):
+    found = compare.matrix(_long_stats(spark, d), ["game", "side"], ["orders", "customers"])
+    return found.select("game", "side", F.array_join(F.transform("values", lambda v: F.floor(v).cast("string")), ",").alias("row"))
+
+
+@_query("SELECT p_partkey AS key, p_size, NULL AS s_nationkey FROM part UNION ALL SELECT s_suppkey, NULL, s_nationkey FROM supplier")
+def stacked(spark, d):
+    part = adapter.table(spark, d, "part").select(F.col("p_partkey").alias("key"), "p_size")
+    return stack(part, adapter.table(spark, d, "supplier").select(F.col("s_suppkey").alias("key"), "s_nationkey"))
 
 
 @_query("SELECT r_regionkey, r_name FROM region")
@@ -404,12 +454,8 @@ def event_windows(spark, d):
 
 
 def _scratch(spark: SparkSession) -> str:
-    """A new folder in the shared place that spark.checkpoint.dir names, or, only if it is unset, on this machine."""
-    import os
-    import uuid
-
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "matchweave-files")
-    return f"{root}/matchweave-files/{uuid.uuid4().hex}"
+    """A new folder of this application in the shared place."""
+    return Scratch(spark).path
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

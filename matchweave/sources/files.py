@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matchweave.sources.scratch import scratch_table
+
 CORRUPT = "_corrupt_record"
 
 
@@ -25,8 +27,19 @@ def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType,
 
 
 def with_file_key(df: DataFrame, pattern: str, name: str) -> DataFrame:
-    """Add a long key taken from each row's file name by the first group of ``pattern``; null without a match."""
-    return df.withColumn(name, F.regexp_extract("_metadata.file_name", pattern, 1).try_cast("long"))
+    """Add a long key taken from each row's file path by the first group of ``pattern``; null without a match."""
+    return df.withColumn(name, F.regexp_extract("_metadata.file_path", pattern, 1).try_cast("long"))
+
+
+def in_file_order(df: DataFrame, name: str) -> DataFrame:
+    """Add each row's file and ``name``, its place in the file from 0.
+
+    The rows of one file are read in order of their block's start; a file's rows are
+    numbered by one task, files apart from each other.
+    """
+    placed = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    order = Window.partitionBy("file").orderBy("_block", "_at")
+    return placed.withColumn(name, (F.row_number().over(order) - 1).cast("long")).drop("_block", "_at")
 
 
 def good_files(df: DataFrame, required: Iterable[Column]) -> DataFrame:
@@ -56,15 +69,25 @@ def write_csv(df: DataFrame, path: str, index_by: list[str] | None = None, mode:
 def with_index(df: DataFrame, order: list[str], name: str = "row_index") -> DataFrame:
     """Number rows from 0 in a stated order, without gathering them in one task.
 
-    Rows are sorted into range partitions; a partition's first number is the
-    count of rows before it.
+    Rows are sorted into ranges and written once with the number of their range, so
+    that counts and rows see the same ranges; a range's first number is the count of
+    rows before it.
     """
-    at = f"_{name}_part"
-    ordered = df.repartitionByRange(*[F.col(c).asc_nulls_last() for c in order]).withColumn(at, F.spark_partition_id())
-    inside = ordered.withColumn("_in", F.row_number().over(Window.partitionBy(at).orderBy(*[F.col(c).asc_nulls_last() for c in order])))
-    counts = inside.groupBy(at).agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy(at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return inside.join(before, at).select((F.col("_in") + F.col("_before") - 1).alias(name), *[F.col(f"`{c}`") for c in df.columns])
+    keys = [F.col(f"`{c}`").asc_nulls_last() for c in order]
+    part, inside, before = (free_name(df, f"_{name}_{x}") for x in ("part", "in", "before"))
+    ranged = scratch_table(df.repartitionByRange(*keys).withColumn(part, F.spark_partition_id()), "ranges")
+    numbered = ranged.withColumn(inside, F.row_number().over(Window.partitionBy(part).orderBy(*keys)))
+    counts = ranged.groupBy(part).agg(F.count("*").alias("_n"))  # one row for each range
+    first = counts.select(part, F.coalesce(F.sum("_n").over(Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    return numbered.join(first, part).select((F.col(inside) + F.col(before) - 1).alias(name), *[F.col(f"`{c}`") for c in df.columns])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores after it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def write_per_key(df: DataFrame, path: str, key: str, form: str = "csv", mode: str = "errorifexists") -> None:
@@ -76,6 +99,12 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
 
+def collect_team(schedule: DataFrame, events: DataFrame, team: str, path: str, mode: str = "errorifexists") -> None:
+    """Write the events of a team's games, home and away, one folder per game_id."""
+    games = team_games(schedule, team).select("game_id").distinct()
+    write_per_key(events.join(games, "game_id", "left_semi"), path, "game_id", mode=mode)
+
+
 def team_games(schedule: DataFrame, team: str) -> DataFrame:
     """A team's games, home then away."""
     return schedule.where(F.col("home_team") == team).unionByName(schedule.where(F.col("away_team") == team))

@@ -62,10 +62,12 @@ def test_responses(spark):
 
 
 def test_an_event_in_both_branches_stands_twice(spark):
-    rows = [(1, "X", "Pass", "Successful"), (2, "X", "Pass", "Successful")]
+    rows = [(1, "B", "Pass", "Successful"), (2, "X", "Pass", "Successful"), (3, "X", "Shot", "Successful")]
     df = spark.createDataFrame([(1, s, "T", p, t, o, 0, s) for s, p, t, o in rows], "game_id int, seq long, team string, player_id string, type string, outcome_type string, minute int, second int")
+    both = sequence.received_and_performed(df, F.lit("X"), F.lit(True))
+    assert sorted((r["seq"], r["branch"]) for r in both.collect()) == [(1, 0), (2, 0), (2, 1), (3, 1)]
+    assert [(r["seq"], r["seconds"]) for r in sequence.responses(df, F.lit("X"), F.lit(True), ["Pass"]).collect()] == [(2, 1)]
     assert sequence.responses(df, F.lit("Y"), F.lit(True), ["Pass"]).count() == 0
-    assert sequence.responses(df, F.lit("X"), F.lit(True), ["Pass"]).count() == 0  # the receiver is the passer
 
 
 def test_accuracy_and_null_outcome(spark):
@@ -205,3 +207,56 @@ def test_column_choice(spark):
 def test_location_of_short_arrays(spark):
     df = spark.createDataFrame([([1.0, 2.0],), ([3.0],), (None,)], "location array<double>")
     assert [(r["x"], r["y"]) for r in shots.split_location(df).collect()] == [(1, 2), (3, None), (None, None)]
+
+
+def test_stack_with_different_columns(spark):
+    a, b = spark.createDataFrame([(1, "x")], "k long, only_a string"), spark.createDataFrame([(2, 5), (2, 5)], "k long, only_b int")
+    assert sorted(map(tuple, joins.stack(a, b).collect()), key=str) == [(1, "x", None), (2, None, 5), (2, None, 5)]
+
+
+def test_unique_is_checked_once_for_two_joins(spark):
+    lineup = spark.createDataFrame([(1, 1, "GK"), (1, 2, "ST")], "tactics_id long, player_id long, position string")
+    rows = [(1, "T", s, 1, p, r, "433", "Pass", float(s), 2.0) for s, (p, r) in enumerate([(1, 2), (2, 1), (2, 1), (1, 9)])]
+    events = spark.createDataFrame(rows, "game_id long, team string, seq long, tactics_id long, player_id long, recipient long, tactics_formation string, type string, x double, y double")
+    found = network.formation_network(events, lineup, "433")
+    assert [(r["pos_min"], r["pos_max"], r["pass_count"], r["count"], r["count_end"]) for r in found.collect()] == [("GK", "ST", 3, 2, 2)]
+    with pytest.raises(Exception, match="not unique"):
+        network.formation_network(events, lineup.union(lineup), "433").collect()
+
+
+def test_markers_outcomes_and_drawn_width(spark):
+    nodes = spark.createDataFrame([(1, True), (2, False), (3, None)], "player_id int, is_starter boolean")
+    assert [r["marker"] for r in network.with_markers(nodes).orderBy("player_id").collect()] == ["o", "s", "o"]
+    got = network.outcome_split(passes(spark, [1, 1, 2], ["Successful", "Unsuccessful", None])).collect()
+    assert sorted((r["player_id"], r["outcome_type"], r["actions"], r["first_seq"]) for r in got) == [(1, "Successful", 1, 0), (1, "Unsuccessful", 1, 1)]
+    half = spark.createDataFrame([(1, "T", k, p, r, "Pass", k, 1.0, 2.0) for k, (p, r) in enumerate([(1, 2), (1, 2), (2, 1)])], "game_id int, team string, seq long, player_id long, recipient long, type string, minute int, x double, y double")
+    assert {r["pair"]: (r["width"], r["line_width"]) for r in network.directed_network(half).collect()} == {"12": (1.0, 1.5), "21": (0.5, 1.0)}
+
+
+def test_ordinals_labels_and_matrix(spark):
+    long = spark.createDataFrame([("g", "a", 1.25), ("g", "b", 3.0), ("h", "b", None)], "game string, category string, value double")
+    got = compare.labelled(compare.with_ordinal(long, ["b", "a"]), ["value"]).orderBy("game", "category").collect()
+    assert [(r["place"], r["value_label"]) for r in got] == [(1, "1.3"), (0, "3.0"), (0, None)]
+    assert {r["game"]: r["values"] for r in compare.matrix(long, ["game"], ["b", "a"]).collect()} == {"g": [3.0, 1.25], "h": [None, None]}
+
+
+def test_optional_player_filters(spark):
+    df = spark.createDataFrame([("MF,FW", 1998, 9.0, "L1"), ("MF", 1990, 9.0, "L1"), ("GK", 2000, 9.0, "L1"), ("MF", 2000, 2.0, "L2"), ("MF", None, 9.0, "L1")], "pos string, born int, `90s` double, league string")
+    count = lambda **how: similarity.chosen_players(df, "MF", 1997, **how).count()
+    assert (count(), count(least_minutes=5), count(league="L2"), count(least_minutes=5, league="L2")) == (2, 1, 1, 0)
+
+
+def test_neighbours_among_components_like_numpy(spark):
+    import numpy as np
+
+    x = np.random.default_rng(2).standard_normal((40, 6)) * [5, 3, 2, 1, 0.5, 9] + 2
+    names = [f"f{i}" for i in range(6)]
+    df = spark.createDataFrame([(k, *map(float, r)) for k, r in enumerate(x)], "vec_id long, " + ", ".join(f"{n} double" for n in names))
+    scaled = similarity.assemble(similarity.standardise(df, names), names)
+    got = similarity.nearest(similarity.project(scaled, similarity.fit_pca(scaled, 3)), 7, 5, vector="components").collect()
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    p = z @ np.linalg.svd(z, full_matrices=False)[2][:3].T
+    distance = 1 - p @ p[7] / np.linalg.norm(p, axis=1) / np.linalg.norm(p[7])
+    order = [k for k in np.argsort(distance) if k != 7][:5]
+    assert [r["vec_id"] for r in got] == order and [r["distance"] for r in got] == pytest.approx(distance[order].tolist())
+    assert [r[1] for r in similarity.explained(scaled, 6)] == pytest.approx((np.linalg.svd(z, compute_uv=False) ** 2 / (z**2).sum()).tolist())
