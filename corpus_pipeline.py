@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from matchweave.llm import langid, minhash, packing, pii
-from matchweave.llm.common import scratch_table
+from matchweave.llm.common import fresh
+from matchweave.sources.scratch import scratch_table
 
 #: A document whose most likely language has less than this is rejected.
 LEAST_LANGUAGE_SCORE = 0.4
@@ -24,8 +25,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Learns from the rows that are not held out, as the operator's query does.
     """
     model = langid.fit(docs.where(~langid.held_out()))
-    found = langid.predict(docs, model)
-    sure = (F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)
+    pred, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
+    found = langid.predict(docs, model, pred_col=pred, score_col=score)
+    sure = (F.col(pred) != langid.UNKNOWN) & (F.col(score) >= LEAST_LANGUAGE_SCORE)
     return found.where(sure).select(*docs.columns)
 
 

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matchweave.llm.common import map_batches
+
 #: Strings that chat templates in use give a meaning.
 CONTROL = ["<|", "|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>", "<bos>", "<eos>", "<start_of_turn>", "<end_of_turn>"]
 #: Other names of the canonical roles.
@@ -101,8 +103,10 @@ def shape_paths(shape: str) -> list[str]:
 
 
 def choose(paths: Iterable[str], layouts: Iterable[tuple[str, ...]]) -> int | None:
-    """Position of the mapping for a layout: of those whose paths it has, the one that covers all others."""
-    own = set(paths)
+    """Position of the mapping for a layout: the one with its fingerprint, else, of those whose paths it has, the one that covers all others."""
+    own, layouts = set(paths), list(layouts)
+    if (k := {fingerprint(p): k for k, p in enumerate(layouts)}.get(fingerprint(own))) is not None:
+        return k
     fit = [(k, set(p)) for k, p in enumerate(layouts) if own.issuperset(p)]
     if not fit:
         return None
@@ -255,4 +259,4 @@ def read_back(segments: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*done, strict=True), kinds, strict=True)], names=names)
 
     ordered = segments.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return ordered.select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return map_batches(ordered.select("conv_id", "segment", "loss_start", "loss_end"), run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")

@@ -1,10 +1,7 @@
-"""Shared pieces: scratch tables, whole-group Arrow streaming, components."""
+"""Shared pieces: broadcast by size, Arrow batches, whole groups in a stream, components."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,44 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """This application's folder in the shared folder named in ``spark.checkpoint.dir``.
-
-    A local session without that setting takes a folder of its machine. On a
-    cluster executors would each write to their own disk and a reader would see a
-    part, so there the setting is required.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = "file://" + os.path.join(tempfile.gettempdir(), "matchweave")
-    return f"{root}/matchweave/{spark.sparkContext.applicationId}"
-
-
-class Scratch:
-    """A folder of tables in the application's scratch folder; ``drop`` deletes them together."""
-
-    def __init__(self, spark: SparkSession):
-        self.spark, self.path = spark, f"{scratch_root(spark)}/{uuid.uuid4().hex}"
-
-    def table(self, df: DataFrame, name: str) -> DataFrame:
-        """Write ``df`` as Parquet and read it back.
-
-        Cuts the lineage with files that outlive any executor.
-        """
-        path = f"{self.path}/{name}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self) -> None:
-        _delete(self.spark, self.path)
-
-
-def scratch_table(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to a scratch folder of its own and read back."""
-    return Scratch(df.sparkSession).table(df, name)
+from matchweave.sources.scratch import Scratch, scratch_table
 
 
 def sized(table: DataFrame, rows: int) -> DataFrame:
@@ -57,16 +17,6 @@ def sized(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Delete this application's scratch tables; call it once no result of theirs is needed."""
-    _delete(spark, scratch_root(spark))
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def small_batches(spark: SparkSession, most: int = 4 << 20) -> None:
     """Let Arrow batches end at ``most`` bytes in this session, so a worker's memory doesn't follow 10,000 texts.
 
@@ -84,6 +34,14 @@ def map_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterato
     return df.mapInArrow(run, schema)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def whole_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
     """Regroup batches sorted by integer ``keys`` so that no group is split.
 
@@ -146,18 +104,19 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     and a join whose hot partitions Spark may split, so a node with very many
     neighbours is never gathered in one place. Null ends and self-loops are
     dropped. Every round is written to the shared folder and the one before it
-    deleted. No edges give no rows.
+    deleted, until the edges are stars. No edges give no rows.
     """
     spark = edges.sparkSession
     held = Scratch(spark)
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     e = held.table(e.where("u > v").distinct(), "edges")
 
-    def stamp(x: DataFrame):
-        return x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+    def settled(x: DataFrame) -> bool:
+        """Whether the edges are stars: every node has one edge upwards or only edges from below."""
+        ends = x.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(x.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
 
-    seen = stamp(e)
-    while seen["n"]:
+    while not settled(e):
         before, held = held, Scratch(spark)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Minima are written first: a join of two plain shuffles is one that Spark splits where a node is hot.
@@ -173,9 +132,5 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         )
         e = held.table(small, "edges")
         before.drop()
-        now = stamp(e)
-        if now == seen:
-            break
-        seen = now
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.common import map_batches, scratch_table, small_batches
+from matchweave.llm.common import fresh, map_batches, scratch_table, small_batches
 from matchweave.llm.textbuf import text_slices
 
 BITS = 16
@@ -200,8 +200,8 @@ def fit(learnable: DataFrame, fit_rows: int = 2000, epochs: int = 4, alpha: floa
     return Model(languages, idf, weights, bias, fit_temperature(logits, np.array([k for *_, k in check], dtype=np.int64)))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score, from the text alone.
+def predict(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """``docs`` with ``pred_col`` and ``score_col``, from the text alone.
 
     A null text or one without a letter is ``und`` with score 0, and so is every
     text if the model knows no language. Columns of those names are replaced.
@@ -219,8 +219,10 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
             score[lo + some] = p.max(axis=1)
         return pa.StructArray.from_arrays([pa.array(names[best].tolist(), pa.string()), pa.array(score)], names=["lang_pred", "score"])
 
-    plain = docs.drop("lang_pred", "score").withColumn("_guess", guess(F.col(text_col).cast("string")))
-    return plain.select(*[F.col(f"`{c}`") for c in plain.columns if c != "_guess"], "_guess.lang_pred", "_guess.score")
+    plain = docs.drop(pred_col, score_col)
+    own = fresh(plain, "guess")
+    found = plain.withColumn(own, guess(F.col(text_col).cast("string")))
+    return found.select(*[F.col(f"`{c}`") for c in plain.columns], F.col(own)["lang_pred"].alias(pred_col), F.col(own)["score"].alias(score_col))
 
 
 def held_out(id_col: str = "doc_id"):

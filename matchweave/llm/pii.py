@@ -341,8 +341,11 @@ def fit(docs: DataFrame, text_col: str = "text", fit_spans: int = 6500) -> Model
 
     found = scratch_table(map_batches(docs.select(F.col(text_col).cast("string")), count, "pattern int, n long, kind int, place long, features binary"), "spans")
     counts = found.where("n is not null").groupBy("pattern").agg(F.sum("n").alias("n"))
-    order = Window.partitionBy("kind").orderBy("place", "pattern", "features")
-    spans = found.where("kind is not null").dropDuplicates(["kind", "place"]).withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).orderBy("kind", "place")
+    spans = found.where("kind is not null").dropDuplicates(["kind", "place"]).withColumn("shard", F.col("place") % 64)
+    for by in (["kind", "shard"], ["kind"]):  # first among shards, so that no task sorts what all others kept of a kind
+        order = Window.partitionBy(*by).orderBy("place", "pattern", "features")
+        spans = spans.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each)
+    spans = spans.orderBy("kind", "place")
     return train({r["pattern"]: r["n"] for r in counts.collect()}, [(r["pattern"], np.frombuffer(r["features"], "<u2").astype(np.int64)) for r in spans.collect()])
 
 

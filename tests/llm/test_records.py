@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from matchweave.llm import chat, common, minhash, warc
+from matchweave.sources import scratch
 
 
 def test_components_equal_brute_force(spark):
@@ -58,9 +59,9 @@ def test_warc_round_trip(spark, least, chunk, limit):
 
 
 def test_scratch_needs_a_shared_folder_and_is_dropped(spark):
-    held = common.Scratch(spark)
+    held = scratch.Scratch(spark)
     table = held.table(spark.range(3), "t")
-    other = common.scratch_table(spark.range(2), "t")
+    other = scratch.scratch_table(spark.range(2), "t")
     assert table.count() == 3 and spark.sparkContext.applicationId in held.path
     held.drop()
     with pytest.raises(Exception, match="[Pp]ath|exist"):
@@ -71,9 +72,9 @@ def test_scratch_needs_a_shared_folder_and_is_dropped(spark):
         session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, applicationId="app", getConf=lambda conf=conf: conf))
         if not root and not master.startswith("local"):
             with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-                common.scratch_root(session)
+                scratch.scratch_root(session)
         else:
-            assert common.scratch_root(session).startswith(root or "file://") and common.scratch_root(session).endswith("/app")
+            assert scratch.scratch_root(session).startswith(root or "file://") and scratch.scratch_root(session).endswith("/app")
 
 
 def test_warc_bytes_are_records_and_damage_is_seen(spark):
@@ -148,6 +149,7 @@ def test_layouts_choose_mappings(spark):
         (0, 0, "user", "a"), (0, 1, "assistant", "b"), (1, 0, "user", "p"), (1, 1, "assistant", "c"), (2, 0, "user", "i"), (2, 1, "assistant", "o"),
         (3, 0, "user", "i\n\nmore"), (3, 1, "assistant", "o"), (4, 0, "user", "q"), (5, -1, "", ""), (90, -1, "", ""), (91, -1, "", ""),
     ]
+    assert chat.canonical_turns(spark.createDataFrame([], "id long, body string"), "id", "body").count() == 0
     paths = chat.field_paths(spark.createDataFrame([], "messages array<struct<role:string,content:string>>").schema)
     assert tuple(paths) in chat.LAYOUTS
 
@@ -181,6 +183,27 @@ def test_op8_goes_through_the_mappings(spark, tmp_path, monkeypatch):
     assert got[1]["turns_sha256"] == hashlib.sha256(b"Human\na\nassistant\n\n").hexdigest() and got[2]["turns_sha256"] == hashlib.sha256(b"\nb\n").hexdigest()
 
 
+def test_pipeline_edge_cases(spark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars int, score string, label string, ids string"
+    plain = ["the and thing whether " * 9 + f"code{k} {k * 7} more words of row {k} here" for k in range(40)]
+    rows = [(k, t, "en", "s", len(t), "a", "b", "c") for k, t in enumerate(plain)]
+    rows += [(None, plain[3], "en", None, 0, None, None, None), (5, plain[5], "en", "s", 0, "a", "b", "c"), (5, "another whole text of the same id " * 5, None, "s", 0, "a", "b", "c"), (None, None, None, None, None, None, None, None)]
+    rows += [(99, " ".join(f"the{k}" for k in range(30_000)), "en", "s", 0, "a", "b", "c")]
+    docs = spark.createDataFrame(rows, schema)
+    docs.write.parquet(f"{tmp_path}/all/documents.parquet")
+    docs.where("false").write.parquet(f"{tmp_path}/none/documents.parquet")
+    kept = docs
+    for _, stage in pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path / "all"))
+        assert kept.dtypes == docs.dtypes
+    left = sorted((str(r["doc_id"]), r["text"][:9]) for r in kept.collect())
+    assert left.count(("5", plain[5][:9])) == 1 and ("5", "another w") in left and ("None", plain[3][:9]) not in left and ("99", "the0 the1") in left
+    packed = pipeline.run(spark, str(tmp_path / "all")).collect()
+    assert len({(r["doc_id"], r["doc_tokens"]) for r in packed}) == len(set(left)) and max(r["start"] for r in packed) > 2048
+    assert pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     pipeline = importlib.import_module("corpus_pipeline")
     rng = random.Random(6)
