@@ -18,8 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.common import fresh, map_batches, scratch_table, small_batches
+from matchweave.llm.common import fresh, map_batches, small_batches
 from matchweave.llm.textbuf import text_slices
+from matchweave.sources.scratch import scratch_table
 
 BITS = 16
 SIZE = 1 << BITS

@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.common import connected_components, forest, group_starts, map_batches, scratch_table, whole_groups
+from matchweave.llm.common import connected_components, forest, group_starts, map_batches, whole_groups
 from matchweave.llm.textbuf import mix
+from matchweave.sources.scratch import scratch_table
 
 
 @lru_cache(maxsize=4)

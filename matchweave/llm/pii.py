@@ -27,7 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from matchweave.llm.common import map_batches, scratch_table, small_batches
+from matchweave.llm.common import map_batches, small_batches
+from matchweave.sources.scratch import scratch_table
 
 #: Base kinds in order of output, then the looser ones.
 BASE = ["email", "ip", "card", "phone"]

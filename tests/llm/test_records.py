@@ -5,13 +5,19 @@ import hashlib
 import importlib
 import json
 import random
+import re
+import zlib
 from types import SimpleNamespace
 
+import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
+import test_dedup
 from pyspark.sql import functions as F
 
 from matchweave.llm import chat, common, minhash, warc
+from matchweave.llm.tokens import plain_tokenizer
 from matchweave.sources import scratch
 
 
@@ -224,3 +230,15 @@ def test_pipeline_stages(spark, tmp_path):
     assert "[EMAIL]" in text[102]["text"] and text[102]["n_chars"] == len(text[102]["text"]) and clean.columns == docs.columns
     out = pipeline.run(spark, str(tmp_path))
     assert {r["doc_id"] for r in out.collect()} == set(text)
+
+    # The whole run against plain loops: all pairs of what the language stage keeps, the e-mail pattern, the library's ids.
+    left = {r["doc_id"]: r["text"] for r in kept.collect()}
+    ids, sets = sorted(left), {k: test_dedup.shingles(t, 5) for k, t in left.items()}
+    links = [(i, j) for i, a in enumerate(ids) for j, b in enumerate(ids[:i]) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    low = test_dedup.components(len(ids), links)
+    plain, want = plain_tokenizer(public_tokenizers.path("byte_bpe_50k.json")), set()
+    for i, k in enumerate(ids):
+        if low[i] == i:
+            clean = re.sub(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "[EMAIL]", left[k])
+            want.add((k, zlib.crc32(np.asarray([*plain.encode(clean, add_special_tokens=False).ids, 1], dtype="<u4").tobytes())))
+    assert {(r["doc_id"], r["ids_crc32"]) for r in out.collect()} == want
