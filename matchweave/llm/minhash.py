@@ -10,9 +10,9 @@ of exact copies cost one row. Then, in two steps:
 
 1. Each member of a band's bucket is compared with the bucket's smallest id only,
    first by signature, then by whole set. That takes as many pairs as members, and
-   settles most buckets: all their members are in one component, or no others are
+   settles most buckets: all their members are linked to one leader, or no others are
    left.
-2. In the other buckets the members of different components are compared with each
+2. In the other buckets the members without a common leader are compared with each
    other by signature, block against block. Only those whose signatures may reach
    the threshold are joined to groups, and in these the whole sets are compared,
    again block against block. Pairs are never written out; a block returns a
@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.common import connected_components, forest, group_starts, map_batches, scratch_table, sized, whole_groups
+from matchweave.llm.common import connected_components, forest, group_starts, map_batches, sized, whole_groups
 from matchweave.llm.textbuf import LOWER, WordHash, mix, text_slices, words
+from matchweave.sources.scratch import scratch_table
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
@@ -148,7 +149,7 @@ def with_leaders(batches: Iterable[pa.RecordBatch], alike) -> Iterator[pa.Record
     leader's n and data and lists of the members'; a member is held against each of
     the leader's rows.
     """
-    group, leaders = None, []
+    group, leaders = None, {}
     for batch in batches:
         low, salt, member, rep, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(5))
         data = batch.column(5)
@@ -156,14 +157,14 @@ def with_leaders(batches: Iterable[pa.RecordBatch], alike) -> Iterator[pa.Record
         out: tuple[list, list] = ([], [])
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
             if group != (low[lo], salt[lo]):
-                group, leaders = (low[lo], salt[lo]), []
+                group, leaders = (low[lo], salt[lo]), {}
             head = lo + int(np.count_nonzero(member[lo:hi] == 0))
-            leaders += [(int(n[k]), data[k].as_py()) for k in range(lo, head)]
+            leaders |= {data[k].as_py(): int(n[k]) for k in range(lo, head)}  # rows that repeat the leader count once
             if head == hi:
                 continue
             others = [x.as_py() for x in data.slice(head, hi - head)]
             hit = np.zeros(hi - head, dtype=bool)
-            for own, value in leaders:
+            for value, own in leaders.items():
                 hit |= alike(own, value, n[head:hi], others)
             out[0].append(rep[head:hi][hit])
             out[1].append(low[head:hi][hit])
@@ -259,10 +260,19 @@ def block_links(batches: Iterable[pa.RecordBatch], part: int, whole: int) -> Ite
 
 
 def block_candidates(batches: Iterable[pa.RecordBatch], part: int, whole: int, least: float) -> Iterator[pa.RecordBatch]:
-    """A spanning forest, in each block pair, of what may be linked by size and signature and isn't in one component yet."""
+    """A spanning forest, in each block pair, of what may be linked by size and signature and has no common leader."""
     for table in whole_groups(batches, ["band", "i", "j"]):
         ids, label, n, band, i, j, block = (table[c].to_numpy() for c in ("rep", "label", "n", "band", "i", "j", "block"))
         marks = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(ids), -1)
+
+        def near_pairs(x: np.ndarray, y: np.ndarray, n=n, label=label, marks=marks) -> tuple[np.ndarray, np.ndarray]:
+            agree = np.zeros((len(x), len(y)), dtype=np.uint16)
+            for left, right in zip(marks[x].T, marks[y].T, strict=True):
+                agree += left[:, None] == right[None, :]
+            sizes = n[x][:, None], n[y][None, :]
+            a, b = np.nonzero((agree >= least) & (whole * np.minimum(*sizes) >= part * np.maximum(*sizes)) & (label[x][:, None] != label[y][None, :]))
+            return x[a], y[b]
+
         at = group_starts(band, i, j)
         out: tuple[list, list] = ([], [])
         for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
@@ -271,15 +281,15 @@ def block_candidates(batches: Iterable[pa.RecordBatch], part: int, whole: int, l
             second = first if i[lo] == j[lo] else order[block[order] == j[lo]]
             if not len(first) or not len(second):
                 continue
-            agree = np.zeros((len(first), len(second)), dtype=np.uint16)
-            for x, y in zip(marks[first].T, marks[second].T, strict=True):
-                agree += x[:, None] == y[None, :]
-            sizes = n[first][:, None], n[second][None, :]
-            near = (agree >= least) & (whole * np.minimum(*sizes) >= part * np.maximum(*sizes)) & (label[first][:, None] != label[second][None, :])
-            a, b = np.nonzero(near)
+            kinds, times = np.unique(label[order], return_counts=True)
+            hot = kinds[times.argmax()]  # most pairs are of one label, in which nothing is looked for
+            pairs = [(first[label[first] != hot], second)]
+            if i[lo] != j[lo]:
+                pairs.append((first[label[first] == hot], second[label[second] != hot]))
+            a, b = (np.concatenate(x) for x in zip(*(near_pairs(*p) for p in pairs), strict=True))
             place = np.zeros(hi, dtype=np.int64)
             place[order] = np.arange(hi - lo)
-            low = forest(hi - lo, place[first[a]], place[second[b]])
+            low = forest(hi - lo, place[a], place[b])
             moved = np.flatnonzero(low != np.arange(hi - lo))
             out[0].append(ids[order][moved])
             out[1].append(ids[order][low[moved]])
@@ -295,7 +305,7 @@ def in_block_pairs(rows: DataFrame, by: str, *columns: str) -> DataFrame:
     return pairs.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 80, whole: int = 100, rows: int = 5, miss: float = 1e-8, sigmas: float = 6.0, block: int = 512, block_bytes: int = 8 << 20, salt_rows: int = 4096, send: int = 1_000_000, hashed: bool = False) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 80, whole: int = 100, rows: int = 5, miss: float = 1e-8, sigmas: float = 6.0, block: int = 512, block_bytes: int = 8 << 20, salt_rows: int = 512, send: int = 1_000_000, hashed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
     Two documents are linked if whole * intersection >= part * union over their
@@ -348,10 +358,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     first = roles(shared.select("low", "rep").distinct(), salt_rows).join(marks.withColumnRenamed("sketch", "data"), "rep")
     pairs = scratch_table(compare_with_leaders(first, may_reach(part, whole, least)), "pairs").select(F.col("a").alias("rep"), F.col("b").alias("low"))
     edges = scratch_table(compare_with_leaders(with_sets(roles(pairs, salt_rows), "low", "salt", "member"), sets_reach(part, whole)), "star_links")
-    comps = connected_components(edges, "a", "b")
 
-    # What the stars leave: buckets with members, besides the one all were compared with, of several components.
-    rest = shared.where("m > 2").join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("label"))
+    # What the stars leave: buckets whose members, besides the one all were compared with, have no common leader.
+    labels = edges.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("label"))
+    rest = shared.where("m > 2").join(labels, "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
     rest = scratch_table(rest, "rest")
     open_ = rest.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("x < y").select("band", "blocks")
     met = in_block_pairs(rest.join(scratch_table(open_, "open"), "band").join(marks, "rep"), "band", "label", "n", "sketch")
@@ -360,8 +370,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         groups = scratch_table(connected_components(near, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("comp")), "groups")
         sizes = groups.join(marks.select("rep", "n"), "rep").groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / block_bytes)).alias("blocks"))
         links = map_batches(in_block_pairs(with_sets(groups.join(sizes, "comp"), "comp", "blocks"), "comp", "data"), lambda it: block_links(it, part, whole), "a long, b long")
-        comps = connected_components(edges.unionByName(links), "a", "b")
-    comps = comps.withColumnRenamed("node", "rep")
+        edges = edges.unionByName(links)
+    comps = connected_components(edges, "a", "b").withColumnRenamed("node", "rep")
     named = classes.drop("bands", "sketch").join(comps, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = sets.drop("bands", "sketch").join(named, key, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", *["text_hash"][: int(hashed)], "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
