@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from matchweave.llm import bpe, chat, langid, licenses, minhash, near_vectors, oracles, packing, pii, warc, winnow
+from matchweave.llm import bpe, chat, langid, licenses, lines, lloyd, merkle, minhash, near_vectors, oracles, packing, pii, warc, winnow
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,10 +74,42 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
+def op11_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all usable vectors in 8 parts of 16 entries after 6 rounds, with the error of each and of its label."""
+    coded, books = lloyd.product_codes(_table(spark, sf_dir, "embeddings"), label_col="label", scale=4096, parts=8, entries=16, rounds=6)
+    out = lloyd.with_label_error(coded).withColumn("codebooks_sha256", F.lit(lloyd.codebooks_digest(books)))
+    return out.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
+def op12_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines of 20 characters or more that 3 documents hold, but for the largest id."""
+    found = lines.drop_repeated_lines(_table(spark, sf_dir, "documents"), least_chars=20, least_docs=3)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "utf-8"), 256).alias("kept_sha256"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, folded from the leaf of a text without line feeds where crc32 of doc_id is even."""
+    docs = _table(spark, sf_dir, "documents")
+    as_is = lambda text: merkle.leaf(F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text)
+    even = F.crc32(F.encode(F.col("doc_id").cast("string"), "utf-8")) % 2 == 0
+    again = F.when(even, as_is(F.replace("text", F.lit("\n"), F.lit(""))))
+    found = merkle.manifest(docs.select("doc_id", "source", as_is(F.col("text")).alias("leaf"), again.alias("tampered")), also=("tampered",), fanout=3)
+    folded = merkle.fold(F.coalesce("tampered", "leaf"), F.col("left"), F.col("right"))
+    proof = F.array_join(F.flatten(F.zip_with("left", "right", lambda before, after: F.array(before, after))), "")
+    out = found.select("doc_id", "leaf", "subroot", "root", F.sha2(F.encode(proof, "utf-8"), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_near_vectors, op2_packing, op3_winnowing, op4_warc, op5_minhash, op6_pii, op7_bpe, op8_chat, op9_licenses, op10_langid)}
+    found = (
+        op1_near_vectors, op2_packing, op3_winnowing, op4_warc, op5_minhash, op6_pii, op7_bpe, op8_chat, op9_licenses, op10_langid, op11_lloyd, op12_lines, op13_merkle,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
     """The other queries rest on hashes of their own, a tokenizer or a trained model; tests hold them against brute force."""
-    return {"op1_near_vectors": oracles.NEAR_VECTORS, "op4_warc": oracles.WARC, "op5_minhash": oracles.MINHASH, "op8_chat": oracles.CHAT}
+    return {
+        "op1_near_vectors": oracles.NEAR_VECTORS, "op4_warc": oracles.WARC, "op5_minhash": oracles.MINHASH, "op8_chat": oracles.CHAT,
+        "op11_lloyd": oracles.LLOYD, "op12_lines": oracles.LINES, "op13_merkle": oracles.MERKLE,
+    }
