@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from matchweave.functions import columns, geometry
@@ -12,7 +12,7 @@ from matchweave.operators import compare, network, sequence, shots, similarity
 from matchweave.operators.joins import join_chain, stack
 from matchweave.plans import adapter
 from matchweave.schemas import table_schema
-from matchweave.sources import files
+from matchweave.sources import files, quarantine
 from matchweave.sources.scratch import Scratch
 
 TEAM = "NATION_7"
@@ -403,6 +403,56 @@ def good_files(spark, d):
     return files.good_files(files.read_csv(spark, f"{path}/*", table_schema("n_nationkey int, n_name string")), [F.col("n_nationkey") < 23])
 
 
+def _month_files(spark, d, lines, header):
+    """A folder of text files, one a month of orders: the month's ``header`` and then its ``lines``, by order key."""
+    path = _scratch(spark)
+    o = adapter.table(spark, d, "orders").select((F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("m"), "o_orderkey", "o_custkey", "o_orderstatus")
+    o = o.withColumn("i", F.row_number().over(Window.partitionBy("m").orderBy("o_orderkey")) - 1)
+    o = o.withColumn("text", F.concat_ws("\n", F.when(F.col("i") == 0, header), lines))
+    o.repartition("m").sortWithinPartitions("m", "i").select("m", "text").write.partitionBy("m").text(path)
+    return f"{path}/*"
+
+
+_MONTHS = "o AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS m, o_orderkey, o_custkey, o_orderstatus, row_number() OVER (PARTITION BY year(o_orderdate) * 12 + month(o_orderdate) ORDER BY o_orderkey) AS i FROM orders),"
+_LAYOUT = table_schema("o_orderkey bigint, o_custkey bigint, o_orderstatus string")
+
+
+@_query("SELECT m, o_orderkey, CASE WHEN m % 5 <> 4 THEN o_custkey END AS o_custkey, o_orderstatus FROM o", _MONTHS)
+def csv_by_name(spark, d):
+    """Orders in files by month whose headers differ: as declared, turned round, with row numbers, with other columns, with one missing."""
+    kind, key, cust, status = F.col("m") % 5, F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderstatus")
+    header = F.element_at(F.array(*map(F.lit, ["o_orderkey,o_custkey,o_orderstatus", "o_orderstatus,o_custkey,o_orderkey", ",o_orderkey,o_custkey,o_orderstatus", "note,o_orderkey,x,o_custkey,o_orderstatus", "o_orderstatus,o_orderkey"])), kind + 1)
+    row = lambda *c: F.concat_ws(",", *[x.cast("string") for x in c])
+    line = F.when(kind == 0, row(key, cust, status)).when(kind == 1, row(status, cust, key)).when(kind == 2, row(F.col("i"), key, cust, status)).when(kind == 3, row(F.lit('"a, b"'), key, F.lit(7), cust, status)).otherwise(row(status, key))
+    found = files.read_csv(spark, _month_files(spark, d, line, header), _LAYOUT, file="file")
+    return files.with_file_key(found, r"m=(\d+)", "m", "file").select("m", "o_orderkey", "o_custkey", "o_orderstatus")
+
+
+_DAMAGE = (
+    "SELECT m, CASE m % 7 WHEN 1 THEN 'no bigint in o_custkey' WHEN 2 THEN 'truncated' WHEN 3 THEN 'header lacks o_custkey' WHEN 4 THEN 'too many fields' WHEN 5 THEN 'a status' END AS reason, "
+    "CASE m % 7 WHEN 1 THEN 2 WHEN 2 THEN count(*) WHEN 3 THEN 0 WHEN 4 THEN 1 WHEN 5 THEN count(*) END AS first_bad_row, "
+    "CASE m % 7 WHEN 1 THEN max(CASE WHEN i = 2 THEN o_orderkey || ',c' || o_custkey || ',' || o_orderstatus END) WHEN 2 THEN cast(max(o_orderkey) AS varchar) WHEN 3 THEN 'o_orderkey,cust,o_orderstatus' "
+    "WHEN 4 THEN max(CASE WHEN i = 1 THEN o_orderkey || ',' || o_custkey || ',' || o_orderstatus || ',1' END) WHEN 5 THEN max_by(o_orderkey || ',' || o_custkey || ',?', i) END AS first_bad_line, "
+    "CASE WHEN m % 7 IN (0, 6) THEN count(*) ELSE 0 END AS kept FROM o GROUP BY m HAVING count(*) > 1"
+)
+
+
+@_query(_DAMAGE, _MONTHS)
+def quarantine_verdicts(spark, d):
+    """Orders in files by month, many of them damaged: each file's verdict and how many of its rows are kept."""
+    kind, key, cust, status = F.col("m") % 7, F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderstatus")
+    last = F.col("i") == F.count("*").over(Window.partitionBy("m")) - 1
+    line = (
+        F.when((kind == 1) & (F.col("i") % 5 == 1), F.concat(key, F.lit(",c"), cust, F.lit(","), status)).when((kind == 2) & last, key)
+        .when((kind == 4) & (F.col("i") % 3 == 0), F.concat_ws(",", key, cust, status, F.lit("1"))).when((kind == 5) & last, F.concat_ws(",", key, cust, F.lit("?"))).otherwise(F.concat_ws(",", key, cust, status))
+    )
+    header = F.when(kind == 3, "o_orderkey,cust,o_orderstatus").otherwise("o_orderkey,o_custkey,o_orderstatus")
+    good, verdicts = quarantine.checked_scan(spark, _month_files(spark, d, line, header), _LAYOUT, ("o_orderkey", "o_custkey"), {"a status": F.col("o_orderstatus") != "?"}, file="file")
+    kept = files.with_file_key(good, r"m=(\d+)", "m", "file").groupBy("m").agg(F.count("*").alias("kept"))
+    found = files.with_file_key(verdicts.where("n_rows <> 1"), r"m=(\d+)", "m", "file").join(kept, "m", "left")
+    return found.select("m", "reason", "first_bad_row", "first_bad_line", F.coalesce("kept", F.lit(0)).alias("kept"))
+
+
 @_query("SELECT seq, player_id, type, outcome_type, game_id FROM ev WHERE game_id % 5 = 3 OR (game_id % 7 = 3 AND game_id % 5 <> game_id % 7)", _EVENTS)
 def team_collection(spark, d):
     """The events of one team's games, home and away, exported one folder per game and read back."""

@@ -2,52 +2,70 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from matchweave.sources import headers
 from matchweave.sources.scratch import scratch_table
 
 CORRUPT = "_corrupt_record"
 
 
-def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType, keep_corrupt: bool = False) -> DataFrame:
-    """One scan over a file, folder, glob or list of them, with a header and a declared schema.
+def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType, keep_corrupt: bool = False, index: str | None = None, file: str | None = None, block: str | None = None) -> DataFrame:
+    """The declared columns of CSV files with headers (a file, folder, glob or list of them), matched by name.
 
-    Empty files give no rows. With ``keep_corrupt`` a row that doesn't fit is
-    kept whole in ``_corrupt_record``; otherwise its bad fields are null.
+    Files may have their columns in any order. A column that a file lacks is null,
+    one that isn't declared is left out, and an unnamed first column, as row numbers
+    are written, is left out or, if named by ``index``, read as that declared column.
+    Files of the same header are one scan. Empty files give no rows; a file that has
+    no declared column or has one twice raises (``quarantine.checked_scan`` sets it
+    aside instead). With ``keep_corrupt`` a row that doesn't fit is kept whole in
+    ``_corrupt_record``; otherwise its bad fields are null. ``file`` and ``block`` name
+    columns for a row's file and the start of its split.
     """
-    reader = spark.read.option("header", True).option("mode", "PERMISSIVE").option("enforceSchema", True)
-    if keep_corrupt:
-        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-        reader = reader.option("columnNameOfCorruptRecord", CORRUPT)
-    return reader.schema(schema).csv(paths)
+    found = headers.layouts(spark, paths)
+    for one in found:
+        if fault := headers.faults(one.names, schema):
+            raise ValueError(f"{fault}: {', '.join(one.files[:3])}")
+    some = [one for one in found if one.names] or found[:1]
+    if not some:
+        raise FileNotFoundError(str(paths))
+    rows = [headers.scan(spark, one, schema, index, CORRUPT if keep_corrupt else None, file, block) for one in some]
+    return functools.reduce(DataFrame.unionByName, rows)
 
 
-def with_file_key(df: DataFrame, pattern: str, name: str) -> DataFrame:
-    """Add a long key taken from each row's file path by the first group of ``pattern``; null without a match."""
-    return df.withColumn(name, F.regexp_extract("_metadata.file_path", pattern, 1).try_cast("long"))
+def with_file_key(df: DataFrame, pattern: str, name: str, file: str = "_metadata.file_path") -> DataFrame:
+    """Add a long key taken from each row's file path by the first group of ``pattern``; null without a match.
+
+    Files of several headers need the column that ``read_csv`` was told to name the file in.
+    """
+    return df.withColumn(name, F.regexp_extract(file, pattern, 1).try_cast("long"))
 
 
-def in_file_order(df: DataFrame, name: str) -> DataFrame:
-    """Add each row's file and ``name``, its place in the file from 0.
+def in_file_order(df: DataFrame, name: str, file: str = "file", block: str = "block") -> DataFrame:
+    """Add ``name``, each row's place in its file from 0, to rows read with ``file`` and ``block``.
 
-    The rows of one file are read in order of their block's start; a file's rows are
-    numbered by one task, files apart from each other.
+    The rows of a split lie in order of their running number, splits in order of their
+    start. Only each split's rows are counted and the counts summed, so that a large
+    file isn't one task's.
     """
-    placed = df.select("*", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
-    order = Window.partitionBy("file").orderBy("_block", "_at")
-    return placed.withColumn(name, (F.row_number().over(order) - 1).cast("long")).drop("_block", "_at")
+    placed = scratch_table(df.withColumn("_at", F.monotonically_increasing_id()), "placed")
+    splits = placed.groupBy(file, block).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(file).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = placed.join(splits.withColumn("_before", before), [file, block])
+    return numbered.withColumn(name, (F.col("_at") - F.col("_first") + F.col("_before")).cast("long")).select(*df.columns, name)
 
 
-def good_files(df: DataFrame, required: Iterable[Column]) -> DataFrame:
+def good_files(df: DataFrame, required: Iterable[Column], file: str = "_metadata.file_path") -> DataFrame:
     """Rows of files in which every row meets all ``required`` conditions; others are dropped whole.
 
     The file's name is the key; sums are taken before the shuffle.
     """
-    named = df.withColumn("_file", F.col("_metadata.file_path"))
+    named = df.withColumn("_file", F.col(file))
     fails = F.lit(False)
     for condition in required:
         fails = fails | ~F.coalesce(condition, F.lit(False))

@@ -1,7 +1,8 @@
 """Landed files of each source, read with declared schemas.
 
-Each reader is one scan over a file, folder, glob or list of them. Nothing here
-fetches from the network; the files are what a source's connector left.
+Each reader takes a file, folder, glob or list of them and matches columns by
+the names in each file's header, one scan a distinct header. Nothing here fetches
+from the network; the files are what a source's connector left.
 """
 
 from __future__ import annotations
@@ -45,15 +46,15 @@ def match_events(spark: SparkSession, paths: Paths, pattern: str | None = None)
 
     ``seq`` is the row's place in its file, which is the order of events.
     """
-    events = files.in_file_order(files.read_csv(spark, paths, schemas.MATCH_EVENT), "seq")
+    events = files.in_file_order(files.read_csv(spark, paths, schemas.MATCH_EVENT, file="file", block="block"), "seq")
     if pattern:
         events = events.withColumn("game_id", F.coalesce("game_id", F.regexp_extract("file", pattern, 1).try_cast("long")))
-    return events.drop("file")
+    return events.drop("file", "block")
 
 
 def roster(spark: SparkSession, paths: Paths, pattern: str = r"(\d+)_players") -> DataFrame:
     """Rosters, with the game that each file's name says (file_game)."""
-    return files.with_file_key(files.read_csv(spark, paths, schemas.ROSTER), pattern, "file_game")
+    return files.with_file_key(files.read_csv(spark, paths, schemas.ROSTER, index="row", file="file"), pattern, "file_game", "file").drop("file")
 
 
 def player_details(rosters: DataFrame, game_id: int) -> DataFrame:
