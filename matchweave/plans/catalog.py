@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -12,7 +13,7 @@ from matchweave.operators import compare, network, sequence, shots, similarity
 from matchweave.operators.joins import join_chain, stack
 from matchweave.plans import adapter
 from matchweave.schemas import table_schema
-from matchweave.sources import files, quarantine
+from matchweave.sources import files, nested, quarantine
 from matchweave.sources.scratch import Scratch
 
 TEAM = "NATION_7"
@@ -453,6 +454,37 @@ def quarantine_verdicts(spark, d):
     return found.select("m", "reason", "first_bad_row", "first_bad_line", F.coalesce("kept", F.lit(0)).alias("kept"))
 
 
+@_query(
+    "SELECT 'events' AS part, game_id AS game, 'e' || seq AS event_id, 0 AS place, type AS ref, NULL AS known FROM n "
+    "UNION ALL SELECT 'related', game_id, 'e' || seq, 0, 'e' || nxt, true FROM n WHERE nxt IS NOT NULL UNION ALL SELECT 'related', game_id, 'e' || seq, CASE WHEN nxt IS NULL THEN 0 ELSE 1 END, 'gone', false FROM n WHERE seq % 50 = 0 "
+    "UNION ALL SELECT 'freeze_frames', game_id, 'e' || seq, k, cast(player_id + k AS varchar), k % 2 = 0 FROM n, (SELECT unnest(range(3)) AS k) WHERE is_shot "
+    "UNION ALL SELECT 'players', game_id, 'e' || seq, k, cast(player_id + k AS varchar), NULL FROM n, (SELECT unnest(range(11)) AS k) WHERE tactics_formation IS NOT NULL",
+    _EVENTS + "n AS (SELECT *, lead(seq) OVER (PARTITION BY game_id ORDER BY seq) AS nxt FROM ev),",
+)
+def nested_split(spark, d):
+    """Events written as nested JSON (related events, freeze frames of shots, line-ups of formations) and split into linked tables, all stacked."""
+    ev = sequence.next_value(adapter.match_events(spark, d), "seq", ["game_id"], ["seq"], "nxt")
+    player = lambda k: F.struct((F.col("player_id") + k).alias("id"), F.lit("p").alias("name"))
+    frame = F.transform(F.sequence(F.lit(0), F.lit(2)), lambda k: F.struct(F.array("x", "y").alias("location"), player(k).alias("player"), (k % 2 == 0).alias("teammate")))
+    squad = F.transform(F.sequence(F.lit(0), F.lit(10)), lambda k: F.struct(player(k).alias("player"), (k + 1).alias("jersey_number")))
+    name = F.concat(F.lit("e"), F.col("seq"))
+    related = F.array_compact(F.array(F.concat(F.lit("e"), F.col("nxt")), F.when(F.col("seq") % 50 == 0, "gone")))
+    records = ev.select(
+        "game_id", name.alias("id"), F.col("seq").alias("index"), F.struct(F.col("type").alias("name")).alias("type"), related.alias("related_events"),
+        F.when(F.col("is_shot"), F.struct(frame.alias("freeze_frame"))).alias("shot"), F.when(F.col("tactics_formation").isNotNull(), F.struct(F.col("tactics_formation").cast("bigint").alias("formation"), squad.alias("lineup"))).alias("tactics"),
+    )
+    path = _scratch(spark)
+    files.write_json(records, path)
+    parts = nested.split_events(spark.read.schema(f"game_id bigint, {nested.NESTED_EVENT}").json(path), F.col("game_id"))
+    none = F.lit(None).cast("boolean")
+    shown = {
+        "events": (F.lit(0), F.col("type_name"), none), "related": (F.col("place"), F.col("related_id"), F.col("related_known")),
+        "freeze_frames": (F.col("place"), F.col("player_id").cast("string"), F.col("teammate")), "players": (F.col("place"), F.col("player_id").cast("string"), none),
+    }
+    rows = [parts[p].select(F.lit(p).alias("part"), F.col("game").cast("bigint").alias("game"), "event_id", place.alias("place"), ref.alias("ref"), known.alias("known")) for p, (place, ref, known) in shown.items()]
+    return functools.reduce(DataFrame.unionByName, rows)
+
+
 @_query("SELECT seq, player_id, type, outcome_type, game_id FROM ev WHERE game_id % 5 = 3 OR (game_id % 7 = 3 AND game_id % 5 <> game_id % 7)", _EVENTS)
 def team_collection(spark, d):
     """The events of one team's games, home and away, exported one folder per game and read back."""
