@@ -535,6 +535,40 @@ def event_windows(spark, d):
     return found.select(F.unix_micros("start").alias("start_us"), "event_type", "n")
 
 
+def _streamed(spark, d, columns, build, mode):
+    """What ``build`` makes of the match events as a stream: their files first, then, from the checkpoint, one far later event of no game."""
+    from matchweave.streaming.ordered import keyed_state
+
+    path, taken = _scratch(spark), ["game_id", "team", "seq", "ts", *columns]
+    stamped = adapter.match_events(spark, d).join(adapter.table(spark, d, "events").select(F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts")), "seq").select(*taken)
+    last = stamped.groupBy().agg(F.max("ts").alias("ts")).select(*[(F.col("ts") + F.expr("interval 2 days") if c == "ts" else F.lit(-1 if c == "game_id" else None).cast(stamped.schema[c].dataType)).alias(c) for c in taken])
+    for landed in (stamped, last):
+        landed.write.mode("append").parquet(f"{path}/in")
+        with keyed_state(spark):
+            rows = build(spark.readStream.schema(stamped.schema).parquet(f"{path}/in"))
+            started = rows.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(lambda df, k: df.write.mode("overwrite").parquet(f"{path}/out/batch={k}")).start()
+        started.awaitTermination()
+    return spark.read.parquet(f"{path}/out").drop("batch").where("game_id >= 0")
+
+
+@_query("SELECT game_id, team, seq, player_id, lead(player_id) OVER (PARTITION BY game_id, team ORDER BY seq) AS receiver FROM ev", _EVENTS)
+def stream_receivers(spark, d):
+    """Each event's next player of its team, found on a stream with keyed state."""
+    from matchweave.streaming.ordered import stream_next_value
+
+    return _streamed(spark, d, ["player_id"], lambda s: stream_next_value(s, "player_id", ["game_id", "team"], "ts", "seq", "receiver", idle_seconds=86_400), "append")
+
+
+@_query("SELECT game_id, team, seq, tactics_id, tactics_formation FROM fill", _FILLED)
+def stream_formations(spark, d):
+    """The formation in force at each event: the last version of a stream that corrects itself."""
+    from matchweave.streaming.ordered import latest, stream_forward_fill
+
+    announced = lambda s: s.withColumn("tactics_id", F.when(F.col("tactics_formation").isNotNull(), F.col("seq")))
+    updates = _streamed(spark, d, ["tactics_formation"], lambda s: stream_forward_fill(announced(s), ["tactics_id", "tactics_formation"], ["game_id", "team"], "ts", "seq"), "update")
+    return latest(updates, ["game_id", "team", "seq"])
+
+
 def _scratch(spark: SparkSession) -> str:
     """A new folder of this application in the shared place."""
     return Scratch(spark).path
