@@ -55,3 +55,13 @@ def response_accuracy(found: DataFrame) -> DataFrame:
     """Mean and sample variance over games of each game's share of outcomes other than Unsuccessful."""
     good = F.when(F.col("outcome_type") == "Unsuccessful", 0.0).otherwise(1.0)
     return found.groupBy("game_id").agg(F.avg(good).alias("share")).agg(F.avg("share").alias("mean_accuracy"), F.var_samp("share").alias("variance"))
+
+
+def responses_by_pattern(events: DataFrame, target: Column, teams: Column, actions: list[str]) -> DataFrame:
+    """``responses`` as a declared pattern: a row by another player, then at once the target's action."""
+    from matchweave.operators.patterns import Step, match_pattern
+
+    both = received_and_performed(events, target, teams)
+    steps = [Step("received", ~F.col("player_id").eqNullSafe(target)), Step("action", (F.col("player_id") == target) & F.col("type").isin(actions))]
+    found = match_pattern(both, steps, ["game_id"], ["minute", "second", "branch", "seq"], ["seq", "outcome_type"], F.col("clock"))
+    return found.select("game_id", F.col("action_seq").alias("seq"), F.col("action_outcome_type").alias("outcome_type"), F.col("seconds").cast("int").alias("seconds"))

@@ -535,6 +535,47 @@ def event_windows(spark, d):
     return found.select(F.unix_micros("start").alias("start_us"), "event_type", "n")
 
 
+@_query("SELECT * FROM resp", _RESPONSE)
+def response_pattern(spark, d):
+    """``response_actions`` through a declared pattern."""
+    return sequence.responses_by_pattern(adapter.match_events(spark, d), F.lit(14), F.col("team") == "A", ["Pass", "TakeOn", "BallTouch", "Clearance"])
+
+
+@_query(
+    "SELECT game_id, pass_seq, won_seq, shot_seq, cast(secs AS double) AS seconds FROM (SELECT a.game_id, a.seq AS pass_seq, b.seq AS won_seq, c.seq AS shot_seq, c.clock - a.clock AS secs, row_number() OVER (PARTITION BY a.game_id, a.i ORDER BY c.i, b.i) AS k "
+    "FROM n a JOIN n b ON b.game_id = a.game_id AND b.i - a.i BETWEEN 1 AND 3 JOIN n c ON c.game_id = a.game_id AND c.i - b.i BETWEEN 1 AND 4 "
+    "WHERE a.type = 'Pass' AND a.outcome_type = 'Successful' AND b.type IN ('TakeOn', 'BallTouch') AND c.is_shot AND c.clock - a.clock <= 3600) WHERE k = 1",
+    _EVENTS + "n AS (SELECT *, minute * 60 + second AS clock, row_number() OVER (PARTITION BY game_id ORDER BY seq) AS i FROM ev),",
+)
+def attack_pattern(spark, d):
+    """Completed pass, take-on or touch at most two events between, shot at most three between, all within an hour."""
+    from matchweave.operators.patterns import Step, match_pattern
+
+    done = (F.col("type") == "Pass") & (F.col("outcome_type") == "Successful")
+    steps = [Step("pass", done), Step("won", F.col("type").isin("TakeOn", "BallTouch"), 2), Step("shot", F.col("is_shot"), 3)]
+    return match_pattern(adapter.match_events(spark, d), steps, ["game_id"], ["seq"], ["seq"], F.col("minute") * 60 + F.col("second"), 3600)
+
+
+@_query("SELECT l_returnflag, l_linestatus, round(median(l_extendedprice), 6) AS price, round(median(l_quantity), 6) AS quantity FROM lineitem GROUP BY 1, 2")
+def range_medians(spark, d):
+    """Medians of four groups that hold all line items, found by counted ranges (as for groups of any size)."""
+    from matchweave.operators.ranks import medians
+
+    found = medians(adapter.table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], ["l_extendedprice", "l_quantity"], most=1000)
+    return found.select("l_returnflag", "l_linestatus", F.round("l_extendedprice", 6).alias("price"), F.round("l_quantity", 6).alias("quantity"))
+
+
+@_query(
+    "SELECT id, other, round(d, 6) AS distance, place FROM (SELECT *, cast(row_number() OVER (PARTITION BY id ORDER BY d, other) AS int) AS place FROM "
+    "(SELECT a.vec_id AS id, b.vec_id AS other, round(1 - list_cosine_similarity(cast(a.embedding AS double[]), cast(b.embedding AS double[])), 12) AS d FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id)) WHERE place <= 9"
+)
+def nearest_all(spark, d):
+    """Nine neighbours of every vector."""
+    from matchweave.operators.neighbours import nearest_of_all
+
+    return nearest_of_all(adapter.table(spark, d, "embeddings"), 9)[0].withColumn("distance", F.round("distance", 6))
+
+
 def _streamed(spark, d, columns, build, mode):
     """What ``build`` makes of the match events as a stream: their files first, then, from the checkpoint, one far later event of no game."""
     from matchweave.streaming.ordered import keyed_state
