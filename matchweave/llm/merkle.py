@@ -20,11 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from matchweave.llm.common import sized
+from matchweave.operators.ranks import ranked
 from matchweave.sources.scratch import Scratch
 
-_PLACE = (1 << 33) - 1  # the lower bits of monotonically_increasing_id count rows inside a partition
-
 
 def hashed(*texts: Column) -> Column:
     """SHA-256 of texts put together, lowercase hex."""
@@ -105,24 +103,6 @@ def extend(fanout: int, levels: int) -> Callable[[pa.Table, pa.Table], pa.Table]
     return run
 
 
-def ranked(rows: DataFrame, order: list[str], held: Scratch, name: str, send: int) -> DataFrame:
-    """Add to ``rows`` (with tag) ``at``, the place in the tag by ``order`` from 0, and ``n``, the tag's size.
-
-    Rows are sorted into ranges of tag and order (equal rows as they lie, so that no
-    value is one task's) and written with their place in the range; a tag's ranges are
-    then counted, which gives each range its first place.
-    """
-    keys = ["tag", *order]
-    ranged = rows.withColumn("_as_read", F.monotonically_increasing_id()).repartitionByRange(*keys, "_as_read").sortWithinPartitions(*keys, "_as_read").drop("_as_read")
-    ranged = held.table(ranged.withColumn("_id", F.monotonically_increasing_id()), f"{name}_ranges")
-    ranged = ranged.select("*", F.shiftright("_id", 33).alias("_part"), F.col("_id").bitwiseAND(F.lit(_PLACE)).alias("_place")).drop("_id")
-    counts = ranged.groupBy("_part", "tag").agg(F.min("_place").alias("_first"), F.count("*").alias("_n"))
-    before = "sum(_n) over (partition by tag order by _part rows between unbounded preceding and 1 preceding)"
-    starts = counts.select("_part", "tag", (F.coalesce(F.expr(before), F.lit(0)) - F.col("_first")).alias("_start"), F.expr("sum(_n) over (partition by tag)").alias("n"))
-    starts = sized(held.table(starts, f"{name}_starts"), send)
-    return ranged.join(starts, ["_part", "tag"]).withColumn("at", F.col("_place") + F.col("_start")).drop("_part", "_place", "_start")
-
-
 def superblocks(nodes: DataFrame, fanout: int, levels: int, held: Scratch, name: str) -> list[DataFrame]:
     """``nodes`` (tag, at, n, digest), the roots of their buckets, those roots' and so on, until each tag has one."""
     most = nodes.agg(F.max("n")).first()[0] or 0
@@ -178,20 +158,20 @@ def manifest(rows: DataFrame, id_col: str = "doc_id", group_col: str = "source",
     of their own. Other columns are ignored; names that clash with those given
     here are an error. An empty table gives no rows.
     """
-    taken = {"tag", "at", "n", "digest", "bucket", "left", "right", "subroot", "root", "_part", "_place", "_id", "_first", "_n", "_start", "_as_read"}
+    taken = {"tag", "at", "n", "digest", "bucket", "left", "right", "subroot", "root", "_part", "_place", "_id", "_first", "_n", "_p", "_by0", "_start", "_as_read"}
     if clash := taken & {c.lower() for c in (id_col, leaf_col, *also)}:
         raise ValueError(f"names in use: {sorted(clash)}")
     spark = rows.sparkSession
     held = Scratch(spark)
     group = F.col(f"`{group_col}`").cast("string")
     tag = F.when(group.isNull(), "").otherwise(F.concat(F.lit("="), group)).alias("tag")  # null before all others
-    leaves = ranked(rows.select(tag, id_col, F.col(leaf_col).alias("digest"), *also), [id_col, "digest"], held, "leaves", send)
+    leaves = ranked(rows.select(tag, id_col, F.col(leaf_col).alias("digest"), *also), ["tag"], [id_col, "digest"], "at", "n", held, "leaves", send)
     blocks = superblocks(leaves, fanout, levels, held, "block")
     subroots = blocks[-1].select(F.lit("").alias("tag"), F.col("tag").alias("_of"), "digest")
-    tops = superblocks(held.table(ranked(subroots, ["_of"], held, "subroots", send), "tops"), fanout, levels, held, "top")
+    tops = superblocks(held.table(ranked(subroots, ["tag"], ["_of"], "at", "n", held, "subroots", send), "tops"), fanout, levels, held, "top")
     found = tops[-1].select("digest").first()
     none = F.array().cast("array<string>")
-    start = spark.range(1).select(F.lit("").alias("tag"), none.alias("left"), none.alias("right"), F.lit("").alias("subroot"))
+    start = held.table(spark.range(1).select(F.lit("").alias("tag"), none.alias("left"), none.alias("right"), F.lit("").alias("subroot")), "top")
     top = with_proofs(tops, start, fanout, levels, held).select(F.col("_of").alias("tag"), "left", "right", F.col("digest").alias("subroot"))
     out = with_proofs(blocks, held.table(top, "top_proofs"), fanout, levels, held)
     return out.select(id_col, F.col("digest").alias(leaf_col), *also, "subroot", F.lit(found[0] if found else None).cast("string").alias("root"), "left", "right")

@@ -6,28 +6,33 @@ bands only propose which documents may be alike; a proposal joins nothing until
 it is confirmed on the whole shingle sets.
 
 Documents with equal sets are one class before any band is cut, so thousands
-of exact copies cost one row. Then, in two steps:
+of exact copies cost one row. Then, in three steps:
 
 1. Each member of a band's bucket is compared with the bucket's smallest id only,
    first by signature, then by whole set. That takes as many pairs as members, and
    settles most buckets: all their members are linked to one leader, or no others are
    left.
-2. In the other buckets the members without a common leader are compared with each
-   other by signature, block against block. Only those whose signatures may reach
-   the threshold are joined to groups, and in these the whole sets are compared,
-   again block against block. Pairs are never written out; a block returns a
-   spanning forest of its links.
+2. In the other buckets the members without a common leader are left. Large buckets
+   of this kind hold texts that share much and yet too little, say one boilerplate.
+   Two sets that reach the threshold share one of their few rarest shingles, in any
+   order of shingles that both keep; with the shingles that a sample of the family
+   repeats as the commonest, these texts hold none in common. Such buckets are
+   split into those that do, in time and bytes in proportion to the texts.
+3. What is in a bucket then is compared by signature, block against block. Only those
+   whose signatures may reach the threshold are joined to groups, and in these the
+   whole sets are compared, again block against block. Pairs are never written out;
+   a block returns a spanning forest of its links.
 """
 
 from __future__ import annotations
 
 import math
 import secrets
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchweave.llm.common import connected_components, forest, group_starts, map_batches, sized, whole_groups
@@ -214,6 +219,40 @@ def sets_reach(part: int, whole: int):
     return alike
 
 
+def rare_shingles(batches: Iterable[pa.RecordBatch], part: int, whole: int) -> Iterator[pa.RecordBatch]:
+    """(comp, shingle, rep): as many of each member's rarest shingles as it can't have all of beside a set it is linked with.
+
+    Rows (comp, salt, member, rep, n, data) in order of comp, salt and member: a sample
+    of the component's sets (member 0) comes first. Shingles are ordered by how many
+    sampled sets hold them, then by hash. Of two sets A and B that are linked, at most
+    |A| - ceil(part / whole * |A|) shingles of A are not in B; so the smallest common
+    shingle is among that many, plus one, of either.
+    """
+    group, sample, common, times = None, [], None, None
+    for batch in batches:
+        comp, salt, member, rep = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
+        data, out = batch.column(5), ([], [], [])
+        for k in range(batch.num_rows):
+            if group != (comp[k], salt[k]):
+                group, sample, common = (comp[k], salt[k]), [], None
+            own = np.frombuffer(data[k].as_py(), np.uint64)
+            if not member[k]:
+                sample.append(own)
+                continue
+            if common is None:
+                common, times = np.unique(np.concatenate(sample) if sample else np.zeros(0, np.uint64), return_counts=True)
+                common, times, sample = common[times > 1], times[times > 1], []
+            held = np.zeros(len(own), dtype=np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                held = np.where(common[at] == own, times[at], 0)
+            rare = own[np.lexsort((own, held))[: len(own) + part * len(own) // -whole + 1]]
+            for column, value in zip(out, (np.full(len(rare), comp[k]), rare.view(np.int64), np.full(len(rare), rep[k])), strict=True):
+                column.append(value)
+        if out[0]:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in out], names=["comp", "shingle", "rep"])
+
+
 def linked(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions (in ``left``, in ``right``) of pairs with whole * intersection >= part * union."""
     size = np.array([len(s) for s in sets], dtype=np.int64)
@@ -305,7 +344,30 @@ def in_block_pairs(rows: DataFrame, by: str, *columns: str) -> DataFrame:
     return pairs.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 80, whole: int = 100, rows: int = 5, miss: float = 1e-8, sigmas: float = 6.0, block: int = 512, block_bytes: int = 8 << 20, salt_rows: int = 512, send: int = 1_000_000, hashed: bool = False) -> DataFrame:
+def by_rare_shingles(large: DataFrame, with_sets: Callable[..., DataFrame], part: int, whole: int, sample: int, salt_rows: int = 8192) -> DataFrame:
+    """(band, rep, label) of large buckets, each split into those that rare shingles join; the band is a new one.
+
+    Buckets that share members are one family, whose first ``sample`` sets by hash of id say
+    which shingles are common. The sample is sent to each of the family's parts of
+    ``salt_rows`` members; every set is sent once, and its rare shingles.
+    """
+    lows = scratch_table(large.groupBy("band").agg(F.min("rep").alias("low")), "large_lows")
+    family = connected_components(scratch_table(large.join(lows, "band").select("rep", "low"), "large_stars"), "rep", "low")
+    family = scratch_table(family.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "families")
+    sizes = scratch_table(family.groupBy("comp").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts")), "family_sizes")
+    members = family.join(sizes, "comp").select("rep", "comp", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"))
+    first = family.withColumn("k", F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("rep"), "rep"))).where(F.col("k") <= sample)
+    first = first.join(sizes, "comp").select("rep", "comp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
+    rows = with_sets(members.unionByName(first), "comp", "salt", "member").select("comp", "salt", "member", "rep", "n", "data")
+    rows = rows.repartition("comp", "salt").sortWithinPartitions("comp", "salt", "member")
+    rare = scratch_table(map_batches(rows, lambda it: rare_shingles(it, part, whole), "comp long, shingle long, rep long"), "rare")
+    shared = scratch_table(rare.groupBy("comp", "shingle").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("comp", "shingle", "least"), "shared_rare")
+    fine = connected_components(rare.join(shared, ["comp", "shingle"]).select("rep", "least"), "rep", "least").withColumnRenamed("node", "rep")
+    named = large.select("band", "rep", "label").join(fine, "rep").select(F.xxhash64("band", "component").alias("band"), "rep", "label")
+    return named
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, part: int = 80, whole: int = 100, rows: int = 5, miss: float = 1e-8, sigmas: float = 6.0, block: int = 512, block_bytes: int = 8 << 20, salt_rows: int = 512, sample: int = 256, send: int = 1_000_000, hashed: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row.
 
     Two documents are linked if whole * intersection >= part * union over their
@@ -320,7 +382,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A group of more than ``block`` documents, or ``block_bytes`` of shingles, is
     cut into blocks and compared block against block, each pair of blocks a group
-    of its own. ``send`` bounds the list of proposed ids, 32 bytes each, that is
+    of its own. ``sample`` sets of a family of texts in large open buckets say which
+    shingles are common there; any sample gives the same links. ``send`` bounds the list of proposed ids, 32 bytes each, that is
     broadcast to fetch texts again; a longer one is joined by a shuffle.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -363,8 +426,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = edges.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("label"))
     rest = shared.where("m > 2").join(labels, "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
     rest = scratch_table(rest, "rest")
-    open_ = rest.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("x < y").select("band", "blocks")
-    met = in_block_pairs(rest.join(scratch_table(open_, "open"), "band").join(marks, "rep"), "band", "label", "n", "sketch")
+    opened = lambda t: scratch_table(t.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("x < y").select("band", "blocks"), "open")
+    open_ = opened(rest)
+    large = rest.join(open_.where("blocks > 1").select("band"), "band")
+    if not open_.where("blocks > 1").isEmpty():
+        split = by_rare_shingles(large, with_sets, part, whole, sample)
+        kept = rest.join(open_.where("blocks = 1").select("band"), "band")
+        rest = scratch_table(kept.select("band", "rep", "label").unionByName(split), "split")
+        open_ = opened(rest)
+    met = in_block_pairs(rest.join(open_, "band").join(marks, "rep"), "band", "label", "n", "sketch")
     near = scratch_table(map_batches(met, lambda it: block_candidates(it, part, whole, least), "a long, b long"), "candidates")
     if not near.isEmpty():
         groups = scratch_table(connected_components(near, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("comp")), "groups")

@@ -108,30 +108,35 @@ def likeness(a: str, b: str, both: str) -> Column:
     return F.when(union == 0, F.lit(1.0)).otherwise(F.col(both) / F.greatest(union, F.lit(1)))
 
 
-def bucket_shift(ids: DataFrame, rows: int) -> int:
-    """Bits to take off ids so that no bucket of ids with equal rests has over ``rows`` rows; 8 at least.
+def bucket_shift(ids: DataFrame, rows: int, chars: int) -> int:
+    """Bits to take off ids so that no bucket of ids with equal rests has over ``rows`` rows or ``chars`` code points; 0 if one id has more.
 
     Counts by rest are added up where they are; what returns is one number per shift.
+    Shifts below 8 are tried only if texts are so long that 8 is too many.
     """
-    shifts = range(8, 61, 4)
-    fine = ids.groupBy(F.shiftright("id", 8).alias("p")).agg(F.count("*").alias("n"))
-    all_ = fine.select("n", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.shiftright("p", s - 8).alias("p")) for s in shifts])).alias("at"))
-    most = all_.groupBy("at").agg(F.sum("n").alias("n")).groupBy("at.s").agg(F.max("n").alias("n")).where(F.col("n") <= rows)
-    return most.agg(F.max("s")).first()[0] or 8
-
-
-def next_rows(docs: DataFrame, id_col: str, text_col: str, rows: int = 4096) -> DataFrame:
+    for shifts in (range(8, 61, 4), range(0, 8, 2)):
+        least = shifts[0]
+        fine = ids.groupBy(F.shiftright("id", least).alias("p")).agg(F.count("*").alias("n"), F.sum("chars").alias("c"))
+        all_ = fine.select("n", "c", F.explode(F.array(*[F.struct(F.lit(s).alias("s"), F.shiftright("p", s - least).alias("p")) for s in shifts])).alias("at"))
+        most = all_.groupBy("at").agg(F.sum("n").alias("n"), F.sum("c").alias("c")).groupBy("at.s").agg(F.max("n").alias("n"), F.max("c").alias("c"))
+        found = most.where((F.col("n") <= rows) & (F.col("c") <= chars)).agg(F.max("s")).first()[0]
+        if found is not None:
+            return found
+    return 0
+
+
+def next_rows(docs: DataFrame, id_col: str, text_col: str, rows: int = 256, chars: int = 4 << 20) -> DataFrame:
     """(id, text, bucket, own): every row in a bucket of neighbouring ids, and in each
     bucket once more the row that follows it, with own = false.
 
     A bucket is the ids that share their upper bits; how many bits is found from
-    counts, so that neither a far id nor dense runs of ids make a bucket of over
-    ``rows`` ids. Equal ids, and all rows without an id, share a bucket, whose sort
+    counts, so that neither a far id, dense runs of ids nor long texts make a bucket of
+    over ``rows`` ids or ``chars`` code points. Equal ids, and all rows without an id, share a bucket, whose sort
     spills. Across buckets only one id per bucket is compared, in ranges. The row
     after the last is the first. Texts are shuffled once, by bucket.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    shift = bucket_shift(docs.where("id is not null").select("id"), rows)
+    shift = bucket_shift(docs.where("id is not null").select("id", F.length("text").alias("chars")), rows, chars)
     placed = docs.withColumn("bucket", F.coalesce(F.shiftright("id", shift), F.lit(-(1 << 62))))  # null ids come first
     heads = placed.groupBy("bucket").agg(F.min("id").alias("head")).repartitionByRange("bucket")
     heads = scratch_table(heads.withColumn("part", F.spark_partition_id()), "heads")

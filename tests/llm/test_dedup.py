@@ -135,3 +135,43 @@ def test_only_the_repeated_text_of_an_id_is_dropped(spark, send):
     docs = spark.createDataFrame([(1, one), (5, one), (5, other), (5, other), (5, None), (7, other), (None, "alone")], "doc_id long, text string")
     kept = minhash.drop_near_duplicates(docs, send=send).collect()
     assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [(1, one), (5, other), (5, None), (None, "alone")]))
+
+
+@pytest.mark.parametrize(("block", "sample"), [(6, 256), (6, 3), (25, 0)])
+def test_families_that_share_too_little(spark, block, sample):
+    """Texts around a boilerplate, most below the threshold, with linked pairs and chains among them."""
+    rng = random.Random(12)
+    word = lambda: "w" + str(rng.randrange(10**6))
+    rows = []
+    for family in range(2):
+        shared = [word() for _ in range(60)]
+        for _ in range(45):
+            own = [word() for _ in range(18 + 4 * family)]
+            rows.append(" ".join([*shared, *own]))
+            if rng.random() < 0.3:
+                own[rng.randrange(len(own))] = word()
+                rows.append(" ".join([*shared, *own]))
+    rng.shuffle(rows)
+    sets = [shingles(t, 3) for t in rows]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    low = components(len(sets), links)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, width=3, part=85, block=block, sample=sample).collect()}
+    assert got == dict(enumerate(low)) and 20 < len(links) < 400
+
+
+def test_rare_shingles_of_linked_sets_meet():
+    rng = np.random.default_rng(4)
+    pool = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    sets = [np.sort(rng.choice(pool, 120, replace=False)) for _ in range(4)]
+    for base in list(sets):
+        for _ in range(6):
+            sets.append(np.sort(np.concatenate([base[rng.permutation(120)[: rng.integers(108, 120)]], rng.choice(np.setdiff1d(pool, base), 6, replace=False)])))
+    rows = [(1, 0, 0, k, sets[k]) for k in (0, 5, 9)] + [(1, 0, 1, k, s) for k, s in enumerate(sets)]
+    columns = [pa.array(c) for c in zip(*[(a, b, c, d, len(s), s.tobytes()) for a, b, c, d, s in rows], strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["comp", "salt", "member", "rep", "n", "data"])
+    out = pa.Table.from_batches(list(minhash.rare_shingles([batch.slice(0, 7), batch.slice(7)], 85, 100))).to_pylist()
+    kept = [{r["shingle"] for r in out if r["rep"] == k} for k in range(len(sets))]
+    assert all(len(kept[k]) == len(s) - math.ceil(0.85 * len(s) - 1e-9) + 1 for k, s in enumerate(sets))
+    near = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))]
+    assert near and all(kept[a] & kept[b] for a, b in near)

@@ -147,6 +147,16 @@ def test_far_and_clustered_ids_spread_over_buckets(spark):
     assert [x for _, x in following] == [after[own[b][1]] for b, _ in following] and len(following) == len(own)
 
 
+def test_buckets_are_bounded_by_rows_and_characters(spark):
+    docs = spark.range(3000).select("id", F.repeat(F.lit("ab"), F.when((F.col("id") >= 1000) & (F.col("id") < 1040), 5000).otherwise(1)).alias("text"))
+    rows = winnow.next_rows(docs, "id", "text").where("own").groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).collect()
+    assert max(r["n"] for r in rows) <= 256 and len(rows) == 12
+    rows = winnow.next_rows(docs, "id", "text", chars=50_000).where("own").groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("c")).collect()
+    assert max(r["c"] for r in rows) <= 50_000 and sum(r["n"] for r in rows) == 3000
+    rows = winnow.next_rows(docs, "id", "text", chars=5_000).where("own").groupBy("bucket").count().collect()
+    assert len(rows) == 3000  # a text longer than the bound is alone
+
+
 def test_winnowing_keeps_its_guarantee(spark):
     rng = random.Random(5)
     shared = "".join(rng.choices("abcdefgh ", k=31))
