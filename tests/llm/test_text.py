@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 
 import numpy as np
@@ -323,10 +324,18 @@ def test_licenses(spark):
     assert licenses.scan(docs_of(spark, texts).where("false")).count() == 0
 
 
+def filled(wording, holder="Acme Inc."):
+    """A template with something in its slots."""
+    return re.sub(r"<(\d+)>", lambda m: {"1": "1.", "2": "the", "4": "the terms of the", "8": holder, "12": holder}[m[1]], wording)
+
+
+def full(license_, k=-1, **how):
+    return filled(licenses.TEMPLATES[license_][k], **how)
+
+
 WRAPPED = {
-    "MIT": "Copyright (c) 2020 A. Body\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin it",
-    "BSD": " * All rights reserved.\n *\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are\n * met:\n",
-    "ISC": "Permission to use, copy, modify, and/or distribute this software for any\r\npurpose with or without fee is hereby granted, provided that\r\nit stays",
+    "MIT": "Copyright (c) 2020 A. Body\n\n" + "\n".join(textwrap.wrap(full("MIT"), 70)), "BSD-3-Clause": " * All rights reserved.\n *\n" + textwrap.indent("\n".join(textwrap.wrap(full("BSD-3-Clause"), 60)), " * "),
+    "ISC": "\r\n".join(textwrap.wrap(full("ISC"), 72)) + "\nit stays",
     "GPL-3.0": "# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n",
     "proprietary": "Made by somebody. All rights\nreserved.\n", "Unlicense": "This is free and unencumbered software released into the public\ndomain.", "CC-BY-4.0": "Licensed\nunder\nCC\nBY\n4.0.",
 }
@@ -335,44 +344,99 @@ WRAPPED = {
 def test_wrapped_licenses(spark):
     texts = [f"prose before\nand more of it\n{t}\nprose after" for t in WRAPPED.values()] + ["permission to\nuse it", "Permission is hereby granted, free of charge, to any person obtaining a\ncopy of this program", "the licence\nsome\nthe copyright"]
     rows = licenses.scan(docs_of(spark, texts)).collect()
-    assert {(r["doc_id"], r["license"]) for r in rows if r["confirmed"]} == {*enumerate(WRAPPED), (1, "proprietary")}
+    assert {(r["doc_id"], r["license"]) for r in rows if r["confirmed"]} == {*enumerate(WRAPPED)}
     for r in rows:
         assert texts[r["doc_id"]][r["start"] : r["end"]] == r["block"] and "prose" not in r["block"]
     n = len(WRAPPED)
     assert [r["block"] for r in rows if r["doc_id"] == n] == ["permission to"]
-    assert [(r["block"], r["license"], r["missing"]) for r in rows if r["doc_id"] == n + 1] == [(texts[n + 1], "MIT", 5)]
+    assert [r["confirmed"] for r in rows if r["doc_id"] == n + 1] == [False]
     assert sorted(r["block"] for r in rows if r["doc_id"] == n + 2) == ["the copyright", "the licence"]
 
 
+SAME = {
+    "LGPL-3.0": "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 3 of the License, or (at your option) any later version.",
+    "LGPL-2.0": "under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License", "LGPL-2.1": "GNU Lesser General Public License version 2.1 as published by the Free Software Foundation",
+    "AGPL-3.0": "GNU Affero General Public License as\npublished by the Free Software Foundation, either version 3 of the\nLicense", "GPL-2.0": "Licensed under the GPLv2 or later", "Apache-2.0": "licensed under Apache 2.0", "MIT-0": full("MIT-0"), "X11": full("X11"),
+    "BSD-2-Clause": full("BSD-2-Clause"), "BSD-3-Clause": "Copyright 2020. All rights reserved.\n" + full("BSD-3-Clause"), "MIT": "Released under the MIT License.", "0BSD": full("0BSD"),
+}
+NONE = [
+    "not released under the MIT License", "This was never licensed under the Apache License, Version 2.0.", full("MIT").replace("sublicense", "rent"), full("MIT").replace("subject to the following conditions", "for good"),
+    full("BSD-2-Clause").replace("binary form must", "binary form may"), "either version 3 of the License, or (at your option) any later version", "Licensed under the Apache License, Version 2.1.", "the license of this work is unknown", "SPDX-License-Identifier: Odd-1.0",
+]
+
+
+def test_each_license_alone_and_none_where_words_differ():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    found = lambda t: [(j[0], j[2]) for a, b in scanner.blocks(t) for j in scanner.judge(t[a:b]) if j[4]]
+    assert {name: found(f"prose\n{t}\nprose") for name, t in SAME.items()} == {name: [(name, 0)] for name in SAME}
+    assert [found(t) for t in NONE] == [[]] * len(NONE)
+    for name in licenses.TEMPLATES:
+        if name != "proprietary":
+            assert found(f"// SPDX-License-Identifier: {name}\nprose") == [(name, 0)]
+    assert sorted(found("/* SPDX-License-Identifier: (MIT OR GPL-2.0-or-later) */")) == [("GPL-2.0", 0), ("MIT", 0)]
+    changed = full("MIT").replace("sublicense", "rent").replace("copies of the", "copies the")
+    assert [(j[0], j[2], j[3]) for j in scanner.judge(changed)] == [("MIT", 2, 7)]  # "sublicense" and "of" are missing; "rent" and six words of slots are more
+
+
+def test_labelled_notices():
+    """Every wording with other holders, line breaks and comment marks among prose, against the same with a word changed: precision and recall."""
+    rng, scanner = random.Random(21), licenses.Scanner(licenses.TEMPLATES)
+    right = wrong = missed = 0
+    for name, wordings in licenses.TEMPLATES.items():
+        for wording in wordings:
+            for spoilt in (False, True):
+                words = filled(wording, rng.choice(["Acme Inc.", "the copyright holder", "J. Doe and others"])).split()
+                fixed = [k for k, w in enumerate(words) if w in wording.split()]
+                if spoilt:
+                    words[rng.choice(fixed)] = "altered"
+                mark, width = rng.choice(["", "# ", " * ", "// "]), rng.randint(30, 90)
+                text = "some prose here\n\n" + "\n".join(mark + line for line in textwrap.wrap(" ".join(words), width, break_on_hyphens=False, break_long_words=False)) + "\n\nmore prose of no kind"
+                found = {j[0] for a, b in scanner.blocks(text) for j in scanner.judge(text[a:b]) if j[4]}
+                want = set() if spoilt else {name}
+                right, wrong, missed = right + len(found & want), wrong + len(found - want), missed + len(want - found)
+    # A long text with a word changed may still hold another license's whole wording.
+    assert right / (right + wrong) >= 0.97 and missed == 0, (right, wrong, missed)
+
+
 def test_licenses_equal_brute_force(spark):
-    """Every template against every text, word for word; and of a block that confirms none, every template compressed."""
+    """Every wording as a regular expression against every text; and of a block that confirms none, every license compressed."""
     import zstandard
 
     rng = random.Random(8)
     known = [(name, text) for name, texts in licenses.TEMPLATES.items() for text in texts]
     assert all(licenses.ANCHORS.search(text) for _, text in known)
-    prose = lambda: " ".join(rng.choice(["the", "this", "software", "of", "either", "permission", "word", "license", "in", "all"]) for _ in range(rng.randint(0, 9)))
+    prose = lambda: " ".join(rng.choice(["the", "this", "software", "of", "either", "permission", "word", "license", "in", "all", "under", "not"]) for _ in range(rng.randint(0, 9)))
     texts = [None, ""]
     for _ in range(150):
         lines = [prose() for _ in range(rng.randint(0, 4))]
         for _ in range(rng.randint(0, 3)):
-            words = rng.choice(known)[1].split(" ")
+            words = filled(rng.choice(known)[1]).split(" ")
             if rng.random() < 0.3:
                 words[rng.randrange(len(words))] = "changed"
             width = rng.randint(3, 15)
             lines += [rng.choice(["", " * ", "# "]) + " ".join(words[k : k + width]) for k in range(0, len(words), width)] + [prose() for _ in range(rng.randint(0, 3))]
         texts.append("\n".join(lines))
     rows = licenses.scan(docs_of(spark, texts)).collect()
-    want = set()
-    for i, text in enumerate(texts):
-        joined = " " + " ".join(licenses._words(text or "")) + " "
-        want |= {(i, name) for name, template in known if f" {' '.join(licenses._words(template))} " in joined}
-    assert {(r["doc_id"], r["license"]) for r in rows if r["confirmed"]} == want and len(want) > 150
+    pattern = lambda t: re.compile("(?= " + "".join(f"(?: \\S+){{0,{x}}}?" if k % 2 else "".join(f" {re.escape(w)}" for w in licenses._words(x)) for k, x in enumerate(re.split(r"<(\d+)>", t)))[1:] + " )")
+    patterns = [(name, pattern(t)) for name, t in known]
+    for r in rows:  # a block's confirmed licenses are all that stand in it, but those denied or covered by a longer one
+        joined = " " + " ".join(licenses._words(r["block"])) + " "
+        spans = []
+        for name, p in patterns:
+            for m in p.finditer(joined):
+                end = re.compile(p.pattern[3:-1]).match(joined, m.start()).end()
+                if not {"not", "never", "neither", "nor", "cannot", "isn", "aren", "wasn", "weren"} & set(joined[: m.start()].split()[-4:]):
+                    spans.append((m.start(), end, name))
+        own = {n for a, b, n in spans if not any(c <= a and b <= d and d - c > b - a for c, d, _ in spans)}
+        own = own - {"proprietary"} or own
+        assert (r["license"] in own) == r["confirmed"] and own <= {x["license"] for x in rows if (x["doc_id"], x["start"]) == (r["doc_id"], r["start"])}
+    assert sum(r["confirmed"] for r in rows) > 120
     size = lambda data, **how: len(zstandard.ZstdCompressor(level=3, **how).compress(data))
+    raw = {name: " ".join(re.sub(r"<\d+> ?", "", t) for t in texts).encode() for name, texts in licenses.TEMPLATES.items()}
     for r in [r for r in rows if not r["confirmed"]][:40]:
         data = r["block"].encode()
-        saved = [1 - size(data, dict_data=zstandard.ZstdCompressionDict(t.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) / size(data) for _, t in known]
-        assert r["reduction"] == pytest.approx(max(saved)) and r["license"] == known[saved.index(max(saved))][0]
+        saved = {name: 1 - size(data, dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT)) / size(data) for name, d in raw.items()}
+        assert r["reduction"] == pytest.approx(max(saved.values())) and r["license"] == max(saved, key=saved.get)
 
 
 def test_licenses_null_ids_and_repeated_rows(spark):
@@ -386,7 +450,7 @@ def test_every_license_of_a_block(spark):
     rows = licenses.scan(docs_of(spark, texts)).collect()
     assert len({(r["doc_id"], r["start"], r["end"]) for r in rows}) == len(texts) and all(r["confirmed"] and r["missing"] == 0 for r in rows)
     assert sorted((r["doc_id"], r["license"]) for r in rows) == [
-        (0, "Apache-2.0"), (0, "MIT"), (1, "Apache-2.0"), (1, "MIT"), (2, "Apache-2.0"), (2, "CC-BY-4.0"), (2, "MIT"), (2, "proprietary"), (3, "MIT"),
+        (0, "Apache-2.0"), (0, "MIT"), (1, "Apache-2.0"), (1, "MIT"), (2, "Apache-2.0"), (2, "CC-BY-4.0"), (2, "MIT"), (3, "MIT"),
     ]
 
 
