@@ -576,6 +576,30 @@ def nearest_all(spark, d):
     return nearest_of_all(adapter.table(spark, d, "embeddings"), 9)[0].withColumn("distance", F.round("distance", 6))
 
 
+@_query("SELECT game_id, seq, player_id, type FROM ev", _EVENTS)
+def game_export(spark, d):
+    """All events exported by game in files of at most 50 rows and read back by the manifest."""
+    from matchweave.sources.exports import export_keyed, read_export
+
+    path = _scratch(spark)
+    export_keyed(adapter.match_events(spark, d).select("game_id", "seq", "player_id", "type"), path, "game_id", ["seq"], rows_per_file=50)
+    return read_export(spark, path, "game_id bigint, seq bigint, player_id bigint, type string", "game_id")
+
+
+@_query("SELECT game_id, CASE WHEN game_id % 3 = 0 THEN 2 ELSE 1 END AS version, team, pos_min, pos_max, pass_count FROM edge", _PASSES)
+def kept_networks(spark, d):
+    """Edges of every game after three batches: the passes of two halves of the games, some of them torn, and the torn games again; one batch twice."""
+    from matchweave.streaming.kept import KeptNetworks
+
+    passes = network.successful_passes(adapter.match_events(spark, d)).select("game_id", "team", "player_id", "receiver", "x", "y", "seq")
+    torn = F.col("game_id") % 3 == 0
+    first, again = passes.where(~torn | (F.col("seq") % 2 == 0)).withColumn("version", F.lit(1).cast("long")), passes.where(torn).withColumn("version", F.lit(2).cast("long"))
+    kept = KeptNetworks(_scratch(spark))
+    for number, batch in ((0, first.where("game_id % 2 = 0")), (1, first.where("game_id % 2 = 1")), (2, again), (0, first.where("game_id % 2 = 0"))):
+        kept.merge(batch, number)
+    return kept.edges(spark)
+
+
 def _streamed(spark, d, columns, build, mode):
     """What ``build`` makes of the match events as a stream: their files first, then, from the checkpoint, one far later event of no game."""
     from matchweave.streaming.ordered import keyed_state

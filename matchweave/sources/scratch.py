@@ -29,6 +29,17 @@ def delete(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def files_below(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of all files below a folder; none if it isn't there."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    store, out = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), []
+    if store.exists(path):
+        found = store.listFiles(path, True)
+        while found.hasNext():
+            out.append(found.next().getPath().toString())
+    return out
+
+
 class Scratch:
     """A folder of tables in the application's scratch folder; ``drop`` deletes them together."""
 
