@@ -44,13 +44,15 @@ class Scratch:
     """A folder of tables in the application's scratch folder; ``drop`` deletes them together."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.path = spark, f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+        self.spark, self.path, self.names = spark, f"{scratch_root(spark)}/{uuid.uuid4().hex}", set()
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and read it back.
 
-        Cuts the lineage with files that outlive any executor.
+        Cuts the lineage with files that outlive any executor. A name that is in use gets a number.
         """
+        name = name if name not in self.names else f"{name}_{len(self.names)}"
+        self.names.add(name)
         path = f"{self.path}/{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
