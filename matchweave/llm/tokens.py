@@ -62,22 +62,22 @@ def byte_letters() -> list[str]:
 
 
 class Memo:
-    """Distinct pieces' values in flat arrays; emptied when full.
+    """Distinct pieces' values in flat arrays; emptied when it holds so many entries or bytes.
 
     A piece of up to 16 bytes is looked for by a hash of its bytes and taken for
     known only if the bytes are the same; a longer one, and one whose hash another
     piece has, is looked for by its bytes in a dictionary.
     """
 
-    def __init__(self, entries: int):
-        self.entries = entries
+    def __init__(self, entries: int, most_bytes: int = 64 << 20):
+        self.entries, self.most_bytes = entries, most_bytes
         self.clear()
 
     def clear(self) -> None:
         self.keys, self.slot = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
         self.bytes, self.named = np.zeros((0, 2), dtype=np.uint64), {}
         self.offset, self.values = np.zeros(1 << 12, dtype=np.int32), np.zeros(1 << 14, dtype=np.uint32)
-        self.n = 0
+        self.n = self.held = 0
 
     def add(self, values: list[list[int]]) -> np.ndarray:
         """Slots of new pieces' values."""
@@ -92,6 +92,7 @@ class Memo:
         self.offset[self.n + 1 : self.n + 1 + len(values)] = used + np.cumsum(lengths)
         slots = np.arange(self.n, self.n + len(values), dtype=np.int32)
         self.n += len(values)
+        self.held += flat.nbytes
         return slots
 
     def _short(self, lanes: np.ndarray, encode) -> np.ndarray:
@@ -118,7 +119,7 @@ class Memo:
 
         ``encode`` gives the values of one piece's bytes. Pieces hold no zero byte.
         """
-        if self.n + len(starts) > self.entries:
+        if self.n + len(starts) > self.entries or self.held > self.most_bytes:
             self.clear()
         raw, slots = data.tobytes(), np.full(len(starts), -1, dtype=np.int32)
         short = np.flatnonzero(ends - starts <= LANE)
@@ -129,6 +130,7 @@ class Memo:
             piece = raw[starts[i] : ends[i]]
             if (slot := self.named.get(piece)) is None:
                 slot = self.named[piece] = int(self.add([encode(piece)])[0])
+                self.held += len(piece)
             slots[i] = slot
         start, length = self.offset[slots].astype(np.int64), (self.offset[slots + 1] - self.offset[slots]).astype(np.int64)
         stop = np.cumsum(length)

@@ -57,6 +57,15 @@ def test_pieces_that_share_a_hash_or_defeat_polynomials():
     assert bytes(values.astype(np.uint8)) == b"abcdabcd" and n.tolist() == [2] * 4
 
 
+def test_memo_is_bounded_in_bytes():
+    memo = Memo(10**6, most_bytes=50_000)
+    for k in range(60):
+        texts = [f"{k}" + "é" * 700, "short"]
+        data, offsets = string_buffers(pa.array(texts))
+        values, n = memo.look_up(data, offsets[:-1], offsets[1:], lambda piece: list(piece))
+        assert bytes(values.astype(np.uint8)) == "".join(texts).encode() and memo.held <= 60_000 and len(memo.named) < 12
+
+
 def test_packing_places_every_id_once(spark):
     texts = ODD + fuzz(60) + ["some words here " * k for k in range(1, 300, 7)]
     plain = plain_tokenizer(BYTE)
