@@ -12,8 +12,9 @@ of exact copies cost one row. Then, in three steps:
    first by signature, then by whole set. That takes as many pairs as members, and
    settles most buckets: all their members are linked to one leader, or no others are
    left.
-2. In the other buckets the members without a common leader are left. Large buckets
-   of this kind hold texts that share much and yet too little, say one boilerplate.
+2. In the other buckets the members without a common leader are left. A bucket with
+   very many that no leader is linked with holds texts that share much and yet too
+   little, say one boilerplate.
    Two sets that reach the threshold share one of their few rarest shingles, in any
    order of shingles that both keep; with the shingles that a sample of the family
    repeats as the commonest, these texts hold none in common. Such buckets are
@@ -37,7 +38,7 @@ from pyspark.sql import functions as F
 
 from matchweave.llm.common import connected_components, forest, group_starts, map_batches, sized, whole_groups
 from matchweave.llm.textbuf import LOWER, WordHash, mix, text_slices, words
-from matchweave.sources.scratch import scratch_table
+from matchweave.sources.scratch import Scratch, scratch_table
 
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
@@ -344,24 +345,24 @@ def in_block_pairs(rows: DataFrame, by: str, *columns: str) -> DataFrame:
     return pairs.repartition(by, "i", "j").sortWithinPartitions(by, "i", "j")
 
 
-def by_rare_shingles(large: DataFrame, with_sets: Callable[..., DataFrame], part: int, whole: int, sample: int, salt_rows: int = 8192) -> DataFrame:
+def by_rare_shingles(large: DataFrame, with_sets: Callable[..., DataFrame], part: int, whole: int, sample: int, work: Scratch, salt_rows: int = 8192) -> DataFrame:
     """(band, rep, label) of large buckets, each split into those that rare shingles join; the band is a new one.
 
     Buckets that share members are one family, whose first ``sample`` sets by hash of id say
     which shingles are common. The sample is sent to each of the family's parts of
     ``salt_rows`` members; every set is sent once, and its rare shingles.
     """
-    lows = scratch_table(large.groupBy("band").agg(F.min("rep").alias("low")), "large_lows")
-    family = connected_components(scratch_table(large.join(lows, "band").select("rep", "low"), "large_stars"), "rep", "low")
-    family = scratch_table(family.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "families")
-    sizes = scratch_table(family.groupBy("comp").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts")), "family_sizes")
+    lows = work.table(large.groupBy("band").agg(F.min("rep").alias("low")), "large_lows")
+    family = connected_components(work.table(large.join(lows, "band").select("rep", "low"), "large_stars"), "rep", "low")
+    family = work.table(family.select(F.col("node").alias("rep"), F.col("component").alias("comp")), "families")
+    sizes = work.table(family.groupBy("comp").agg(F.ceil(F.count("*") / salt_rows).cast("int").alias("salts")), "family_sizes")
     members = family.join(sizes, "comp").select("rep", "comp", F.pmod(F.xxhash64("rep"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"))
     first = family.withColumn("k", F.row_number().over(Window.partitionBy("comp").orderBy(F.xxhash64("rep"), "rep"))).where(F.col("k") <= sample)
     first = first.join(sizes, "comp").select("rep", "comp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"))
     rows = with_sets(members.unionByName(first), "comp", "salt", "member").select("comp", "salt", "member", "rep", "n", "data")
     rows = rows.repartition("comp", "salt").sortWithinPartitions("comp", "salt", "member")
-    rare = scratch_table(map_batches(rows, lambda it: rare_shingles(it, part, whole), "comp long, shingle long, rep long"), "rare")
-    shared = scratch_table(rare.groupBy("comp", "shingle").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("comp", "shingle", "least"), "shared_rare")
+    rare = work.table(map_batches(rows, lambda it: rare_shingles(it, part, whole), "comp long, shingle long, rep long"), "rare")
+    shared = work.table(rare.groupBy("comp", "shingle").agg(F.min("rep").alias("least"), F.max("rep").alias("most")).where("least < most").select("comp", "shingle", "least"), "shared_rare")
     fine = connected_components(rare.join(shared, ["comp", "shingle"]).select("rep", "least"), "rep", "least").withColumnRenamed("node", "rep")
     named = large.select("band", "rep", "label").join(fine, "rep").select(F.xxhash64("band", "component").alias("band"), "rep", "label")
     return named
@@ -389,14 +390,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     bands, secret = band_count(part / whole, rows, miss), secrets.randbits(64)
     least = least_agreement(part / whole, bands * rows, sigmas)
-    sets = scratch_table(signatures(docs.withColumn("text_hash", F.xxhash64("text")), width, bands, rows, secret), "signatures")
+    kept, work = Scratch(docs.sparkSession), Scratch(docs.sparkSession)
+    sets = kept.table(signatures(docs.withColumn("text_hash", F.xxhash64("text")), width, bands, rows, secret), "signatures")
     key = ["h1", "h2", "n_shingles"]
     first = [F.first(c).alias(c) for c in ("bands", "sketch")]
-    classes = scratch_table(sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), *first).where("rep is not null"), "classes")
+    classes = kept.table(sets.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("rep"), *first).where("rep is not null"), "classes")
     keys = classes.select("rep", F.explode("bands").alias("band"))
     # Written before they are joined, so that Spark can split a bucket that very many share.
-    buckets = scratch_table(keys.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("m")).where("low < high").select("band", "low", "m"), "buckets")
-    shared = scratch_table(keys.join(buckets, "band").where("rep != low"), "shared")
+    buckets = work.table(keys.groupBy("band").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.count("*").alias("m")).where("low < high").select("band", "low", "m"), "buckets")
+    shared = work.table(keys.join(buckets, "band").where("rep != low"), "shared")
 
     def with_sets(rows: DataFrame, *columns: str) -> DataFrame:
         """``rows`` (rep and ``columns``, longs) with n and data, the set of a class made from its text again."""
@@ -413,35 +415,36 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     yield pa.RecordBatch.from_arrays([*rest, pa.array(n[own]), blobs], names=["rep", *columns, "n", "data"])
 
         rows = rows.join(classes.select("rep", F.col("h1").alias("_h1")), "rep")
-        wanted = sized(scratch_table(rows.select(F.col("rep").cast("long"), "_h1", *[F.col(c).cast("long") for c in columns]), "wanted"), send)
+        wanted = sized(work.table(rows.select(F.col("rep").cast("long"), "_h1", *[F.col(c).cast("long") for c in columns]), "wanted"), send)
         texts = docs.join(wanted, docs["doc_id"] == wanted["rep"]).select("_h1", "text", "rep", *columns)
         return map_batches(texts, gather, ", ".join(f"{c} long" for c in ("rep", *columns, "n")) + ", data binary")
 
     marks = classes.select("rep", F.col("n_shingles").alias("n"), "sketch")
     first = roles(shared.select("low", "rep").distinct(), salt_rows).join(marks.withColumnRenamed("sketch", "data"), "rep")
-    pairs = scratch_table(compare_with_leaders(first, may_reach(part, whole, least)), "pairs").select(F.col("a").alias("rep"), F.col("b").alias("low"))
-    edges = scratch_table(compare_with_leaders(with_sets(roles(pairs, salt_rows), "low", "salt", "member"), sets_reach(part, whole)), "star_links")
+    pairs = work.table(compare_with_leaders(first, may_reach(part, whole, least)), "pairs").select(F.col("a").alias("rep"), F.col("b").alias("low"))
+    edges = work.table(compare_with_leaders(with_sets(roles(pairs, salt_rows), "low", "salt", "member"), sets_reach(part, whole)), "star_links")
 
     # What the stars leave: buckets whose members, besides the one all were compared with, have no common leader.
     labels = edges.groupBy(F.col("a").alias("rep")).agg(F.min("b").alias("label"))
     rest = shared.where("m > 2").join(labels, "rep", "left").select("band", "rep", F.coalesce("label", "rep").alias("label"))
-    rest = scratch_table(rest, "rest")
-    opened = lambda t: scratch_table(t.groupBy("band").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("x < y").select("band", "blocks"), "open")
+    rest = work.table(rest, "rest")
+    sides = [F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count("*") / block).cast("int").alias("blocks"), (F.count_if(F.col("label") == F.col("rep")) > block).alias("family")]
+    opened = lambda t: work.table(t.groupBy("band").agg(*sides).where("x < y").select("band", "blocks", "family"), "open")
     open_ = opened(rest)
-    large = rest.join(open_.where("blocks > 1").select("band"), "band")
-    if not open_.where("blocks > 1").isEmpty():
-        split = by_rare_shingles(large, with_sets, part, whole, sample)
-        kept = rest.join(open_.where("blocks = 1").select("band"), "band")
-        rest = scratch_table(kept.select("band", "rep", "label").unionByName(split), "split")
+    if not open_.where("family").isEmpty():
+        large = work.table(rest.join(open_.where("family").select("band"), "band"), "large")
+        small = rest.join(open_.where("not family").select("band"), "band").select("band", "rep", "label")
+        rest = work.table(small.unionByName(by_rare_shingles(large, with_sets, part, whole, sample, work)), "split")
         open_ = opened(rest)
-    met = in_block_pairs(rest.join(open_, "band").join(marks, "rep"), "band", "label", "n", "sketch")
-    near = scratch_table(map_batches(met, lambda it: block_candidates(it, part, whole, least), "a long, b long"), "candidates")
+    met = in_block_pairs(rest.join(open_.drop("family"), "band").join(marks, "rep"), "band", "label", "n", "sketch")
+    near = work.table(map_batches(met, lambda it: block_candidates(it, part, whole, least), "a long, b long"), "candidates")
     if not near.isEmpty():
-        groups = scratch_table(connected_components(near, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("comp")), "groups")
+        groups = work.table(connected_components(near, "a", "b").select(F.col("node").alias("rep"), F.col("component").alias("comp")), "groups")
         sizes = groups.join(marks.select("rep", "n"), "rep").groupBy("comp").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") * 8 / block_bytes)).alias("blocks"))
         links = map_batches(in_block_pairs(with_sets(groups.join(sizes, "comp"), "comp", "blocks"), "comp", "data"), lambda it: block_links(it, part, whole), "a long, b long")
         edges = edges.unionByName(links)
     comps = connected_components(edges, "a", "b").withColumnRenamed("node", "rep")
+    work.drop()
     named = classes.drop("bands", "sketch").join(comps, "rep", "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
     out = sets.drop("bands", "sketch").join(named, key, "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", *["text_hash"][: int(hashed)], "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

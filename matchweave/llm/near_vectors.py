@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from matchweave.llm.common import connected_components, forest, group_starts, map_batches, whole_groups
 from matchweave.llm.textbuf import mix
-from matchweave.sources.scratch import scratch_table
+from matchweave.sources.scratch import Scratch
 
 
 @lru_cache(maxsize=4)
@@ -218,9 +218,10 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
     ``sigmas`` the error bound of an estimate.
     """
     vectors = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"))
-    usable = scratch_table(classes_of(vectors.where("vec_id is not null and embedding is not null")), "vectors")
+    kept, work = Scratch(vectors.sparkSession), Scratch(vectors.sparkSession)
+    usable = kept.table(classes_of(vectors.where("vec_id is not null and embedding is not null")), "vectors")
     key = ["h1", "h2"]
-    classes = scratch_table(usable.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("dim").alias("dim"), F.first("vec").alias("vec")), "classes")
+    classes = kept.table(usable.groupBy(*key).agg(F.min("vec_id").alias("rep"), F.count("*").alias("size"), F.first("dim").alias("dim"), F.first("vec").alias("vec")), "classes")
     bits, bands = plan_bands(classes.count(), threshold, bucket, miss)
 
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,9 +235,9 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
                 keys = pa.ListArray.from_arrays(pa.array(np.arange(0, (len(x) + 1) * bands, bands), pa.int32()), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(marks_of(x, signs), pa.binary()), keys], names=["rep", "size", "dim", "vec", "mark", "keys"])
 
-    coded = scratch_table(map_batches(classes.select("rep", "size", "dim", "vec"), encode, "rep long, size long, dim int, vec binary, mark binary, keys array<long>"), "codes")
+    coded = work.table(map_batches(classes.select("rep", "size", "dim", "vec"), encode, "rep long, size long, dim int, vec binary, mark binary, keys array<long>"), "codes")
     large = coded.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    large = scratch_table(large, "large")
+    large = work.table(large, "large")
     rows = coded.select("rep", "dim", "mark", F.posexplode("keys").alias("band", "key")).join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     own = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     place = ["key", "i", "j"]
@@ -245,9 +246,10 @@ def near_duplicate_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_co
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "dim", "band", "mark")
         .repartition(*place).sortWithinPartitions(*place, "band", "dim")
     )
-    near = scratch_table(map_batches(met, lambda it: block_candidates(it, threshold, bits, bands, sigmas), "key long, i long, j long, block long, rep long, band long"), "near")
+    near = work.table(map_batches(met, lambda it: block_candidates(it, threshold, bits, bands, sigmas), "key long, i long, j long, block long, rep long, band long"), "near")
     whole = near.join(coded.select("rep", "size", "dim", "vec", "mark"), "rep").repartition(*place).sortWithinPartitions(*place, "band", "dim")
-    found = scratch_table(map_batches(whole, lambda it: block_counts(it, threshold, bits, bands), "rep long, low long, n long"), "links")
+    found = kept.table(map_batches(whole, lambda it: block_counts(it, threshold, bits, bands), "rep long, low long, n long"), "links")
+    work.drop()
     counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
     comps = connected_components(found, "rep", "low").withColumnRenamed("node", "rep")
     named = classes.select(*key, "rep", "size").join(counts, "rep", "left").join(comps, "rep", "left").select(

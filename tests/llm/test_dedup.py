@@ -175,3 +175,17 @@ def test_rare_shingles_of_linked_sets_meet():
     assert all(len(kept[k]) == len(s) - math.ceil(0.85 * len(s) - 1e-9) + 1 for k, s in enumerate(sets))
     near = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))]
     assert near and all(kept[a] & kept[b] for a, b in near)
+
+
+def test_only_tables_that_results_read_are_left(spark):
+    from matchweave.sources import scratch
+
+    scratch.clear_scratch(spark)
+    docs = spark.createDataFrame([(k, f"a b c d e f {k // 2} h i j k l m n o p") for k in range(40)], "doc_id long, text string")
+    vectors = spark.createDataFrame([(k, [1.0, 0.01 * k, 0.5]) for k in range(40)], "vec_id long, embedding array<double>")
+    for make, left in ((lambda: minhash.near_duplicates(docs), {"signatures", "classes", "edges"}), (lambda: near_vectors.near_duplicate_vectors(vectors), {"vectors", "classes", "links", "edges"})):
+        assert make().count() == 40
+        found = {f.split("/")[-2] for f in scratch.files_below(spark, scratch.scratch_root(spark))}
+        assert found <= left, found
+        scratch.clear_scratch(spark)
+        assert scratch.files_below(spark, scratch.scratch_root(spark)) == []
