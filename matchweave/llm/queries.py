@@ -16,14 +16,17 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and kept of every vector at cosine 0.95 or more."""
     return near_vectors.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"), threshold=0.95)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 ids, each document closed by id 1; a null text is that id alone."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), sequence=2048, end_id=1)
 
 
 def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, with their likeness and that to the next document's."""
     found = winnow.edited_fingerprints(_table(spark, sf_dir, "documents"))
     return found.select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "utf-8"), 256).alias("edited_sha256"),
@@ -32,14 +35,17 @@ def op3_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back."""
     return warc.read_archive(warc.write_archive(_table(spark, sf_dir, "pages")))
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents over three-word shingle sets of 85 % likeness or more."""
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), width=3, part=85, whole=100)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: the base spans' counts and digest, and all spans."""
     docs = _table(spark, sf_dir, "documents")
     found = pii.detect(docs, pii.fit(docs))
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -50,6 +56,7 @@ def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded and decoded again; a null text is an empty one."""
     path = public_tokenizers.path("word_bpe_49k.json")
     done = bpe.decode(bpe.encode(_table(spark, sf_dir, "documents"), path), path)
     return done.select(
@@ -59,6 +66,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one of control strings, formatted and read back with their loss mask."""
     turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -67,10 +75,12 @@ def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate blocks of every text with their confirmed licenses, or the best unconfirmed one."""
     return licenses.scan(_table(spark, sf_dir, "documents"))
 
 
 def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text, learned from the rows that are not held out."""
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
