@@ -22,7 +22,9 @@ LEAST_LANGUAGE_SCORE = 0.4
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents without a letter and those of no clear language.
 
-    Learns from the rows that are not held out, as the operator's query does.
+    Learns from the rows that are not held out, as the operator's query does. A
+    null or empty text has no letter and goes; repeated rows share their fate; an empty
+    table stays empty. Columns of other names stay.
     """
     model = langid.fit(docs.where(~langid.held_out()))
     pred, score = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
@@ -32,18 +34,25 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the smallest doc_id of each group of near-duplicates: five words, similarity 0.8 or more."""
+    """Keep the smallest doc_id of each group of near-duplicates: five words, similarity 0.8 or more.
+
+    A null, empty or wordless text is like no other and stays, as does a row without an
+    id unless another text represents it; of rows with the same id and text one stays.
+    """
     return minhash.drop_near_duplicates(docs, width=5, part=80, whole=100)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind in brackets and count the characters again."""
+    """Replace personal data by its kind in brackets and count the characters again.
+
+    A null text stays null, with null n_chars; an empty one stays empty. No row goes.
+    """
     clean = pii.redact(docs, pii.fit(docs))
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack what is left into sequences of 2048 ids."""
+    """Pack what is left into sequences of 2048 ids; a null or empty text is its end id alone, repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), sequence=2048, end_id=1)
 
 
