@@ -24,9 +24,8 @@ _SLACK = 1e-7  # more than any rounding of an angle or a product
 _FOUND = "id long, other long, distance double, pairs long"
 
 
-def _unit(vec: list) -> np.ndarray:
-    x = np.frombuffer(b"".join(vec), np.float64).reshape(len(vec), -1)
-    return x
+def _matrix(vec: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(vec), np.float64).reshape(len(vec), -1)
 
 
 def _angles(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -127,7 +126,7 @@ def nearest_of_all(df: DataFrame, k: int = 9, id_col: str = "vec_id", vector: st
     def own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Neighbours inside each block, and its summary: the farthest kth neighbour and the ranges of angles to the pivots."""
         for table in _rows(batches, ["block"]):
-            x, ids = _unit(table["vec"].to_pylist()), table["id"].to_numpy()
+            x, ids = _matrix(table["vec"].to_pylist()), table["id"].to_numpy()
             a, b, distance = _best(x, ids, x, ids, k, np.full(len(x), np.inf))
             have = np.bincount(a, minlength=len(x))
             limit = np.full(len(x), 2.0)
@@ -170,7 +169,7 @@ def nearest_of_all(df: DataFrame, k: int = 9, id_col: str = "vec_id", vector: st
     def across(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _rows(batches, ["ask", "give"]):
             limit = table["limit"].to_numpy(zero_copy_only=False).astype(float)
-            x, ids = _unit(table["vec"].to_pylist()), table["id"].to_numpy()
+            x, ids = _matrix(table["vec"].to_pylist()), table["id"].to_numpy()
             q, o = np.flatnonzero(~np.isnan(limit)), np.flatnonzero(np.isnan(limit))
             angles, others = _angles(x[q], base), _angles(x[o], base)
             gap = np.maximum(others.min(axis=0) - angles, angles - others.max(axis=0)).max(axis=1)

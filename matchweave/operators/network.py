@@ -5,12 +5,15 @@ All functions work on every game and team at once; nothing is split by team.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from matchweave.functions.columns import clamp_alpha
 from matchweave.functions.geometry import pass_angle, scale_x, scale_y
 from matchweave.operators.joins import checked_join, stack, unique
+from matchweave.operators.ranks import medians
 from matchweave.operators.sequence import forward_fill, next_value
 
 SIDE = ["game_id", "team"]
@@ -34,9 +37,24 @@ def edges(passes: DataFrame) -> DataFrame:
     return ends.where("pos_min is not null").groupBy(*SIDE, "pos_min", "pos_max").agg(F.count("*").alias("pass_count"))
 
 
-def locations(passes: DataFrame) -> DataFrame:
-    """Median place and number of passes of each player."""
-    return passes.where("player_id is not null").groupBy(*SIDE, "player_id").agg(F.median("x").alias("x"), F.median("y").alias("y"), F.count("player_id").alias("passes"))
+def _with_medians(df: DataFrame, by: list[str], values: dict[str, Column], others: list[Column], most: int | None) -> DataFrame:
+    """``others`` and the medians of ``values`` by group.
+
+    Without ``most`` in one aggregation, which holds a group's values; with it, groups of
+    more rows take theirs from counted ranges (``ranks.medians``). The result is the same.
+    """
+    if most is None:
+        return df.groupBy(*by).agg(*[F.median(v).alias(n) for n, v in values.items()], *others)
+    found = medians(df.select(*by, *[v.alias(n) for n, v in values.items()]), by, list(values), most).withColumnsRenamed({b: f"_{b}" for b in by})
+    same = functools.reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_{b}")) for b in by])
+    grouped = df.groupBy(*by).agg(*others)
+    return grouped.join(found, same).select(*by, *values, *grouped.columns[len(by) :])
+
+
+def locations(passes: DataFrame, most: int | None = None) -> DataFrame:
+    """Median place and number of passes of each player; ``most`` bounds the rows of a median held at once."""
+    rows = passes.where("player_id is not null")
+    return _with_medians(rows, [*SIDE, "player_id"], {"x": F.col("x"), "y": F.col("y")}, [F.count("player_id").alias("passes")], most)
 
 
 def with_roster(places: DataFrame, roster: DataFrame, teams: DataFrame) -> DataFrame:
@@ -45,21 +63,24 @@ def with_roster(places: DataFrame, roster: DataFrame, teams: DataFrame) -> DataF
     return places.join(seen, [*SIDE, "player_id"], "full_outer")
 
 
-def verticality(passes: DataFrame) -> DataFrame:
-    """How far forward passes (at most 90 degrees off) go straight ahead, 0 to 100, rounded half to even."""
+def verticality(passes: DataFrame, most: int | None = None) -> DataFrame:
+    """How far forward passes (at most 90 degrees off) go straight ahead, 0 to 100, rounded half to even; ``most`` as in ``locations``."""
     ahead = F.when(F.col("pass_angle_abs").between(0, 90), F.col("pass_angle_abs"))
-    return passes.groupBy(*SIDE).agg(F.bround((1 - F.median(ahead) / 90) * 100, 2).alias("verticality"))
+    found = _with_medians(passes, SIDE, {"ahead": ahead}, [F.count("*").alias("_n")], most)
+    return found.select(*SIDE, F.bround((1 - F.col("ahead") / 90) * 100, 2).alias("verticality"))
 
 
-def team_lines(nodes: DataFrame) -> DataFrame:
-    """Defence, attack and middle of each team from its nodes.
+def team_lines(nodes: DataFrame, most: int | None = None) -> DataFrame:
+    """Defence, attack and middle of each team from its nodes; ``most`` as in ``locations``.
 
     The defaults 30 and 90 hold only if the match has no player of that role;
     with such players but without a place for any, the line is null.
     """
     back, front = F.col("position") == "DC", F.col("position").isin("FW", "AMC")
-    line = lambda cond, agg, default: F.when(F.count_if(cond) > 0, agg(F.when(cond, F.col("x")))).otherwise(F.lit(default))
-    out = nodes.groupBy(*SIDE).agg(line(back, F.median, 30.0).alias("defense"), line(front, F.avg, 90.0).alias("forward"), F.median("x").alias("team_median"))
+    forward = F.when(F.count_if(front) > 0, F.avg(F.when(front, F.col("x")))).otherwise(F.lit(90.0))
+    found = _with_medians(nodes, SIDE, {"_back": F.when(back, F.col("x")), "team_median": F.col("x")}, [F.count_if(back).alias("_backs"), forward.alias("forward")], most)
+    defense = F.when(F.col("_backs") > 0, F.col("_back")).otherwise(F.lit(30.0)).alias("defense")
+    out = found.select(*SIDE, defense, "forward", "team_median")
     return out.withColumns({"band_low": F.least("defense", "forward"), "band_high": F.greatest("defense", "forward")})
 
 

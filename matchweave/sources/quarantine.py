@@ -18,7 +18,8 @@ VERDICT = "file string, reason string, first_bad_row long, first_bad_line string
 
 def misfit(names: list[str], schema: T.StructType, own: T.StructType) -> Column:
     """Why a kept line doesn't fit its header: the count of its fields, or the first column whose value has another type."""
-    cells = F.from_csv(BAD, T.StructType([T.StructField(f"c{k}", T.StringType()) for k in range(len(names) + 1)]).simpleString()[7:-1].replace(":", " "), {"nullValue": "\x00", "emptyValue": ""})
+    # One field more than the header has; an empty field is "", only one that isn't there is null.
+    cells = F.from_csv(BAD, ", ".join(f"c{k} string" for k in range(len(names) + 1)), {"nullValue": "\x00", "emptyValue": ""})
     declared = set(schema.fieldNames())
     out = F.when(cells[f"c{len(names)}"].isNotNull(), "too many fields").when(cells[f"c{len(names) - 1}"].isNull(), "too few fields")
     for k, field in enumerate(own.fields):

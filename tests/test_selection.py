@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchweave.operators import neighbours, patterns, ranks, sequence
+from matchweave.operators import neighbours, network, patterns, ranks, sequence
 from matchweave.sources.scratch import Scratch
 
 
@@ -23,6 +23,15 @@ def test_medians_equal_median_whatever_is_large(spark, most):
     assert got.columns == want.columns and near(got) == near(want)
 
 
+def test_team_shape_of_huge_groups(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([1, None]), rng.choice("AB"), rng.choice([None, *range(5)]), rng.choice(["DC", "FW", "MC", None]), rng.choice([None, rng.random() * 120]), rng.random(), rng.random() * 180) for _ in range(300)]
+    df = spark.createDataFrame(rows, "game_id int, team string, player_id long, position string, x double, y double, pass_angle_abs double")
+    for make in (network.locations, network.verticality, network.team_lines):
+        plain, ranged = make(df), make(df, most=10)
+        assert plain.columns == ranged.columns and sorted(map(str, plain.collect())) == sorted(map(str, ranged.collect()))
+
+
 def test_ranks_of_one_value(spark):
     df = spark.createDataFrame([("g", 1)] * 400 + [(None, 2)] * 3, "g string, v int").repartition(7)
     got = ranks.ranked(df, ["g"], ["v"], "r", "n", Scratch(spark), send=0).collect()
