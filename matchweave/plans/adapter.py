@@ -72,13 +72,18 @@ def filled_events(events: DataFrame) -> DataFrame:
 
 
 def order_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two sides per order year-month: wide stats of urgent and other orders, as a team-match table."""
+    """Two sides per order year-month: wide stats of urgent and other orders, as a team-match table.
+
+    Customers are counted beside the other stats: counted with them, Spark would first add
+    up prices by customer. Prices of a file that is read in one piece are added in its order, as the SQL does.
+    """
     o = table(spark, sf_dir, "orders")
     side = F.when(F.col("o_orderkey") % 2 == 0, "H").otherwise("A")
-    return o.groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("game"), side.alias("side")).agg(
-        F.count("*").alias("orders"), F.sum(F.col("o_totalprice").cast("double")).alias("price"), F.countDistinct("o_custkey").alias("customers"),
-        F.count_if(F.col("o_orderstatus") == "F").alias("finished"),
-    )
+    o = o.select(F.date_format("o_orderdate", "yyyy-MM").alias("game"), side.alias("side"), F.col("o_totalprice").cast("double").alias("price"), "o_custkey", "o_orderstatus")
+    sums = o.groupBy("game", "side").agg(F.count("*").alias("orders"), F.sum("price").alias("price"), F.count_if(F.col("o_orderstatus") == "F").alias("finished"))
+    buyers = o.groupBy(F.col("game").alias("_game"), F.col("side").alias("_side")).agg(F.countDistinct("o_custkey").alias("customers"))
+    same = F.col("game").eqNullSafe(F.col("_game")) & (F.col("side") == F.col("_side"))
+    return sums.join(buyers, same).select("game", "side", "orders", "price", "customers", "finished")
 
 
 def player_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:

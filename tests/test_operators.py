@@ -260,3 +260,24 @@ def test_neighbours_among_components_like_numpy(spark):
     order = [k for k in np.argsort(distance) if k != 7][:5]
     assert [r["vec_id"] for r in got] == order and [r["distance"] for r in got] == pytest.approx(distance[order].tolist())
     assert [r[1] for r in similarity.explained(scaled, 6)] == pytest.approx((np.linalg.svd(z, compute_uv=False) ** 2 / (z**2).sum()).tolist())
+
+
+def test_prices_are_added_in_the_order_of_the_file(spark, tmp_path):
+    import datetime
+    import random
+
+    from matchweave.plans import adapter, catalog
+
+    rng, day = random.Random(1), datetime.datetime(1996, 1, 5)
+    prices = [rng.randrange(10**5, 5 * 10**7) / 100 for _ in range(2000)]
+    in_order = 0.0
+    for p in prices:
+        in_order += p
+    prices.append(1e6 - round(in_order % 1e6, 2))  # the exact sum is a whole number, so the floor hangs on the order
+    in_order += prices[-1]
+    rows = [(2 * k, k * 7 % 13, "F", p, day) for k, p in enumerate(prices)] + [(1, None, "O", 1.0, day), (3, 5, "O", 1.0, None)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    got = {(r["game"], r["side"]): tuple(r)[2:] for r in adapter.order_stats(spark, str(tmp_path)).collect()}
+    assert got == {("1996-01", "H"): (2001, in_order, 13, 2001), ("1996-01", "A"): (1, 1.0, 0, 0), (None, "A"): (1, 1.0, 1, 0)}
+    label = catalog.stat_labels(spark, str(tmp_path)).where("game = '1996-01' and category = 'price'").first()["a_label"]
+    assert label == f"{math.floor(in_order):.1f}"
