@@ -20,7 +20,7 @@ def published(spark: SparkSession, path: str, name: str = "manifests") -> list[i
     return sorted(int(n) for n in done if n.isdigit())
 
 
-def export_keyed(df: DataFrame, path: str, key: str, order: list[str], rows_per_file: int = 1_000_000, form: str = "parquet") -> int:
+def export_keyed(df: DataFrame, path: str, key: str, order: list[str], rows_per_file: int = 1_000_000, form: str = "parquet", files_per_task: int = 256) -> int:
     """Write ``df`` as files of at most ``rows_per_file`` rows of one ``key`` and publish them; returns the export's number.
 
     A key of more rows is cut into parts by rank in ``order``, so a hot key is spread
@@ -29,12 +29,17 @@ def export_keyed(df: DataFrame, path: str, key: str, order: list[str], rows_per_
     after them and counts once its success mark is there. A lost executor or driver
     leaves nothing that a reader sees. Null keys are a key; an empty table
     publishes an empty export.
+
+    A file costs its creation more than its rows where files are small, so tasks are dealt by number of
+    files (``files_per_task`` at most on average) and not by the bytes that Spark would merge them by.
     """
     spark, held = df.sparkSession, Scratch(df.sparkSession)
     number, folder = (published(spark, path) or [0])[-1] + 1, f"data/{uuid.uuid4().hex}"
     placed = ranked(df, [key], order, "_rank", "_size", held).withColumn(PART, F.floor(F.col("_rank") / rows_per_file).cast("int")).drop("_size")
-    placed.repartition(f"`{key}`", PART).sortWithinPartitions(f"`{key}`", PART, "_rank").drop("_rank").write.option("header", True).partitionBy(key, PART).format(form).save(f"{path}/{folder}")
     counts = held.table(placed.groupBy(f"`{key}`", PART).agg(F.count("*").alias(ROWS)), "counts")
+    files = counts.count()
+    tasks = max(1, -(-files // files_per_task), min(files, 4 * spark.sparkContext.defaultParallelism))
+    placed.repartition(tasks, f"`{key}`", PART).sortWithinPartitions(f"`{key}`", PART, "_rank").drop("_rank").write.option("header", True).partitionBy(key, PART).format(form).save(f"{path}/{folder}")
     counts.withColumn(FOLDER, F.lit(folder)).write.parquet(f"{path}/manifests/{number}")
     held.drop()
     return number
@@ -55,8 +60,8 @@ def read_export(spark: SparkSession, path: str, schema: str, key: str, number: i
         return kept
     wide = kept.withColumn(PART, F.lit(0)).schema
     rows = spark.read.schema(wide).option("header", True).format(form).load(f"{path}/{first[FOLDER]}")
-    found = rows.groupBy(f"`{key}`", PART).agg(F.count("*").alias("_found"))
-    same = manifest[key].eqNullSafe(found[key]) & (manifest[PART] == found[PART]) & (manifest[ROWS] == found["_found"])
-    if not manifest.join(found, same, "left_anti").isEmpty() or not found.join(manifest, same, "left_anti").isEmpty():
+    found = rows.groupBy(F.col(f"`{key}`").alias("_key"), F.col(PART).alias("_number")).agg(F.count("*").alias("_found"))
+    same = manifest[key].eqNullSafe(found["_key"]) & (manifest[PART] == found["_number"]) & (manifest[ROWS] == found["_found"])
+    if not manifest.join(found, same, "full").where(f"{PART} is null or _number is null").isEmpty():  # one look at the files for both sides
         raise ValueError(f"the files of {path}/{first[FOLDER]} are not those of the manifest")
     return rows.select(*[f"`{c}`" for c in kept.columns])

@@ -90,3 +90,13 @@ def test_half_an_export_is_not_seen(spark, tmp_path):
     shutil.rmtree(glob.glob(f"{path}/data/*/game_id=1/_part=2")[0])
     with pytest.raises(ValueError, match="manifest"):
         exports.read_export(spark, path, schema, "game_id")
+
+
+def test_small_files_are_written_by_many_tasks(spark, tmp_path):
+    path = str(tmp_path / "x")
+    df = spark.range(400).select((F.col("id") % 2).alias("game_id"), F.col("id").alias("seq"))
+    exports.export_keyed(df, path, "game_id", ["seq"], 5)
+    files = [f.rsplit("/", 1)[-1] for f in glob.glob(f"{path}/data/*/game_id=*/_part=*/*.parquet")]
+    assert len(files) == 80 and len({f.split("-")[1] for f in files}) > 8
+    exports.export_keyed(df, path, "game_id", ["seq"], 5, files_per_task=2)
+    assert exports.read_export(spark, path, "game_id long, seq long", "game_id").count() == 400
