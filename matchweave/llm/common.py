@@ -97,32 +97,35 @@ def forest(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return label
 
 
-def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, task_rows: int = 1 << 16) -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges.
 
     Alternates large-star and small-star steps, each a pre-aggregated minimum
     and a join whose hot partitions Spark may split, so a node with very many
     neighbours is never gathered in one place. Null ends and self-loops are
     dropped. Every round is written to the shared folder and the one before it
-    deleted, until the edges are stars. No edges give no rows.
+    deleted, until the edges are stars. No edges give no rows. A round's tables are written by
+    one task for each ``task_rows`` edges, as a file costs more than a small graph's rows.
     """
     spark = edges.sparkSession
     held = Scratch(spark)
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
     e = held.table(e.where("u > v").distinct(), "edges")
+    tasks = max(1, -(-e.count() // task_rows))
+    written = lambda t, name: held.table(t.coalesce(tasks), name)
 
     def settled(x: DataFrame) -> bool:
         """Whether the edges are stars: every node has one edge upwards or only edges from below."""
         ends = x.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(x.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").isEmpty()
+        return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up + down > 1").coalesce(tasks).isEmpty()
 
     while not settled(e):
         before, held = held, Scratch(spark)
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # Minima are written first: a join of two plain shuffles is one that Spark splits where a node is hot.
-        low = held.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
-        large = held.table(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = held.table(large.groupBy("u").agg(F.min("v").alias("m")), "large_minima")
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "minima")
+        large = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "large_minima")
         small = (
             large.join(low, "u")
             .where("v > m")
@@ -130,7 +133,7 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
             .unionByName(low.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        e = held.table(small, "edges")
+        e = written(small, "edges")
         before.drop()
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

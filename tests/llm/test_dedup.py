@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from matchweave.llm import minhash, near_vectors
 from matchweave.llm.textbuf import WordHash, string_buffers
@@ -189,3 +190,25 @@ def test_only_tables_that_results_read_are_left(spark):
         assert found <= left, found
         scratch.clear_scratch(spark)
         assert scratch.files_below(spark, scratch.scratch_root(spark)) == []
+
+
+def test_small_graphs_are_written_in_few_files(spark):
+    from matchweave.llm.common import connected_components
+    from matchweave.sources.scratch import Scratch
+
+    path = spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")).repartition(3)
+    table, files = Scratch.table, []
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 16)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        Scratch.table = lambda self, df, name: files.append((name, len((found := table(self, df, name)).inputFiles()))) or found
+        few = connected_components(path, "a", "b").collect()
+        rounds = files[1:]
+        many = connected_components(path, "a", "b", task_rows=4).collect()
+    finally:
+        Scratch.table = table
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, few)) == sorted(map(tuple, many)) == [(k, 0) for k in range(41)]
+    assert rounds and all(n == 1 for _, n in rounds)
