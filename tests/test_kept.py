@@ -100,3 +100,18 @@ def test_small_files_are_written_by_many_tasks(spark, tmp_path):
     assert len(files) == 80 and len({f.split("-")[1] for f in files}) > 8
     exports.export_keyed(df, path, "game_id", ["seq"], 5, files_per_task=2)
     assert exports.read_export(spark, path, "game_id long, seq long", "game_id").count() == 400
+
+
+def test_no_job_holds_all_files_of_an_export(spark, tmp_path):
+    path, schema = str(tmp_path / "x"), "game_id long, seq long"
+    df = spark.range(800).select(F.when(F.col("id") % 8 != 0, F.least(F.col("id") % 8, F.lit(3))).alias("game_id"), F.col("id").alias("seq"))  # a null game, a hot one
+    exports.export_keyed(df, path, "game_id", ["seq"], 10, files_per_folder=20)
+    held = [len(glob.glob(f"{f}/game_id=*/_part=*/*.parquet")) for f in glob.glob(f"{path}/data/*")]
+    assert sum(held) == 80 and len(held) > 1 and max(held) < 50
+    before = spark.conf.get("spark.sql.hive.filesourcePartitionFileCacheSize")
+    back = exports.read_export(spark, path, schema, "game_id")
+    assert sorted(map(str, back.collect())) == sorted(map(str, df.collect()))
+    assert not any(f"{path}/data" in f for f in back.inputFiles()) and spark.conf.get("spark.sql.hive.filesourcePartitionFileCacheSize") == before
+    shutil.rmtree(glob.glob(f"{path}/data/*/game_id=3/_part=7")[0])
+    with pytest.raises(ValueError, match="manifest"):
+        exports.read_export(spark, path, schema, "game_id")
